@@ -53,7 +53,7 @@ class ShardWriter:
 
         fs, path = open_fs(uri)
         fs.create_dir(path.rpartition("/")[0], recursive=True)
-        self.uri, self.out, self.zstd = uri, fs.open_output_stream(path), zstandard.ZstdCompressor(level=3)
+        self.uri, self.out, self.zstd = uri, fs.open_output_stream(path, compression=None), zstandard.ZstdCompressor(level=3)
         self.frames: list[tuple[int, int, int]] = []
         self.ids, self.sizes, self.buffer, self.held, self.tokens = [], [], [], 0, 0
 

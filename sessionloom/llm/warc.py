@@ -64,7 +64,7 @@ class Archive:
             self.uri = f"{self.folder}/{uuid.uuid4().hex}.warc.gz"
             fs, path = open_fs(self.uri)
             fs.create_dir(path.rpartition("/")[0], recursive=True)
-            self.out, self.size, self.records = fs.open_output_stream(path), 0, 0
+            self.out, self.size, self.records = fs.open_output_stream(path, compression=None), 0, 0
         at = self.size
         self.out.write(data)
         self.size += len(data)
@@ -162,7 +162,7 @@ def records(uri: str) -> Iterator[tuple[dict[str, str], bytes]]:
     import gzip
 
     fs, path = open_fs(uri)
-    with fs.open_input_stream(path) as raw, gzip.GzipFile(fileobj=raw) as f:
+    with fs.open_input_stream(path, compression=None) as raw, gzip.GzipFile(fileobj=raw) as f:
         while line := f.readline():
             if line.strip() != b"WARC/1.1":
                 raise ValueError(f"{uri}: a record should begin here, not {line[:40]!r}")
