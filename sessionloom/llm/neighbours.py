@@ -68,11 +68,13 @@ def tile(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int)
         low[own] = high[own] = -np.inf
         least = np.partition(low, low.shape[1] - k, axis=1)[:, low.shape[1] - k] if low.shape[1] > k else np.full(len(low), -np.inf)
         rows, cols = np.nonzero((high >= least[:, None]) & ~own)
+        if not len(rows):
+            continue
         # In slices, which bounds the memory of the gathered pairs.
-        score = np.concatenate([exact(q[lo + rows[a : a + 200_000]], c[cols[a : a + 200_000]]) for a in range(0, len(rows), 200_000)] or [np.empty(0)])
+        score = np.concatenate([exact(q[lo + rows[a : a + 200_000]], c[cols[a : a + 200_000]]) for a in range(0, len(rows), 200_000)])
         order = np.lexsort((cid[cols], -score, rows))
         rows, cols, score = rows[order], cols[order], score[order]
-        first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]]) if len(rows) else []
+        first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
         for a, b in zip(first, [*first[1:], len(rows)], strict=True):
             b = min(b, a + k)
             out.append((lo + int(rows[a]), cid[cols[a:b]], score[a:b]))

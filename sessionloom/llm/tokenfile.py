@@ -205,7 +205,7 @@ def lookup(manifest: DataFrame, wanted: DataFrame, id_col: str = "doc_id") -> Da
     """(id, ids) of the wanted ids. Each shard decompresses only the frames that they lie in."""
     ids = wanted.select(F.col(id_col).cast("long").alias("_w")).distinct()
     shards = manifest.select("uri", "first_id", "last_id")
-    pairs = ids.join(shards, F.col("_w").between(F.col("first_id"), F.col("last_id"))).repartition("uri").sortWithinPartitions("uri", "_w")
+    pairs = ids.join(shards, F.col("_w").between(F.coalesce("first_id", F.lit(-(1 << 63))), F.col("last_id"))).repartition("uri").sortWithinPartitions("uri", "_w")
 
     def run(batches):
         uri, reader, asked = None, None, set()
