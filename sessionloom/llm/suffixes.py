@@ -414,22 +414,20 @@ def remove_repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM, id_col
 def cut_repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, all their columns, without repeated byte strings; what a cut leaves of a character goes too."""
     base = _prepared(docs, id_col, text_col)
-    marks = marked_runs(base, least, gram)
-    if base.where("_dup > 0").isEmpty():
-        own = docs.join(marks.where("dup = 0").select("id", "spans"), F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)) == F.col("id"), "left")
-    else:
+    marks = marked_runs(base, least, gram).select(F.col("id").alias("_mark_id"), F.col("dup").alias("_mark_dup"), F.col("spans").alias("_mark_spans"))
+    names, key = docs.columns, F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))
+    own = docs.withColumn("_mark_n", F.lit(0))
+    if not base.where("_dup > 0").isEmpty():
         from pyspark.sql import Window
 
-        order = Window.partitionBy(id_col).orderBy(F.xxhash64(F.col(text_col).cast("string")), F.length(text_col))
-        own = docs.withColumn("_n", (F.row_number().over(order) - 1).cast("int"))
-        own = own.join(marks, (F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)) == F.col("id")) & (F.col("_n") == F.col("dup")), "left") if "id" not in docs.columns else own
-    names = docs.columns
-    own = own.select(*[docs[c] for c in names], F.col("spans").alias("_spans"))
+        order = Window.partitionBy(F.col(id_col).cast("long")).orderBy(F.xxhash64(F.col(text_col).cast("string")), F.length(text_col))
+        own = docs.withColumn("_mark_n", (F.row_number().over(order) - 1).cast("int"))
+    own = own.join(marks, (key == F.col("_mark_id")) & (F.col("_mark_n") == F.col("_mark_dup")), "left").select(*names, "_mark_spans")
 
     def run(batches):
         for b in batches:
             texts = []
-            for text, spans in zip(b.column(text_col).to_pylist(), b.column("_spans").to_pylist(), strict=True):
+            for text, spans in zip(b.column(text_col).to_pylist(), b.column("_mark_spans").to_pylist(), strict=True):
                 if spans:
                     data, at, left = text.encode("utf-8", "replace"), 0, []
                     for lo, hi in union_of(spans):
