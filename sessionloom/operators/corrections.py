@@ -125,7 +125,7 @@ def apply(member: DataFrame, state: DataFrame, sessions: DataFrame) -> DataFrame
     placed = shown.join(moves, "session_id", "left_anti")
     exists = placed.select("unit").distinct().withColumn("there", F.lit(True)).unionByName(groups.select(F.col("g").alias("unit")).withColumn("there", F.lit(True))).dropDuplicates(["unit"])
     moved = shown.join(moves, "session_id")
-    target = moved.join(exists, moved["target"] == exists["unit"], "left").select(moved["session_id"], moved["unit"], moved["mode"], "target", "there")
+    target = moved.join(exists.withColumnRenamed("unit", "target"), "target", "left").select("session_id", "unit", "mode", "target", "there")
     to_target = target.where("there").select("session_id", F.col("target").alias("unit"), F.lit("forced").alias("mode")).distinct()
     back = target.where("there is null").select("session_id", "unit", "mode")
     rows = placed.unionByName(to_target).unionByName(back).withColumn("start", F.lit(None).cast("int")).withColumn("end", F.lit(None).cast("int"))

@@ -87,10 +87,10 @@ def validate(items: DataFrame, ranges: DataFrame) -> DataFrame:
 
 def drift(basis: DataFrame, now: DataFrame, fresh: DataFrame) -> DataFrame:
     """(unit, added, removed): sources that a record was written from against those of today; sessions with new messages are not added."""
-    was = basis.select("unit", "session_id", "start", "end").distinct().withColumn("was", F.lit(True))
-    new = now.select("unit", "session_id", "start", "end").distinct().withColumn("now", F.lit(True))
-    same = lambda c: was[c].eqNullSafe(new[c])
-    both = was.join(new, same("unit") & same("session_id") & same("start") & same("end"), "full").select(F.coalesce(was["unit"], new["unit"]).alias("unit"), F.coalesce(was["session_id"], new["session_id"]).alias("session_id"), "was", "now")
+    # one pass over both sides, so that no row needs a key without nulls
+    cols = ["unit", "session_id", "start", "end"]
+    sides = basis.select(*cols).withColumn("side", F.lit(1)).unionByName(now.select(*cols).withColumn("side", F.lit(2)))
+    both = sides.groupBy(*cols).agg(F.max(F.when(F.col("side") == 1, True)).alias("was"), F.max(F.when(F.col("side") == 2, True)).alias("now"))
     held = both.join(basis.select("unit").distinct(), "unit", "left_semi").join(fresh.select("unit", "session_id").distinct().withColumn("fresh", F.lit(True)), ["unit", "session_id"], "left")
     added = F.count_if(F.col("was").isNull() & F.col("fresh").isNull())
     return held.groupBy("unit").agg(added.alias("added"), F.count_if(F.col("now").isNull()).alias("removed")).withColumn("changed", F.col("added") + F.col("removed") > 0)

@@ -638,8 +638,11 @@ def j17_capsule_files(spark, sf):
 
 
 def queries() -> dict[str, Query]:
+    from . import queries_records  # noqa: F401  adds its own
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(ORACLE)
