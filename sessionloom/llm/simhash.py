@@ -31,6 +31,8 @@ from .components import components
 
 #: Fingerprints of a block.
 BLOCK = 2048
+#: Table rows of a comparing task.
+GROUP = 50_000
 SEED = 42
 
 
@@ -76,46 +78,64 @@ def planes(fps: np.ndarray) -> np.ndarray:
     return np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view("<u8")
 
 
-def within(queries: np.ndarray, fps: np.ndarray, radius: int, chunk: int = 128) -> tuple[np.ndarray, np.ndarray]:
+def _alive(q: np.ndarray, p: np.ndarray, lanes: np.ndarray, row: np.ndarray, word: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query row, lane) of the pairs within the radius, of the given (query row, word of 64 lanes) pairs."""
+    one, over = ~np.uint64(0), range(radius + 1, 16)
+    alive = lanes[word].copy()
+    c1 = np.zeros(len(row), np.uint64)
+    c2, c4, c8 = c1.copy(), c1.copy(), c1.copy()
+    flips = np.where(np.unpackbits(q.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(bool), one, np.uint64(0)).T.copy()
+    for j in range(64):
+        x = p[j][word] ^ flips[j][row]
+        x, c1 = c1 & x, c1 ^ x  # carry-save: four bits of count, and lanes that overflow die
+        x, c2 = c2 & x, c2 ^ x
+        x, c4 = c4 & x, c4 ^ x
+        x, c8 = c8 & x, c8 ^ x
+        alive &= ~x
+        if j in (11, 17, 23, 29, 37, 47, 63):
+            for k in over:
+                alive &= ~((c1 if k & 1 else ~c1) & (c2 if k & 2 else ~c2) & (c4 if k & 4 else ~c4) & (c8 if k & 8 else ~c8))
+            keep = alive != 0  # words whose lanes are all beyond the radius are abandoned
+            if not keep.all():
+                row, word, alive, c1, c2, c4, c8 = row[keep], word[keep], alive[keep], c1[keep], c2[keep], c4[keep], c8[keep]
+            if not len(row):
+                break
+    bits = np.unpackbits(alive.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    k, lane = np.nonzero(bits)
+    return row[k], word[k] * 64 + lane
+
+
+#: (query, word) pairs that are compared at once.
+PAIRS = 32_768
+
+
+def sliced(groups: list[tuple[np.ndarray, np.ndarray]], radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, lane, fingerprint of each lane) of all pairs at a distance of at most `radius` (under 16) within each (queries, fingerprints) group.
+
+    Rows count through all groups; every group begins at a word of its own."""
+    padded, lanes, rows, words = [], [], [], []
+    q0 = w0 = 0
+    for q, c in groups:
+        pad = -len(c) % 64
+        n = (len(c) + pad) // 64
+        padded += [c, np.zeros(pad, np.uint64)]
+        full = np.full(n, ~np.uint64(0))
+        if pad:
+            full[-1] = (np.uint64(1) << np.uint64(64 - pad)) - np.uint64(1)
+        lanes.append(full)
+        rows.append(np.repeat(np.arange(q0, q0 + len(q)), n))
+        words.append(np.tile(np.arange(w0, w0 + n), len(q)))
+        q0, w0 = q0 + len(q), w0 + n
+    queries, fps = np.concatenate([q for q, _ in groups]), np.concatenate(padded)
+    p, lanes, row, word = planes(fps), np.concatenate(lanes), np.concatenate(rows), np.concatenate(words)
+    found = [_alive(queries, p, lanes, row[k : k + PAIRS], word[k : k + PAIRS], radius) for k in range(0, len(row), PAIRS)]
+    return np.concatenate([r for r, _ in found]), np.concatenate([x for _, x in found]), fps
+
+
+def within(queries: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """(query row, fps row) of all pairs at a distance of at most `radius` (under 16)."""
-    p, found_q, found_c = planes(fps), [], []
-    one = ~np.uint64(0)
-    lanes = np.full(p.shape[1], one)
-    if len(fps) % 64:
-        lanes[-1] = (np.uint64(1) << np.uint64(len(fps) % 64)) - np.uint64(1)
-    over = range(radius + 1, 16)
-    for lo in range(0, len(queries), chunk):
-        q = queries[lo : lo + chunk]
-        # words still alive: (query, word) pairs; those whose lanes are all beyond the radius are abandoned
-        row, word = np.nonzero(np.ones((len(q), p.shape[1]), bool))
-        alive = lanes[word].copy()
-        c1 = np.zeros(len(row), np.uint64)
-        c2, c4, c8 = c1.copy(), c1.copy(), c1.copy()
-        flips = np.unpackbits(q.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(bool)
-        for j in range(64):
-            x = p[j][word] ^ np.where(flips[row, j], one, np.uint64(0))
-            x, c1 = c1 & x, c1 ^ x  # carry-save: four bits of count, and lanes that overflow die
-            x, c2 = c2 & x, c2 ^ x
-            x, c4 = c4 & x, c4 ^ x
-            x, c8 = c8 & x, c8 ^ x
-            alive &= ~x
-            if j in (9, 15, 23, 31, 43) or j == 63:
-                for k in over:
-                    m = (c1 if k & 1 else ~c1) & (c2 if k & 2 else ~c2) & (c4 if k & 4 else ~c4) & (c8 if k & 8 else ~c8)
-                    alive &= ~m
-                keep = alive != 0
-                if not keep.all():
-                    row, word, alive, c1, c2, c4, c8 = row[keep], word[keep], alive[keep], c1[keep], c2[keep], c4[keep], c8[keep]
-                if not len(row):
-                    break
-        if len(row):
-            bits = np.unpackbits(alive.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            k, lane = np.nonzero(bits)
-            found_q.append(lo + row[k])
-            found_c.append(word[k] * 64 + lane)
-    if not found_q:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    return np.concatenate(found_q), np.concatenate(found_c)
+    row, lane, _ = sliced([(queries, fps)], radius)
+    return row, lane
 
 
 def spanning(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -183,58 +203,58 @@ def links(distinct: DataFrame, radius: int = 4, block: int = BLOCK, masks=None)
     # A block meets itself and each other block once; small buckets travel together in one group.
     paired = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     lo, hi = F.least("own", "other"), F.greatest("own", "other")
-    groups = max(1, -(-n * len(masks) // 200_000))
+    groups = max(1, -(-n * len(masks) // GROUP))
     spread = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("t", "key"), F.lit(groups))).otherwise(F.xxhash64("t", "key", "lo", "hi"))
     dealt = paired.select("t", "key", "fp", "own", lo.alias("lo"), hi.alias("hi"), "blocks").withColumn("g", spread)
-    ordered = dealt.repartition("g").sortWithinPartitions("g", "t", "key", "lo", "hi", "own")
+    ordered = dealt.repartition(groups, "g").sortWithinPartitions("g", "t", "key", "lo", "hi", "own")
 
     def run(batches):
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-        def compare(fps, own, lo, hi):
-            fps = np.array(fps, np.int64)
+        def sides(fps, own, lo, hi):
+            fps = np.array(fps, np.int64).view(np.uint64)
             if lo == hi:
-                q = c = fps.view(np.uint64)
-            else:
-                own = np.array(own)
-                q, c = fps[own == lo].view(np.uint64), fps[own == hi].view(np.uint64)
-            if not len(q) or not len(c):
-                return np.empty(0, np.int64), np.empty(0, np.int64)
-            if len(q) * len(c) <= 64:  # a handful: not worth slicing
-                d = np.bitwise_count(q[:, None] ^ c[None, :])
-                a, b = np.nonzero(d <= radius)
-            else:
-                a, b = within(q, c, radius)
-            a, b = q[a].view(np.int64), c[b].view(np.int64)
-            ok = a != b if lo != hi else a < b
+                return fps, fps
+            own = np.array(own)
+            return fps[own == lo], fps[own == hi]
+
+        def compared(groups):
+            """Links that span the components of the groups; the closest pairs first."""
+            row, lane, flat = sliced(groups, radius)
+            a, b = np.concatenate([q for q, _ in groups])[row], flat[lane]
+            a, b = np.minimum(a, b), np.maximum(a, b)
+            ok = a != b
             a, b = a[ok], b[ok]
-            near = np.argsort(np.bitwise_count(a.view(np.uint64) ^ b.view(np.uint64)), kind="stable")
-            a, b = a[near], b[near]  # the tree takes the closest pairs
+            near = np.argsort(np.bitwise_count(a ^ b), kind="stable")
+            a, b = a[near], b[near]
             k = spanning(a, b)
-            return a[k], b[k]
+            return pa.RecordBatch.from_arrays([pa.array(a[k].view(np.int64)), pa.array(b[k].view(np.int64))], schema=schema)
+
+        # Small groups are compared together, large ones alone.
+        key, fps, own, groups, size = None, [], [], [], 0
+
+        def closed():
+            nonlocal size
+            if len(fps) > 1:
+                q, c = sides(fps, own, *key[2:])
+                if len(q) and len(c):
+                    groups.append((q, c))
+                    size += len(q) * -(-len(c) // 64)
 
-        key, fps, own, out_a, out_b, size = None, [], [], [], [], 0
         for b in batches:
             cols = [b.column(n).to_pylist() for n in ("t", "key", "lo", "hi", "fp", "own")]
             for t, k, lo, hi, fp, o in zip(*cols, strict=True):
                 if key != (t, k, lo, hi):
-                    if len(fps) > 1:
-                        a, c = compare(fps, own, *key[2:])
-                        out_a.append(a)
-                        out_b.append(c)
-                        size += len(a)
+                    closed()
                     key, fps, own = (t, k, lo, hi), [], []
+                    if size >= PAIRS:
+                        yield compared(groups)
+                        groups, size = [], 0
                 fps.append(fp)
                 own.append(o)
-            if size >= 100_000:
-                yield pa.RecordBatch.from_arrays([np.concatenate(out_a), np.concatenate(out_b)], schema=schema)
-                out_a, out_b, size = [], [], 0
-        if len(fps) > 1:
-            a, c = compare(fps, own, *key[2:])
-            out_a.append(a)
-            out_b.append(c)
-        if out_a:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a), pa.int64()), pa.array(np.concatenate(out_b), pa.int64())], schema=schema)
+        closed()
+        if groups:
+            yield compared(groups)
 
     return ordered.mapInArrow(run, "a long, b long")
 
@@ -278,13 +298,13 @@ def near_dedup(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col:
     components. Of repeated rows one stays.
     """
     null = -(1 << 63)
-    given = docs.withColumn("_i", F.coalesce(F.col(id_col).cast("long"), F.lit(null))).withColumn("_h", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
-    texts = given.select("_i", "_h", F.col(text_col).cast("string").alias("_text"))
+    given = docs.withColumn("_near_i", F.coalesce(F.col(id_col).cast("long"), F.lit(null))).withColumn("_near_h", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    texts = given.select("_near_i", "_near_h", F.col(text_col).cast("string").alias("_text"))
 
     def run(batches):
         for b in batches:
             made = np.array([fingerprint(t, width) for t in b.column("_text").to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("_i"), b.column("_h"), pa.array(made, pa.int64())], ["i", "h", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("_near_i"), b.column("_near_h"), pa.array(made, pa.int64())], ["i", "h", "fp"])
 
     marked = staged(texts.mapInArrow(run, "i long, h long, fp long"), "fingerprints")
     nodes = staged(marked.groupBy("fp", "h").agg(F.min("i").alias("least")), "distinct-texts")
@@ -294,15 +314,15 @@ def near_dedup(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col:
     a, b = reps.select(F.col("fp").alias("a"), F.col("rep").alias("ha")), reps.select(F.col("fp").alias("b"), F.col("rep").alias("hb"))
     pairs = found.join(a, "a").join(b, "b").select("ha", "hb")
     pairs = staged(pairs.unionByName(nodes.join(reps, "fp").where("h <> rep").select(F.col("h").alias("ha"), F.col("rep").alias("hb"))), "candidates")
-    asked = pairs.select(F.explode(F.array("ha", "hb")).alias("h")).distinct().join(nodes, "h").select(F.col("h").alias("_h"), F.col("least").alias("_i"))
-    sets = staged(shingle_sets(texts.join(asked, ["_h", "_i"], "left_semi").dropDuplicates(["_h"]), width, "_h", "_text"), "shingles")
-    one, two = sets.select(F.col("_h").alias("ha"), F.col("shingles").alias("sa")), sets.select(F.col("_h").alias("hb"), F.col("shingles").alias("sb"))
+    asked = pairs.select(F.explode(F.array("ha", "hb")).alias("h")).distinct().join(nodes, "h").select(F.col("h").alias("_near_h"), F.col("least").alias("_near_i"))
+    sets = staged(shingle_sets(texts.join(asked, ["_near_h", "_near_i"], "left_semi").dropDuplicates(["_near_h"]), width, "_near_h", "_text"), "shingles")
+    one, two = sets.select(F.col("_near_h").alias("ha"), F.col("shingles").alias("sa")), sets.select(F.col("_near_h").alias("hb"), F.col("shingles").alias("sb"))
     common = F.size(F.array_intersect("sa", "sb"))
     alike = common >= similarity * (F.size("sa") + F.size("sb") - common)
     comps = components(pairs.join(one, "ha").join(two, "hb").where(alike), "ha", "hb")
     member = nodes.join(comps, nodes["h"] == comps["node"], "left").select("h", "least", F.coalesce("component", "h").alias("c"))
-    keep = member.groupBy("c").agg(F.min(F.struct("least", "h")).alias("k")).select(F.col("k.h").alias("_h"), F.col("k.least").alias("_i"))
-    out = given.join(keep, ["_h", "_i"], "left_semi")
+    keep = member.groupBy("c").agg(F.min(F.struct("least", "h")).alias("k")).select(F.col("k.h").alias("_near_h"), F.col("k.least").alias("_near_i"))
+    out = given.join(keep, ["_near_h", "_near_i"], "left_semi")
     if not marked.groupBy("i", "h").count().where("count > 1").isEmpty():
-        out = out.dropDuplicates(["_i", "_h"])
+        out = out.dropDuplicates(["_near_i", "_near_h"])
     return out.select(docs.columns)
