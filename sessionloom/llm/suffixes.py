@@ -134,14 +134,28 @@ def _next(at: np.ndarray, h: np.ndarray, first: np.ndarray, g: np.ndarray) -> np
 
 
 def anchors(docs: DataFrame, least: int, gram: int) -> DataFrame:
-    """(g, c, id, dup, spot): spot holds first window * 512 + windows - 1 of a segment."""
+    """(g, c, id, dup, spot, copy): spot holds first window * 512 + windows - 1 of a segment.
+
+    Equal segments within a task's share: all but the first are known to be copies. They go on
+    under a hash of their own, so that frequent segments don't meet in one task.
+    """
 
     def run(batches):
-        schema = pa.schema([("g", pa.int64()), ("c", pa.int64()), ("id", pa.int64()), ("dup", pa.int32()), ("spot", pa.int64())])
+        schema = pa.schema([("g", pa.int64()), ("c", pa.int64()), ("id", pa.int64()), ("dup", pa.int32()), ("spot", pa.int64()), ("copy", pa.bool_())])
 
         def batch(parts):
             g, c, who, dup, spot = (np.concatenate(x) for x in zip(*parts, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(c.view(np.int64)), pa.array(who), pa.array(dup), pa.array(spot)], schema=schema)
+            copy = np.zeros(len(g), bool)
+            order = np.argsort(c, kind="stable")
+            again = np.flatnonzero(c[order][1:] == c[order][:-1])
+            if len(again):  # segments that occur more than once: order them by place
+                few = order[np.union1d(again, again + 1)]
+                few = few[np.lexsort((spot[few], dup[few], who[few], g[few], c[few]))]
+                later = few[1:][(c[few][1:] == c[few][:-1]) & (g[few][1:] == g[few][:-1])]
+                copy[later] = True
+                with np.errstate(over="ignore"):
+                    g = np.where(copy, _mix(g + who.view(np.uint64) * np.uint64(_BASE) + spot.view(np.uint64)), g)
+            return pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(c.view(np.int64)), pa.array(who), pa.array(dup), pa.array(spot), pa.array(copy)], schema=schema)
 
         parts, size = [], 0
         for b in batches:
@@ -158,7 +172,7 @@ def anchors(docs: DataFrame, least: int, gram: int) -> DataFrame:
         if parts:
             yield batch(parts)
 
-    return docs.mapInArrow(run, "g long, c long, id long, dup int, spot long")
+    return docs.mapInArrow(run, "g long, c long, id long, dup int, spot long, copy boolean")
 
 
 # -- front coding and the loser tree
@@ -341,12 +355,13 @@ def marked_runs(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFr
     from pyspark.sql import Window
 
     dealt = found.repartition("g")
-    same = Window.partitionBy("g", "c").orderBy("id", "dup", "spot")
+    same = Window.partitionBy("g", "c").orderBy("copy", "id", "dup", "spot")
     anchor = Window.partitionBy("g")
     ranked = dealt.withColumn("n", F.row_number().over(same))
-    ranked = ranked.withColumn("firsts", F.count(F.when(F.col("n") == 1, True)).over(anchor))
+    ranked = ranked.withColumn("firsts", F.count(F.when((F.col("n") == 1) & ~F.col("copy"), True)).over(anchor))
     # equal segments: all but the first repeat; distinct segments around one anchor: compared by bytes
-    shared_anchor = staged(ranked.where((F.col("n") > 1) | (F.col("firsts") > 1)).select("g", "id", "dup", "spot", (F.col("n") > 1).alias("copy")), "shared-anchors")
+    copy = F.col("copy") | (F.col("n") > 1)
+    shared_anchor = staged(ranked.where(copy | (F.col("firsts") > 1)).select("g", "id", "dup", "spot", copy.alias("copy")), "shared-anchors")
     start = F.floor(F.col("spot") / 512).cast("long")
     whole = shared_anchor.where("copy").select("id", "dup", start.alias("lo"), (start + F.pmod("spot", F.lit(512)) + least).alias("hi"))
     cands = shared_anchor.where(~F.col("copy"))
