@@ -97,10 +97,10 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
 
 def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **limits) -> DataFrame:
     """The kept documents, all their columns, without the lines over the limit."""
-    verdicts = judge(docs, id_col, text_col, host_col, **limits).where("kept").select(F.col(id_col).alias("_i"), F.col("_hash").alias("_h"), F.col("_host").alias("_o"), F.col("over").alias("_over")).dropDuplicates(["_i", "_h", "_o"])
+    verdicts = judge(docs, id_col, text_col, host_col, **limits).where("kept").select(F.col(id_col).alias("_quality_i"), F.col("_hash").alias("_quality_h"), F.col("_host").alias("_quality_o"), F.col("over").alias("_quality_over")).dropDuplicates(["_quality_i", "_quality_h", "_quality_o"])
     host = F.coalesce(F.concat(F.lit("h"), F.col(host_col).cast("string")), F.lit(""))
-    hashed = docs.withColumn("_host_key", host).withColumn("_text_key", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_i")) & (F.col("_text_key") == F.col("_h")) & (F.col("_host_key") == F.col("_o"))
-    lines = F.filter(F.split(F.col(text_col), "\n"), lambda x: ~F.array_contains(F.col("_over"), line_hash(x)))
-    text = F.when(F.col("_over").isNull(), F.col(text_col)).otherwise(F.array_join(lines, "\n"))
+    hashed = docs.withColumn("_quality_host_key", host).withColumn("_quality_text_key", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("_quality_i")) & (F.col("_quality_text_key") == F.col("_quality_h")) & (F.col("_quality_host_key") == F.col("_quality_o"))
+    lines = F.filter(F.split(F.col(text_col), "\n"), lambda x: ~F.array_contains(F.col("_quality_over"), line_hash(x)))
+    text = F.when(F.col("_quality_over").isNull(), F.col(text_col)).otherwise(F.array_join(lines, "\n"))
     return hashed.join(verdicts, same).select([text.alias(c) if c == text_col else F.col(c) for c in docs.columns])

@@ -13,12 +13,12 @@ import pytest
 from sessionloom.llm import bpe, html, language, neighbours, packing, quality, simhash, suffixes, tokenfile, warc
 from sessionloom.llm.components import components
 
-DOCS = "doc_id long, text string, lang string, source string, id long, g string, spans string, _text string"
+DOCS = "doc_id long, text string, lang string, source string, id long, g string, spans string, _text string, _i string, _h string, over string, fp string"
 
 
 def docs(spark, rows, parts=3):
     """documents with extra columns whose names clash with internal ones."""
-    full = [(i, t, "en", s, 7, "x", "y", "z") for i, t, s in ((*r, "src")[:3] for r in rows)]
+    full = [(i, t, "en", s, 7, "x", "y", "z", "i", "h", "o", "f") for i, t, s in ((*r, "src")[:3] for r in rows)]
     return spark.createDataFrame(full, DOCS).repartition(parts)
 
 
@@ -187,7 +187,6 @@ def test_language(spark):
     rows = [(i, " ".join("".join(rnd.choice(sound[k]) for _ in range(3)) for _ in range(40)), k) for i, k in enumerate(itertools.islice(itertools.cycle(sound), 240))]
     rows += [(900, None, "en"), (901, "12 34 !!", "fr"), (902, "", None), (903, "the and ing", None), (None, rows[0][1], "en")]
     df = spark.createDataFrame([(i, t, k, "s") for i, t, k in rows], "doc_id long, text string, lang string, score string")
-    df = df.drop("score")
     train = "doc_id % 5 <> 0"
     from pyspark.sql import functions as F
 
