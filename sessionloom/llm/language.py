@@ -88,12 +88,16 @@ def vector(text: str | None) -> np.ndarray | None:
     return out
 
 
+#: Parts that a language's documents are drawn from evenly, so that a large language is no single task.
+DRAWS = 64
+
+
 def training_rows(docs: DataFrame, per_lang: int, id_col: str, text_col: str, lang_col: str, train) -> DataFrame:
-    """(lang, text) of at most `per_lang` documents of each language. Only ids go through the shuffle."""
+    """(lang, text) of at most about `per_lang` documents of each language, from each of DRAWS parts those with the smallest hash of their id. Only ids go through the shuffle."""
     rows = docs.where(F.coalesce(train, F.lit(False)) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    ids = rows.select(F.col(id_col).cast("long").alias("_id"), F.col(lang_col).alias("_lang"))
-    order = Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id")
-    chosen = ids.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_lang).select("_id").distinct()
+    ids = rows.select(F.col(id_col).cast("long").alias("_id"), F.col(lang_col).alias("_lang")).withColumn("_part", F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(DRAWS)))
+    order = Window.partitionBy("_lang", "_part").orderBy(F.xxhash64("_id"), "_id")
+    chosen = ids.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= -(-per_lang // DRAWS)).select("_id").distinct()
     return rows.withColumn("_id", F.col(id_col).cast("long")).join(chosen, "_id", "left_semi").select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
 
 
@@ -114,11 +118,12 @@ def fit(rows: DataFrame) -> dict[str, np.ndarray]:
     return {r["lang"]: np.array(r["v"]) for r in sorted(found)}
 
 
-def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Input columns plus `lang_pred` and `score` (cosine, cut to 0..1)."""
+def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "text", out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Input columns plus the prediction and its score (cosine, cut to 0..1); input columns of their names are replaced."""
+    docs = docs.drop(*out)
     langs = list(prototypes)
     matrix = np.array([prototypes[x] / max(1e-9, float(np.linalg.norm(prototypes[x]))) for x in langs], np.float64).reshape(len(langs), DIM)
-    schema = docs.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
+    schema = docs.select("*", F.lit("").alias(out[0]), F.lit(0.0).alias(out[1])).schema
 
     def label(batches):
         for b in batches:
@@ -133,12 +138,12 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "d
                 k = int(cos.argmax())
                 who.append(langs[k])
                 score.append(float(min(1.0, max(0.0, cos[k]))))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(who, pa.string()), pa.array(score, pa.float64())], [*b.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(who, pa.string()), pa.array(score, pa.float64())], [*b.schema.names, *out])
 
     return docs.mapInArrow(label, schema)
 
 
-def identify(docs: DataFrame, per_lang: int = 2000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train=None, keep: list[str] | None = None) -> DataFrame:
+def identify(docs: DataFrame, per_lang: int = 2000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train=None, keep: list[str] | None = None, out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """Fit on the labelled rows that `train` allows (all, if None), then predict every row."""
     model = fit(training_rows(docs, per_lang, id_col, text_col, lang_col, F.lit(True) if train is None else train))
-    return predict(docs.select(*(keep or docs.columns)), model, id_col, text_col)
+    return predict(docs.select(*(keep or docs.columns)), model, text_col, out)
