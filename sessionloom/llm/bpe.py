@@ -35,8 +35,8 @@ _BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+
 _LETTERS = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
 _DIGITS = "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
 
-#: Pieces in the memo of one worker.
-MEMO = 300_000
+#: Pieces in the memo of one worker (about 20 MB).
+MEMO = 100_000
 #: Characters of a leaf; pieces longer than PIECE are encoded by tree concatenation.
 LEAF, PIECE = 32_768, 2_048
 
@@ -57,12 +57,8 @@ def _byte_chars() -> dict[str, int]:
 class Encoder:
     def __init__(self, path: str) -> None:
         import tiktoken
-        from tokenizers import Tokenizer
 
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_padding()
-        self.tokenizer.no_truncation()
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.suffix = spec["model"].get("end_of_word_suffix") or ""
@@ -84,6 +80,17 @@ class Encoder:
         self.marks = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_DIGITS}]|[^\\s{_LETTERS}{_DIGITS}]+")
         self.memo: dict[str, bytes] = {}
 
+    @functools.cached_property
+    def tokenizer(self):
+        """The library's tokenizer, loaded when a text first needs it."""
+        from tokenizers import Tokenizer
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        found = Tokenizer.from_file(self.path)
+        found.no_padding()
+        found.no_truncation()
+        return found
+
     # -- one piece
 
     def whole(self, text: str) -> list[int]:
@@ -269,9 +276,9 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     kind = dict(base.dtypes)["_id"]
     near = base.where(F.length("_text") <= LEAF).mapInArrow(short, f"_id {kind}, ids binary")
-    n = F.ceil(F.length("_text") / LEAF).cast("int")
     cut = base.where(F.length("_text") > LEAF).withColumn("_row", F.monotonically_increasing_id())
-    leaves = cut.select("_id", "_row", F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.substring(F.col("_text"), k * LEAF + 1, F.lit(LEAF)))).alias("k", "leaf"))
+    parts = F.regexp_extract_all("_text", F.lit(f"(?s).{{1,{LEAF}}}"), F.lit(0))  # one pass, however long the text
+    leaves = cut.select("_id", "_row", F.posexplode(parts).alias("k", "leaf"))
 
     def leaf(batches):
         enc = encoder(path)

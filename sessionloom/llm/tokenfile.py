@@ -175,10 +175,15 @@ def write(docs: DataFrame, path: str, folder: str | None = None, end_id: int = 1
     return staged(ordered.mapInArrow(run, "part int, shard int, uri string, n_docs long, n_tokens long, first_id long, last_id long"), "token-manifest")
 
 
+def files_over_tasks(manifest: DataFrame, most: int = 4096) -> int:
+    """As many tasks as files: a stated number isn't reduced for the few bytes that a list of files has."""
+    return min(most, max(1, manifest.count()))
+
+
 def read(manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(id, start, n_tokens, ids binary) of every document in the shards; start counts the ids of all documents before it."""
     before = F.sum("n_tokens").over(Window.orderBy("part", "shard").rowsBetween(Window.unboundedPreceding, -1))
-    shards = manifest.select("uri", F.coalesce(before, F.lit(0)).alias("base")).repartition("uri")
+    shards = manifest.select("uri", F.coalesce(before, F.lit(0)).alias("base")).repartition(files_over_tasks(manifest), "uri")
 
     def run(batches):
         for b in batches:

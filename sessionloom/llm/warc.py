@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import new_folder, staged
-from .tokenfile import open_fs
+from .tokenfile import files_over_tasks, open_fs
 
 #: Bytes of an archive after which a task begins the next one.
 ARCHIVE = 256_000_000
@@ -120,10 +120,10 @@ def resolve(headers: DataFrame, least_bytes: int = 1000) -> DataFrame:
     return found.unionByName(headers.where(~large).withColumn("original", none))
 
 
-def write_deduplicated(resolved: DataFrame, folder: str) -> DataFrame:
+def write_deduplicated(resolved: DataFrame, folder: str, tasks: int) -> DataFrame:
     """Manifest (path, records) of the deduplicated archives."""
     rows = resolved.select("page_id", "url", "digest", "payload_bytes", "path", "at", "size", F.col("original").isNotNull().alias("revisit"), F.col("original.page_id").alias("o_page"), F.col("original.url").alias("o_url"), F.col("original.path").alias("o_path"), F.col("original.at").alias("o_at"))
-    ordered = rows.repartition("path").sortWithinPartitions("path", "at")
+    ordered = rows.repartition(tasks, "path").sortWithinPartitions("path", "at")
     made = pa.schema([("path", pa.string()), ("records", pa.int64())])
 
     def run(batches):
@@ -199,11 +199,12 @@ def read(manifest: DataFrame) -> DataFrame:
                 if rows:
                     yield _batch(rows, READ)
 
-    return manifest.select("path").repartition("path").mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return manifest.select("path").repartition(files_over_tasks(manifest), "path").mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def archive(pages: DataFrame, least_bytes: int = 1000, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Write, deduplicate and read back all pages."""
     folder = new_folder(pages.sparkSession, "warc")
     headers = write_raw(pages, f"{folder}/raw", id_col, url_col, html_col)
-    return read(write_deduplicated(resolve(headers, least_bytes), f"{folder}/archive"))
+    tasks = files_over_tasks(headers.select("path").distinct())
+    return read(write_deduplicated(resolve(headers, least_bytes), f"{folder}/archive", tasks))
