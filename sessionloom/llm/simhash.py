@@ -23,7 +23,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import staged
@@ -271,55 +271,134 @@ def classes(docs: DataFrame, width: int = 4, radius: int = 4, id_col: str = "doc
     return marked.join(by_fp, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def shingle_sets(docs: DataFrame, width: int, key: str, text_col: str) -> DataFrame:
-    """(key, shingles): distinct shingle hashes of each text."""
+def shingles(text: str | None, width: int) -> np.ndarray:
+    """Distinct hashes of the runs of `width` words, ascending; a shorter text is one run."""
+    import xxhash
+
+    words = (text or "").encode("utf-8", "replace").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined, h = b" ".join(words), xxhash.xxh64_intdigest
+    if len(words) <= width:
+        return np.array([h(joined, SEED)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    starts = np.concatenate(([0], ends[:-width]))
+    return np.unique(np.array([h(joined[a:b], SEED) for a, b in zip(starts.tolist(), (ends[width - 1 :] - 1).tolist(), strict=True)], np.uint64))
+
+
+#: Share (1 / SAMPLE) of the texts that tell which shingles are common, and how many of those are told to the tasks.
+SAMPLE, COMMON = 16, 200_000
+
+
+def common_shingles(texts: DataFrame, width: int) -> np.ndarray:
+    """The most common shingles of a sample, the rarer ones first. They only order prefixes: no result depends on them."""
+
+    def run(batches):
+        for b in batches:
+            made = [shingles(t, width) for t in b.column(0).to_pylist()]
+            if made:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(made).view(np.int64))], ["s"])
+
+    counted = texts.where(F.pmod("h", F.lit(SAMPLE)) == 0).dropDuplicates(["h"]).select("_text").mapInArrow(run, "s long").groupBy("s").count().where("count > 2")
+    found = counted.orderBy(F.desc("count"), "s").limit(COMMON).collect()
+    return np.array([r["s"] for r in reversed(found)], np.int64).view(np.uint64)
+
+
+def prefixes(texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(s, h, n, rest): the first shingles of each text, common ones last; two texts of that similarity share one of them.
+
+    A partner has at least `similarity * n` of a text's n shingles, so all but that many, and one more, can't miss it;
+    `rest` is the number of those that are left out. A text without a word has the shingle 0.
+    """
+    common = common_shingles(texts, width)
+    order = np.argsort(common)
+    names = ["s", "h", "n", "rest"]
+
+    def run(batches):
+        held, rank = common[order], order + 1
+        for b in batches:
+            cols: list[list] = [[], [], [], []]
+            for h, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                own = shingles(text, width)
+                n = len(own)
+                rest = max(0, int(np.ceil(similarity * n - 1e-9)) - 1)
+                if len(held) and n:
+                    k = np.minimum(np.searchsorted(held, own), len(held) - 1)
+                    own = own[np.argsort(np.where(held[k] == own, rank[k], 0), kind="stable")]
+                first = own[: n - rest] if n else np.zeros(1, np.uint64)
+                for c, v in zip(cols, (first.view(np.int64), np.full(len(first), h), np.full(len(first), n), np.full(len(first), rest)), strict=True):
+                    c.append(v)
+            if cols[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names)
+
+    return texts.select("h", "_text").mapInArrow(run, "s long, h long, n int, rest int")
+
+
+def alike(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The pairs (ha, hb) whose sets of shingles have at least that Jaccard similarity."""
+    asked = pairs.select(F.explode(F.array("ha", "hb")).alias("h")).distinct().join(nodes, "h").select("h", F.col("least").alias("i"))
+    held = staged(texts.join(asked, ["h", "i"], "left_semi").dropDuplicates(["h"]).select("h", "_text"), "texts")
+    one, two = held.select(F.col("h").alias("ha"), F.col("_text").alias("ta")), held.select(F.col("h").alias("hb"), F.col("_text").alias("tb"))
 
     def run(batches):
-        import xxhash
+        known: dict[int, np.ndarray] = {}
+
+        def of(h, text):
+            if h not in known:
+                if len(known) >= 1000:
+                    known.clear()
+                known[h] = shingles(text, width)
+            return known[h]
 
         for b in batches:
-            sets = []
-            for text in b.column(1).to_pylist():
-                words = (text or "").encode("utf-8", "replace").lower().split()
-                last = max(1, len(words) - width + 1)
-                made = {xxhash.xxh64_intdigest(b" ".join(words[k : k + width]), SEED) for k in range(last)} if words else set()
-                sets.append(np.array(list(made), np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], [key, "shingles"])
+            ha, hb, ta, tb = (b.column(n).to_pylist() for n in ("ha", "hb", "ta", "tb"))
+            ok = []
+            for a, x, c, y in zip(ha, ta, hb, tb, strict=True):
+                sa, sb = of(a, x), of(c, y)
+                common = len(np.intersect1d(sa, sb, assume_unique=True))
+                ok.append(common >= similarity * (len(sa) + len(sb) - common))
+            keep = np.array(ok, bool)
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(ha, np.int64)[keep]), pa.array(np.array(hb, np.int64)[keep])], ["ha", "hb"])
 
-    return docs.select(key, text_col).mapInArrow(run, f"{key} long, shingles array<long>")
+    return staged(pairs.select("ha", "hb").join(two, "hb").join(one, "ha").select("ha", "hb", "ta", "tb").mapInArrow(run, "ha long, hb long"), "alike")
 
 
 def near_dedup(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, all their columns, one of each group of near duplicates: the one with the smallest id.
 
-    Candidates are SimHash fingerprints that differ in at most 15 bits, through tables that
-    pairs at the stated similarity miss with a chance of 5 %; a link counts if the sets of
-    shingles of `width` words have at least that Jaccard similarity. Groups are the connected
-    components. Of repeated rows one stays.
+    Two texts are linked if their sets of shingles of `width` words have at least that Jaccard
+    similarity; every such link counts, none is sampled. Such texts share a shingle of their
+    prefixes. First each text meets the smallest one it shares a prefix shingle with, then all
+    pairs that share one and aren't in one group yet. Groups are the connected components. Of
+    repeated rows one stays.
     """
     null = -(1 << 63)
     given = docs.withColumn("_near_i", F.coalesce(F.col(id_col).cast("long"), F.lit(null))).withColumn("_near_h", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
-    texts = given.select("_near_i", "_near_h", F.col(text_col).cast("string").alias("_text"))
-
-    def run(batches):
-        for b in batches:
-            made = np.array([fingerprint(t, width) for t in b.column("_text").to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("_near_i"), b.column("_near_h"), pa.array(made, pa.int64())], ["i", "h", "fp"])
-
-    marked = staged(texts.mapInArrow(run, "i long, h long, fp long"), "fingerprints")
-    nodes = staged(marked.groupBy("fp", "h").agg(F.min("i").alias("least")), "distinct-texts")
-    reps = nodes.groupBy("fp").agg(F.min("h").alias("rep"))
-    angle = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    found = links(reps.select("fp"), 15, masks=lambda n: sampled_masks(n, angle)).distinct()
-    a, b = reps.select(F.col("fp").alias("a"), F.col("rep").alias("ha")), reps.select(F.col("fp").alias("b"), F.col("rep").alias("hb"))
-    pairs = found.join(a, "a").join(b, "b").select("ha", "hb")
-    pairs = staged(pairs.unionByName(nodes.join(reps, "fp").where("h <> rep").select(F.col("h").alias("ha"), F.col("rep").alias("hb"))), "candidates")
-    asked = pairs.select(F.explode(F.array("ha", "hb")).alias("h")).distinct().join(nodes, "h").select(F.col("h").alias("_near_h"), F.col("least").alias("_near_i"))
-    sets = staged(shingle_sets(texts.join(asked, ["_near_h", "_near_i"], "left_semi").dropDuplicates(["_near_h"]), width, "_near_h", "_text"), "shingles")
-    one, two = sets.select(F.col("_near_h").alias("ha"), F.col("shingles").alias("sa")), sets.select(F.col("_near_h").alias("hb"), F.col("shingles").alias("sb"))
-    common = F.size(F.array_intersect("sa", "sb"))
-    alike = common >= similarity * (F.size("sa") + F.size("sb") - common)
-    comps = components(pairs.join(one, "ha").join(two, "hb").where(alike), "ha", "hb")
+    texts = given.select(F.col("_near_i").alias("i"), F.col("_near_h").alias("h"), F.col(text_col).cast("string").alias("_text"))
+    marked = staged(texts.select("i", "h"), "text-hashes")
+    nodes = staged(marked.groupBy("h").agg(F.min("i").alias("least")), "distinct-texts")
+    by = Window.partitionBy("s")
+    size = F.col("n").cast("long")
+    rows = prefixes(texts, width, similarity).repartition("s").groupBy("s", "h").agg(F.first("n").alias("n"), F.first("rest").alias("rest"))
+    shared = rows.select("*", F.min(F.struct("h", "n", "rest")).over(by).alias("rep"), F.count("*").over(by).alias("held")).where("held > 1").drop("held")
+    shared = staged(shared, "shared-shingles")
+
+    def possible(pairs: DataFrame) -> DataFrame:
+        """Pairs whose shared prefix shingles, and all that lie behind the prefixes, are enough."""
+        c = pairs.groupBy("ha", "hb").agg(F.count("*").alias("c"), *(F.first(x).alias(x) for x in ("na", "nb", "ra", "rb")))
+        need = similarity / (1 + similarity) * (F.col("na") + F.col("nb")) - 1e-6
+        return c.where(F.col("c") + F.greatest("ra", "rb") >= need).select("ha", "hb")
+
+    near = lambda na, nb: (F.least(na, nb) >= similarity * F.greatest(na, nb) - 1e-6)
+    stars = shared.where(F.col("h") != F.col("rep.h")).select(F.col("rep.h").alias("ha"), F.col("h").alias("hb"), F.col("rep.n").alias("na"), size.alias("nb"), F.col("rep.rest").alias("ra"), F.col("rest").alias("rb"))
+    first = alike(staged(possible(stars.where(near(F.col("na"), F.col("nb")))), "candidates"), texts, nodes, width, similarity)
+    comps = components(first, "ha", "hb")
+    grouped = shared.drop("rep").join(comps, shared["h"] == comps["node"], "left").select("s", "h", "n", "rest", F.coalesce("component", "h").alias("c"))
+    open_ = staged(grouped.select("*", F.min("c").over(by).alias("lo"), F.max("c").over(by).alias("hi")).where("lo <> hi").drop("lo", "hi"), "open-shingles")
+    a, b = open_.select("s", *(F.col(x).alias(y) for x, y in (("h", "ha"), ("n", "na"), ("rest", "ra"), ("c", "ca")))), open_.select("s", *(F.col(x).alias(y) for x, y in (("h", "hb"), ("n", "nb"), ("rest", "rb"), ("c", "cb"))))
+    met = a.join(b, (a["s"] == b["s"]) & (F.col("ha") < F.col("hb")) & (F.col("ca") != F.col("cb")) & near(F.col("na"), F.col("nb")))
+    second = alike(staged(possible(met.select("ha", "hb", "na", "nb", "ra", "rb")), "candidates"), texts, nodes, width, similarity)
+    comps = components(first.unionByName(second), "ha", "hb")
     member = nodes.join(comps, nodes["h"] == comps["node"], "left").select("h", "least", F.coalesce("component", "h").alias("c"))
     keep = member.groupBy("c").agg(F.min(F.struct("least", "h")).alias("k")).select(F.col("k.h").alias("_near_h"), F.col("k.least").alias("_near_i"))
     out = given.join(keep, ["_near_h", "_near_i"], "left_semi")

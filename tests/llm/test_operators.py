@@ -416,6 +416,22 @@ def test_near_dedup(spark):
     assert simhash.near_dedup(docs(spark, [])).count() == 0
 
 
+def test_near_dedup_of_texts_with_a_template(spark):
+    rnd = random.Random(5)
+    made = lambda n: ["".join(rnd.choice("abcdefgh") for _ in range(7)) for _ in range(n)]
+    template, rows = made(140), []
+    for k in range(120):
+        base = template + made(60)  # similarity about 0.54 among each other
+        near = base[:]
+        for p in (150, 160, 170, 180):  # up to 20 of 196 shingles change: about 0.82
+            near[p] = "changed" + near[p]
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(near))]
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(196)} for _, t in rows]
+    alike = {(a, b) for a, b in itertools.combinations(range(len(rows)), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert alike == {(2 * k, 2 * k + 1) for k in range(120)}
+    assert sorted(r["doc_id"] for r in simhash.near_dedup(docs(spark, rows)).collect()) == [2 * k for k in range(120)]
+
+
 # -- 10 BPE
 
 
