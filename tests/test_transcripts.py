@@ -119,6 +119,13 @@ def op(seq, kind, **more):
     return {**base, **more}
 
 
+def test_fold_of_a_long_log(spark):
+    log = [op(1, "move", session="old", to="user:g"), op(2, "merge", unit="user:g", members=["A-1"]), op(3, "move", session="gone", to="B-1"), op(4, "move", session="gone", to="user:h"), op(5, "split", unit="user:h")]
+    log += [op(k, "rename", unit="A-1", label=f"n{k}") for k in range(6, 5100)]
+    state = corrections.fold(spark.createDataFrame(log, corrections.OPS))
+    assert sorted((r["kind"], r["subject"], r["target"] or "") for r in state.collect()) == [("group", "user:g", ""), ("label", "A-1", "n5099"), ("merge", "user:g", "A-1"), ("move", "old", "user:g")]
+
+
 def test_corrections(spark):
     log = [
         op(1, "rename", unit="KK-1", label="First"), op(2, "rename", unit="KK-1", label=""), op(3, "rename", unit="KK-2", label="Second"),
