@@ -178,14 +178,6 @@ def band_masks(n: int, radius: int, block: int = BLOCK) -> list[int]:
     return [sum((1 << edges[k + 1]) - (1 << edges[k]) for k in c) for c in itertools.combinations(range(bands), extra)]
 
 
-def sampled_masks(n: int, differing: float, miss: float = 0.05) -> list[int]:
-    """Random bit choices for wide radii: fingerprints that differ in this share of the bits meet in some table but for `miss`."""
-    bits = max(8, n.bit_length() - 4)
-    tables = int(np.ceil(np.log(miss) / np.log1p(-((1 - differing) ** bits))))
-    rng = np.random.default_rng(SEED)
-    return [sum(1 << int(j) for j in rng.choice(64, bits, replace=False)) for _ in range(tables)]
-
-
 def links(distinct: DataFrame, radius: int = 4, block: int = BLOCK, masks=None) -> DataFrame:
     """(a, b): links that span the components of distinct fingerprints `fp` within the radius.
 
