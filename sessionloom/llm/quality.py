@@ -4,11 +4,10 @@ DataFrame functions only. One pass over the texts stores per document its counts
 the hashes of its distinct lines; everything after that works on the small table.
 
 * A line is normalised (lower case, blanks to one space, trimmed, digits to 0) and hashed.
-* Per host the *distinct* documents that hold a line are counted. Copies and near copies
-  must not make their own text boilerplate, so a document counts, for a line, under the
-  smallest hash of its other lines: copies share it and count once.
-* A line is over the limit if more than `max(line_docs, line_share * documents of the host)`
-  documents hold it. Such lines are removed.
+* Per host and line the distinct documents that hold it are counted: rows of a host with one
+  text are one document, and a line counts once in each, however often it stands there.
+* A line is over the limit if more than `max(line_docs, line_share * distinct documents of
+  the host)` of them hold it. Such lines are removed.
 * A document is depleted, and rejected, if fewer than `least_words` words or less than
   `least_share` of its words are left.
 
@@ -74,16 +73,18 @@ def profile(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
 
 
 def frequent_lines(profiles: DataFrame, line_docs: int, line_share: float) -> DataFrame:
-    """(_host, h, n_docs): lines over the limit of their host."""
-    hashes = F.array_sort(F.array_distinct(F.col("lines.h")))
-    rows = profiles.select("_host", hashes.alias("hs")).select("_host", F.get("hs", F.lit(0)).alias("a"), F.get("hs", F.lit(1)).alias("b"), F.explode("hs").alias("h"))
-    other = F.when(F.col("h") != F.col("a"), F.col("a")).otherwise(F.coalesce(F.col("b"), F.col("h")))
-    counted = rows.select("_host", "h", other.alias("other")).distinct().groupBy("_host", "h").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > line_docs)
-    hosts = profiles.groupBy("_host").agg(F.count("*").alias("host_docs"))
+    """(_host, h, n_docs): lines over the limit of their host. Equal texts of a host are one document."""
+    documents = profiles.groupBy("_host", "_hash").agg(F.first("lines.h").alias("hs"))
+    held = documents.select("_host", F.explode(F.array_distinct("hs")).alias("h"))
+    counted = held.groupBy("_host", "h").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > line_docs)
+    hosts = profiles.select("_host", "_hash").distinct().groupBy("_host").agg(F.count("*").alias("host_docs"))
     return counted.join(hosts, "_host").where(F.col("n_docs") > F.col("host_docs") * line_share).select("_host", "h", "n_docs")
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", line_docs: int = 20, line_share: float = 0.005, least_words: int = 20, least_share: float = 0.3) -> DataFrame:
+def judge(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
+    line_docs: int = 20, line_share: float = 0.005, least_words: int = 20, least_share: float = 0.3,
+) -> DataFrame:
     """One row per document: the counts, `base_failed`, `kept`, and `over` (hashes of its lines over the limit)."""
     marked = profile(docs, id_col, text_col, host_col).withColumn("_row", F.monotonically_increasing_id())
     profiles = staged(marked, "line-profiles")

@@ -105,10 +105,8 @@ base AS (SELECT w.r, doc_id, host, len(ws)::BIGINT AS n_words, length(regexp_rep
 l AS (SELECT r, host, ('0x' || substr(md5(trim(regexp_replace(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g'), '[0-9]', '0', 'g'), ' ')), 1, 15))::BIGINT AS h,
         len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS n
       FROM (SELECT r, host, unnest(ls) AS line FROM w)),
-u AS (SELECT DISTINCT r, host, h FROM l),
-m AS (SELECT r, host, h, min(h) OVER (PARTITION BY r) AS a, nth_value(h, 2) OVER (PARTITION BY r ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS b FROM u),
-c AS (SELECT host, h, count(DISTINCT CASE WHEN h <> a THEN a ELSE coalesce(b, h) END) AS n_docs FROM m GROUP BY 1, 2),
-hosts AS (SELECT host, count(*) AS host_docs FROM d GROUP BY 1),
+c AS (SELECT l.host, h, count(DISTINCT d.t) AS n_docs FROM l JOIN d USING (r) GROUP BY 1, 2),
+hosts AS (SELECT host, count(DISTINCT t) AS host_docs FROM d GROUP BY 1),
 f AS (SELECT host, h FROM c JOIN hosts USING (host) WHERE n_docs > 20 AND n_docs > host_docs * 0.005),
 gone AS (SELECT r, sum(n) AS gone FROM l JOIN f USING (host, h) GROUP BY 1)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
