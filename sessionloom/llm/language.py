@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import staged
+
 DIM = 1024
 GRAM = 3
 
@@ -90,14 +92,21 @@ def vector(text: str | None) -> np.ndarray | None:
 
 #: Parts that a language's documents are drawn from evenly, so that a large language is no single task.
 DRAWS = 64
+#: Training ids up to this number (8 MB) are broadcast; more languages than that hold are joined by a shuffle.
+MOST_IDS = 1_000_000
 
 
 def training_rows(docs: DataFrame, per_lang: int, id_col: str, text_col: str, lang_col: str, train) -> DataFrame:
-    """(lang, text) of at most about `per_lang` documents of each language, from each of DRAWS parts those with the smallest hash of their id. Only ids go through the shuffle."""
+    """(lang, text) of at most about `per_lang` documents of each language, from each of DRAWS parts those with the
+    smallest hash of their id. The ids are chosen by a shuffle of ids; texts are filtered where they are read."""
     rows = docs.where(F.coalesce(train, F.lit(False)) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    ids = rows.select(F.col(id_col).cast("long").alias("_id"), F.col(lang_col).alias("_lang")).withColumn("_part", F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(DRAWS)))
+    part = F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(DRAWS))
+    ids = rows.select(F.col(id_col).cast("long").alias("_id"), F.col(lang_col).alias("_lang")).withColumn("_part", part)
     order = Window.partitionBy("_lang", "_part").orderBy(F.xxhash64("_id"), "_id")
     chosen = ids.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= -(-per_lang // DRAWS)).select("_id").distinct()
+    chosen = staged(chosen, "training-ids")
+    if chosen.count() <= MOST_IDS:
+        chosen = F.broadcast(chosen)
     return rows.withColumn("_id", F.col(id_col).cast("long")).join(chosen, "_id", "left_semi").select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
 
 
