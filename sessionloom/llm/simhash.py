@@ -72,32 +72,65 @@ def fingerprints(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_c
 
 
 def planes(fps: np.ndarray) -> np.ndarray:
-    """64 rows of packed bits: row j, lane i is bit j of fingerprint i."""
-    pad = -len(fps) % 64
-    bits = np.unpackbits(np.concatenate([fps, np.zeros(pad, np.uint64)]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    """Packed bits of (n, words) fingerprints: row j, lane i is bit j of fingerprint i. n is a multiple of 64."""
+    bits = np.unpackbits(fps.view(np.uint8).reshape(len(fps), -1), axis=1, bitorder="little")
     return np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view("<u8")
 
 
-def _alive(q: np.ndarray, p: np.ndarray, lanes: np.ndarray, row: np.ndarray, word: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """(query row, lane) of the pairs within the radius, of the given (query row, word of 64 lanes) pairs."""
-    one, over = ~np.uint64(0), range(radius + 1, 16)
-    alive = lanes[word].copy()
-    c1 = np.zeros(len(row), np.uint64)
-    c2, c4, c8 = c1.copy(), c1.copy(), c1.copy()
-    flips = np.where(np.unpackbits(q.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(bool), one, np.uint64(0)).T.copy()
-    for j in range(64):
-        x = p[j][word] ^ flips[j][row]
-        x, c1 = c1 & x, c1 ^ x  # carry-save: four bits of count, and lanes that overflow die
-        x, c2 = c2 & x, c2 ^ x
-        x, c4 = c4 & x, c4 ^ x
-        x, c8 = c8 & x, c8 ^ x
-        alive &= ~x
-        if j in (11, 17, 23, 29, 37, 47, 63):
-            for k in over:
-                alive &= ~((c1 if k & 1 else ~c1) & (c2 if k & 2 else ~c2) & (c4 if k & 4 else ~c4) & (c8 if k & 8 else ~c8))
+def _beyond(count: list[np.ndarray], radius: int) -> np.ndarray:
+    """Lanes whose counter, given bit by bit, is greater than the radius."""
+    over, same = np.zeros_like(count[0]), np.full_like(count[0], ~np.uint64(0))
+    for k in reversed(range(len(count))):
+        if radius >> k & 1:
+            same &= count[k]
+        else:
+            over |= same & count[k]
+            same &= ~count[k]
+    return over
+
+
+def _add(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sum, carry) of three planes."""
+    u = a ^ b
+    return u ^ c, (a & b) | (u & c)
+
+
+#: Planes that are added up before they go to the counters.
+STEP = 7
+
+
+def _alive(q: np.ndarray, p: np.ndarray, alive: np.ndarray, row: np.ndarray, word: np.ndarray, radius: int, least) -> tuple[np.ndarray, np.ndarray]:
+    """(query row, lane) of the pairs within the radius, of the given (query row, word of 64 lanes) pairs.
+
+    `alive` are the lanes of each pair that count."""
+    width, one, levels = len(p), np.uint64(1), max(1, radius.bit_length())
+    own, alive = [q[row, w] for w in range(width // 64)], alive.copy()
+    count = [np.zeros(len(row), np.uint64) for _ in range(levels)]
+    for at in range(0, width, STEP):
+        end = min(at + STEP, width)
+        # a query flips the planes where its bit is 1: what is left is 1 where the lane differs
+        x = [p[j][word] ^ (np.uint64(0) - ((own[j // 64] >> np.uint64(j % 64)) & one)) for j in range(at, end)]
+        x += [np.zeros_like(alive)] * (STEP - len(x))
+        (s1, c1), (s2, c2) = _add(*x[:3]), _add(*x[3:6])
+        ones, c3 = _add(s1, s2, x[6])
+        twos, fours = _add(c1, c2, c3)
+        digits, carry = [ones, twos, fours], np.zeros_like(alive)
+        for k in range(max(levels, 3)):  # carry-save: the counters of all lanes at once
+            digit = digits[k] if k < 3 else None
+            if k >= levels:
+                alive &= ~(digit | carry)  # lanes whose counter overflows die
+                carry = np.zeros_like(alive)
+            elif digit is not None:
+                count[k], carry = _add(count[k], digit, carry)
+            else:
+                count[k], carry = count[k] ^ carry, count[k] & carry
+        alive &= ~carry
+        limit = min(radius, least(end)) if least else radius
+        if end == width or limit < end and at // STEP % max(1, width // 64) == 0:
+            alive &= ~_beyond(count, limit)
             keep = alive != 0  # words whose lanes are all beyond the radius are abandoned
             if not keep.all():
-                row, word, alive, c1, c2, c4, c8 = row[keep], word[keep], alive[keep], c1[keep], c2[keep], c4[keep], c8[keep]
+                row, word, alive, count, own = row[keep], word[keep], alive[keep], [c[keep] for c in count], [c[keep] for c in own]
             if not len(row):
                 break
     bits = np.unpackbits(alive.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -105,37 +138,35 @@ def _alive(q: np.ndarray, p: np.ndarray, lanes: np.ndarray, row: np.ndarray, wor
     return row[k], word[k] * 64 + lane
 
 
-#: (query, word) pairs that are compared at once.
-PAIRS = 32_768
+#: Planes of (query, word) pairs that are compared at once.
+PAIRS = 2_097_152
 
 
-def sliced(groups: list[tuple[np.ndarray, np.ndarray]], radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, lane, fingerprint of each lane) of all pairs at a distance of at most `radius` (under 16) within each (queries, fingerprints) group.
+def sliced(groups: list[tuple[np.ndarray, np.ndarray]], radius: int, least=None) -> tuple[np.ndarray, np.ndarray]:
+    """(query row, candidate row) of all pairs at a distance of at most `radius` within each (queries, candidates) group.
 
-    Rows count through all groups; every group begins at a word of its own."""
-    padded, lanes, rows, words = [], [], [], []
-    q0 = w0 = 0
-    for q, c in groups:
-        pad = -len(c) % 64
-        n = (len(c) + pad) // 64
-        padded += [c, np.zeros(pad, np.uint64)]
-        full = np.full(n, ~np.uint64(0))
-        if pad:
-            full[-1] = (np.uint64(1) << np.uint64(64 - pad)) - np.uint64(1)
-        lanes.append(full)
-        rows.append(np.repeat(np.arange(q0, q0 + len(q)), n))
-        words.append(np.tile(np.arange(w0, w0 + n), len(q)))
-        q0, w0 = q0 + len(q), w0 + n
-    queries, fps = np.concatenate([q for q, _ in groups]), np.concatenate(padded)
-    p, lanes, row, word = planes(fps), np.concatenate(lanes), np.concatenate(rows), np.concatenate(words)
-    found = [_alive(queries, p, lanes, row[k : k + PAIRS], word[k : k + PAIRS], radius) for k in range(0, len(row), PAIRS)]
-    return np.concatenate([r for r, _ in found]), np.concatenate([x for _, x in found]), fps
+    Fingerprints are (n, words) arrays; rows count through all groups. Candidates of several groups may share a word of 64
+    lanes. `least(j)`, if given, is a lower radius for the first j bits, beyond which a block is abandoned earlier."""
+    queries, fps = np.concatenate([q for q, _ in groups]), np.concatenate([c for _, c in groups])
+    asked, ends = np.array([len(q) for q, _ in groups]), np.cumsum([len(c) for _, c in groups])
+    starts = np.r_[0, ends[:-1]]
+    first, many = np.repeat(starts // 64, asked), np.repeat((ends + 63) // 64 - starts // 64, asked)
+    row = np.repeat(np.arange(len(queries)), many)
+    word = np.repeat(first - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(len(row))
+    group = np.repeat(np.arange(len(groups)), asked)[row]
+    lo, hi = np.maximum(starts[group] - 64 * word, 0), np.minimum(ends[group] - 64 * word, 64)
+    mask = (~np.uint64(0) >> (64 - hi).astype(np.uint64)) & (~np.uint64(0) << lo.astype(np.uint64))
+    p = planes(np.concatenate([fps, np.zeros((-len(fps) % 64, fps.shape[1]), np.uint64)]))
+    each = PAIRS // len(p)
+    found = [_alive(queries, p, mask[k : k + each], row[k : k + each], word[k : k + each], radius, least) for k in range(0, len(row), each)]
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate([r for r, _ in found]), np.concatenate([x for _, x in found])
 
 
 def within(queries: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """(query row, fps row) of all pairs at a distance of at most `radius` (under 16)."""
-    row, lane, _ = sliced([(queries, fps)], radius)
-    return row, lane
+    """(query row, fps row) of all pairs of 64-bit fingerprints at a distance of at most `radius`."""
+    return sliced([(queries.reshape(-1, 1), fps.reshape(-1, 1))], radius)
 
 
 def spanning(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -178,13 +209,10 @@ def band_masks(n: int, radius: int, block: int = BLOCK) -> list[int]:
     return [sum((1 << edges[k + 1]) - (1 << edges[k]) for k in c) for c in itertools.combinations(range(bands), extra)]
 
 
-def links(distinct: DataFrame, radius: int = 4, block: int = BLOCK, masks=None) -> DataFrame:
-    """(a, b): links that span the components of distinct fingerprints `fp` within the radius.
-
-    Without `masks` every link is found; `masks(n)` may give other keys for n fingerprints.
-    """
+def links(distinct: DataFrame, radius: int = 4, block: int = BLOCK) -> DataFrame:
+    """(a, b): links that span the components of distinct fingerprints `fp` within the radius."""
     n = distinct.count()
-    masks = masks(max(n, 1)) if masks else band_masks(n, radius, block)
+    masks = band_masks(n, radius, block)
     signed = lambda m: m - (1 << 64) if m >= 1 << 63 else m
     tables = [F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("key")) for t, m in enumerate(masks)]
     keyed = distinct.select("fp", F.explode(F.array(*tables)).alias("k")).select("fp", "k.t", "k.key")
@@ -212,8 +240,8 @@ def links(distinct: DataFrame, radius: int = 4, block: int = BLOCK, masks=None)
 
         def compared(groups):
             """Links that span the components of the groups; the closest pairs first."""
-            row, lane, flat = sliced(groups, radius)
-            a, b = np.concatenate([q for q, _ in groups])[row], flat[lane]
+            row, lane = sliced([(q.reshape(-1, 1), c.reshape(-1, 1)) for q, c in groups], radius)
+            a, b = np.concatenate([q for q, _ in groups])[row], np.concatenate([c for _, c in groups])[lane]
             a, b = np.minimum(a, b), np.maximum(a, b)
             ok = a != b
             a, b = a[ok], b[ok]
@@ -239,7 +267,7 @@ def links(distinct: DataFrame, radius: int = 4, block: int = BLOCK, masks=None)
                 if key != (t, k, lo, hi):
                     closed()
                     key, fps, own = (t, k, lo, hi), [], []
-                    if size >= PAIRS:
+                    if size >= PAIRS // 64:
                         yield compared(groups)
                         groups, size = [], 0
                 fps.append(fp)
@@ -261,139 +289,3 @@ def classes(docs: DataFrame, width: int = 4, radius: int = 4, id_col: str = "doc
     top = member.groupBy("c").agg(F.min("least").alias("component_id"))
     by_fp = member.join(top, "c").select("fp", "component_id")
     return marked.join(by_fp, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def shingles(text: str | None, width: int) -> np.ndarray:
-    """Distinct hashes of the runs of `width` words, ascending; a shorter text is one run."""
-    import xxhash
-
-    words = (text or "").encode("utf-8", "replace").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    joined, h = b" ".join(words), xxhash.xxh64_intdigest
-    if len(words) <= width:
-        return np.array([h(joined, SEED)], np.uint64)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    starts = np.concatenate(([0], ends[:-width]))
-    return np.unique(np.array([h(joined[a:b], SEED) for a, b in zip(starts.tolist(), (ends[width - 1 :] - 1).tolist(), strict=True)], np.uint64))
-
-
-#: Share (1 / SAMPLE) of the texts that tell which shingles are common, and how many of those are told to the tasks.
-SAMPLE, COMMON = 16, 200_000
-
-
-def common_shingles(texts: DataFrame, width: int) -> np.ndarray:
-    """The most common shingles of a sample, the rarer ones first. They only order prefixes: no result depends on them."""
-
-    def run(batches):
-        for b in batches:
-            made = [shingles(t, width) for t in b.column(0).to_pylist()]
-            if made:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(made).view(np.int64))], ["s"])
-
-    counted = texts.where(F.pmod("h", F.lit(SAMPLE)) == 0).dropDuplicates(["h"]).select("_text").mapInArrow(run, "s long").groupBy("s").count().where("count > 2")
-    found = counted.orderBy(F.desc("count"), "s").limit(COMMON).collect()
-    return np.array([r["s"] for r in reversed(found)], np.int64).view(np.uint64)
-
-
-def prefixes(texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """(s, h, n, rest): the first shingles of each text, common ones last; two texts of that similarity share one of them.
-
-    A partner has at least `similarity * n` of a text's n shingles, so all but that many, and one more, can't miss it;
-    `rest` is the number of those that are left out. A text without a word has the shingle 0.
-    """
-    common = common_shingles(texts, width)
-    order = np.argsort(common)
-    names = ["s", "h", "n", "rest"]
-
-    def run(batches):
-        held, rank = common[order], order + 1
-        for b in batches:
-            cols: list[list] = [[], [], [], []]
-            for h, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                own = shingles(text, width)
-                n = len(own)
-                rest = max(0, int(np.ceil(similarity * n - 1e-9)) - 1)
-                if len(held) and n:
-                    k = np.minimum(np.searchsorted(held, own), len(held) - 1)
-                    own = own[np.argsort(np.where(held[k] == own, rank[k], 0), kind="stable")]
-                first = own[: n - rest] if n else np.zeros(1, np.uint64)
-                for c, v in zip(cols, (first.view(np.int64), np.full(len(first), h), np.full(len(first), n), np.full(len(first), rest)), strict=True):
-                    c.append(v)
-            if cols[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names)
-
-    return texts.select("h", "_text").mapInArrow(run, "s long, h long, n int, rest int")
-
-
-def alike(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The pairs (ha, hb) whose sets of shingles have at least that Jaccard similarity."""
-    asked = pairs.select(F.explode(F.array("ha", "hb")).alias("h")).distinct().join(nodes, "h").select("h", F.col("least").alias("i"))
-    held = staged(texts.join(asked, ["h", "i"], "left_semi").dropDuplicates(["h"]).select("h", "_text"), "texts")
-    one, two = held.select(F.col("h").alias("ha"), F.col("_text").alias("ta")), held.select(F.col("h").alias("hb"), F.col("_text").alias("tb"))
-
-    def run(batches):
-        known: dict[int, np.ndarray] = {}
-
-        def of(h, text):
-            if h not in known:
-                if len(known) >= 1000:
-                    known.clear()
-                known[h] = shingles(text, width)
-            return known[h]
-
-        for b in batches:
-            ha, hb, ta, tb = (b.column(n).to_pylist() for n in ("ha", "hb", "ta", "tb"))
-            ok = []
-            for a, x, c, y in zip(ha, ta, hb, tb, strict=True):
-                sa, sb = of(a, x), of(c, y)
-                common = len(np.intersect1d(sa, sb, assume_unique=True))
-                ok.append(common >= similarity * (len(sa) + len(sb) - common))
-            keep = np.array(ok, bool)
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(ha, np.int64)[keep]), pa.array(np.array(hb, np.int64)[keep])], ["ha", "hb"])
-
-    return staged(pairs.select("ha", "hb").join(two, "hb").join(one, "ha").select("ha", "hb", "ta", "tb").mapInArrow(run, "ha long, hb long"), "alike")
-
-
-def near_dedup(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, all their columns, one of each group of near duplicates: the one with the smallest id.
-
-    Two texts are linked if their sets of shingles of `width` words have at least that Jaccard
-    similarity; every such link counts, none is sampled. Such texts share a shingle of their
-    prefixes. First each text meets the smallest one it shares a prefix shingle with, then all
-    pairs that share one and aren't in one group yet. Groups are the connected components. Of
-    repeated rows one stays.
-    """
-    null = -(1 << 63)
-    given = docs.withColumn("_near_i", F.coalesce(F.col(id_col).cast("long"), F.lit(null))).withColumn("_near_h", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
-    texts = given.select(F.col("_near_i").alias("i"), F.col("_near_h").alias("h"), F.col(text_col).cast("string").alias("_text"))
-    marked = staged(texts.select("i", "h"), "text-hashes")
-    nodes = staged(marked.groupBy("h").agg(F.min("i").alias("least")), "distinct-texts")
-    by = Window.partitionBy("s")
-    size = F.col("n").cast("long")
-    rows = prefixes(texts, width, similarity).repartition("s").groupBy("s", "h").agg(F.first("n").alias("n"), F.first("rest").alias("rest"))
-    shared = rows.select("*", F.min(F.struct("h", "n", "rest")).over(by).alias("rep"), F.count("*").over(by).alias("held")).where("held > 1").drop("held")
-    shared = staged(shared, "shared-shingles")
-
-    def possible(pairs: DataFrame) -> DataFrame:
-        """Pairs whose shared prefix shingles, and all that lie behind the prefixes, are enough."""
-        c = pairs.groupBy("ha", "hb").agg(F.count("*").alias("c"), *(F.first(x).alias(x) for x in ("na", "nb", "ra", "rb")))
-        need = similarity / (1 + similarity) * (F.col("na") + F.col("nb")) - 1e-6
-        return c.where(F.col("c") + F.greatest("ra", "rb") >= need).select("ha", "hb")
-
-    near = lambda na, nb: (F.least(na, nb) >= similarity * F.greatest(na, nb) - 1e-6)
-    stars = shared.where(F.col("h") != F.col("rep.h")).select(F.col("rep.h").alias("ha"), F.col("h").alias("hb"), F.col("rep.n").alias("na"), size.alias("nb"), F.col("rep.rest").alias("ra"), F.col("rest").alias("rb"))
-    first = alike(staged(possible(stars.where(near(F.col("na"), F.col("nb")))), "candidates"), texts, nodes, width, similarity)
-    comps = components(first, "ha", "hb")
-    grouped = shared.drop("rep").join(comps, shared["h"] == comps["node"], "left").select("s", "h", "n", "rest", F.coalesce("component", "h").alias("c"))
-    open_ = staged(grouped.select("*", F.min("c").over(by).alias("lo"), F.max("c").over(by).alias("hi")).where("lo <> hi").drop("lo", "hi"), "open-shingles")
-    a, b = open_.select("s", *(F.col(x).alias(y) for x, y in (("h", "ha"), ("n", "na"), ("rest", "ra"), ("c", "ca")))), open_.select("s", *(F.col(x).alias(y) for x, y in (("h", "hb"), ("n", "nb"), ("rest", "rb"), ("c", "cb"))))
-    met = a.join(b, (a["s"] == b["s"]) & (F.col("ha") < F.col("hb")) & (F.col("ca") != F.col("cb")) & near(F.col("na"), F.col("nb")))
-    second = alike(staged(possible(met.select("ha", "hb", "na", "nb", "ra", "rb")), "candidates"), texts, nodes, width, similarity)
-    comps = components(first.unionByName(second), "ha", "hb")
-    member = nodes.join(comps, nodes["h"] == comps["node"], "left").select("h", "least", F.coalesce("component", "h").alias("c"))
-    keep = member.groupBy("c").agg(F.min(F.struct("least", "h")).alias("k")).select(F.col("k.h").alias("_near_h"), F.col("k.least").alias("_near_i"))
-    out = given.join(keep, ["_near_h", "_near_i"], "left_semi")
-    if not marked.groupBy("i", "h").count().where("count > 1").isEmpty():
-        out = out.dropDuplicates(["_near_i", "_near_h"])
-    return out.select(docs.columns)

@@ -10,7 +10,7 @@ import zlib
 import numpy as np
 import pytest
 
-from sessionloom.llm import bpe, html, language, neighbours, packing, quality, simhash, suffixes, tokenfile, warc
+from sessionloom.llm import bpe, html, language, neardup, neighbours, packing, quality, simhash, suffixes, tokenfile, warc
 from sessionloom.llm.components import components
 
 DOCS = "doc_id long, text string, lang string, source string, id long, g string, spans string, _text string, _i string, _h string, over string, fp string"
@@ -169,7 +169,7 @@ def test_quality_line_frequency(spark):
     own = [" ".join(chr(97 + i // 10) + chr(97 + i % 10) + chr(97 + k) for k in range(25)) for i in range(60)]
     rows = [(i, f"Accept  our COOKIES {i % 10} please\n{own[i]}", "a") for i in range(60)]  # one boilerplate line
     rows += [(100 + i, f"accept our cookies 1 please\nfoo{chr(97 + i)} bar", "a") for i in range(5)]  # nothing else
-    rows += [(200 + i, "copied text " + own[0] + "\nsecond line of it " + own[1], "a") for i in range(60)]  # copies count once
+    rows += [(200 + i, "copied text " + own[0] + "\nsecond line of it " + own[1], "a") for i in range(60)]  # equal texts count once
     rows += [(300, None, None), (301, f"accept our cookies 3 please\n{own[2]}", "b")]
     df = docs(spark, rows)
     kept = {r["doc_id"]: r["kept"] for r in quality.judge(df, line_docs=20, line_share=0.0).collect()}
@@ -178,6 +178,19 @@ def test_quality_line_frequency(spark):
     assert clean[7] == own[7] and clean[301].startswith("accept") and len(clean) == 121
 
 
+def test_quality_counts_every_shared_line(spark):
+    body = [" ".join(chr(97 + i // 10) + chr(97 + i % 10) + chr(97 + k) for k in range(25)) for i in range(60)]
+    rows = []
+    for n in (2, 4, 6):
+        shared = [f"line {chr(97 + k)} of the menu" for k in range(n)]
+        rows += [(100 * n + i, "\n".join([*shared, body[i], shared[0]]), f"host{n}") for i in range(60)]
+        rows += [(100 * n + 60 + i, rows[-1][1], f"host{n}") for i in range(30)]  # copies of one of them
+    df = docs(spark, rows)
+    found = quality.frequent_lines(quality.profile(df), 20, 0.0).collect()
+    assert sorted((r["_host"], r["n_docs"]) for r in found) == sorted(("hhost" + str(n), 60) for n in (2, 4, 6) for _ in range(n))
+    assert {r["text"] for r in quality.clean(df, line_share=0.0).collect()} == set(body)
+
+
 # -- 5 language
 
 
@@ -411,9 +424,9 @@ def test_near_dedup(spark):
         rows.append((10 * k + 2, " ".join(far)))
         want.add(10 * k + 2)
     rows += [(900, None), (901, ""), (902, "Two words"), (903, "two WORDS"), (10, rows[3][1])]
-    got = [r["doc_id"] for r in simhash.near_dedup(docs(spark, rows)).collect()]
+    got = [r["doc_id"] for r in neardup.near_dedup(docs(spark, rows)).collect()]
     assert sorted(got) == sorted(want | {900, 902}), set(got) ^ (want | {900, 902})
-    assert simhash.near_dedup(docs(spark, [])).count() == 0
+    assert neardup.near_dedup(docs(spark, [])).count() == 0
 
 
 def test_near_dedup_of_texts_with_a_template(spark):
@@ -429,7 +442,39 @@ def test_near_dedup_of_texts_with_a_template(spark):
     sets = [{tuple(t.split()[k : k + 5]) for k in range(196)} for _, t in rows]
     alike = {(a, b) for a, b in itertools.combinations(range(len(rows)), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
     assert alike == {(2 * k, 2 * k + 1) for k in range(120)}
-    assert sorted(r["doc_id"] for r in simhash.near_dedup(docs(spark, rows)).collect()) == [2 * k for k in range(120)]
+    assert sorted(r["doc_id"] for r in neardup.near_dedup(docs(spark, rows)).collect()) == [2 * k for k in range(120)]
+
+
+def groups_of(texts):
+    """Group of each text by brute force: the smallest row that is linked at a Jaccard similarity of 0.8."""
+    sets, group = [{tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for t in texts], list(range(len(texts)))
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and group[a] != group[b]:
+            lo, hi = sorted((group[a], group[b]))
+            group = [lo if g == hi else g for g in group]
+    return group
+
+
+@pytest.mark.parametrize("block", [16, 2048])
+def test_near_dedup_of_families(spark, block):
+    rnd = random.Random(9)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(3000)]
+
+    def varied(base, most):
+        out = base[:]
+        for p in rnd.sample(range(len(base)), rnd.randint(0, most)):
+            out[p] = rnd.choice(words)
+        return " ".join(out)
+
+    texts = [varied(base, 8) for base in [[rnd.choice(words) for _ in range(200)] for _ in range(30)] for _ in range(6)]
+    one = [rnd.choice(words) for _ in range(120)]
+    texts += [varied(one, 8) for _ in range(150)]  # a large family, of which few are alike
+    order = rnd.sample(range(len(texts)), len(texts))
+    texts = [texts[k] for k in order]
+    group = groups_of(texts)
+    got = neardup.near_dedup(docs(spark, list(enumerate(texts))), block=block).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(set(group))
+    assert {r["over"] for r in got} == {"o"}
 
 
 # -- 10 BPE
