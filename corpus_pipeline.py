@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.llm import bpe, language, packing, quality, simhash, suffixes
+from sessionloom.llm import bpe, language, neardup, packing, quality, suffixes
 from sessionloom.llm.common import new_folder
 
 #: A document whose best cosine is below this is no text of a known language. Texts of two words reach about 0.17.
@@ -33,7 +33,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays."""
-    return simhash.near_dedup(docs)
+    return neardup.near_dedup(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +46,13 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, bpe.vocabulary("byte_bpe_50k.json"))
 
 
-STAGES = [("language_id", known_language), ("quality_rules", quality_rules), ("near_dedup", near_duplicates), ("suffix_dedup", repeated_passages), ("packing", packed)]
+STAGES = [
+    ("language_id", known_language),
+    ("quality_rules", quality_rules),
+    ("near_dedup", near_duplicates),
+    ("suffix_dedup", repeated_passages),
+    ("packing", packed),
+]
 
 #: No SQL: the stages hash, train and tokenise; tests compare them with brute-force versions.
 ORACLE_SQL = None
