@@ -6,7 +6,8 @@ Two texts are near duplicates if their sets of five-word shingles have a Jaccard
 1. Sketch. One pass over the texts gives each distinct text a SimHash of 256 bits and its
    prefix: the first fifth of its shingles (and one more) in an order that all texts share,
    common shingles last. Texts of that similarity share a shingle of their prefixes, so the
-   texts that hold a prefix shingle are the groups in which pairs are searched.
+   texts that hold a prefix shingle are the groups in which pairs are searched. The shorter
+   text of such a pair holds the shingle even in the core of its prefix, the first ninth.
 2. Stars. Each text meets the smallest text of its groups, of several the one it shares most
    with: one pair a text, however large the group. The links that the exact check leaves are
    contracted to components.
@@ -104,8 +105,13 @@ def common_shingles(texts: DataFrame, width: int) -> np.ndarray:
     return np.array([r["s"] for r in reversed(found)], np.int64).view(np.uint64)
 
 
+def beyond(share: float, n):
+    """How many of n shingles can't all be missing in a text that holds that share of them."""
+    return n - np.ceil(share * n - 1e-9).astype(int) + 1
+
+
 def sketches(texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """(i, h, n, f0.., prefix) of every row of texts (i, h, _text); a text that the task has met is not sketched again."""
+    """(i, h, n, core, f0.., prefix) of every row of texts (i, h, _text); a text that the task has met is not sketched again."""
     common = common_shingles(texts, width)
     order = np.argsort(common)
     words = [f"f{k}" for k in range(WORDS)]
@@ -117,7 +123,7 @@ def sketches(texts: DataFrame, width: int, similarity: float) -> DataFrame:
         if len(held):
             k = np.minimum(np.searchsorted(held, own), len(held) - 1)
             own = own[np.argsort(np.where(held[k] == own, rank[k], 0), kind="stable")]
-        return own[: n - int(np.ceil(similarity * n - 1e-9)) + 1].view(np.int64)
+        return own[: beyond(similarity, n)].view(np.int64)
 
     def run(batches):
         held, rank, seen = common[order], order + 1, set()
@@ -137,9 +143,11 @@ def sketches(texts: DataFrame, width: int, similarity: float) -> DataFrame:
                 made.append(sketch(own).tolist())
                 first.append(prefix(own, held, rank))
             cols = [pa.array([m and m[k] for m in made], pa.int64()) for k in range(WORDS)]
-            yield pa.RecordBatch.from_arrays([b.column("i"), b.column("h"), pa.array(sizes, pa.int32()), *cols, pa.array(first, pa.list_(pa.int64()))], ["i", "h", "n", *words, "prefix"])
+            cores = [None if n is None else int(beyond(2 * similarity / (1 + similarity), n)) for n in sizes]
+            cols = [b.column("i"), b.column("h"), pa.array(sizes, pa.int32()), pa.array(cores, pa.int32()), *cols, pa.array(first, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, ["i", "h", "n", "core", *words, "prefix"])
 
-    return texts.select("i", "h", "_text").mapInArrow(run, f"i long, h long, n int, {', '.join(w + ' long' for w in words)}, prefix array<long>")
+    return texts.select("i", "h", "_text").mapInArrow(run, f"i long, h long, n int, core int, {', '.join(w + ' long' for w in words)}, prefix array<long>")
 
 
 def early(bits: int) -> int:
@@ -148,21 +156,22 @@ def early(bits: int) -> int:
 
 
 def block_pairs(members: DataFrame, texts: DataFrame, similarity: float, nearest: int | None = None, block: int = BLOCK) -> DataFrame:
-    """(ha, hb, s): pairs of different components within the radius, of the texts (s, h, c) that share s.
+    """(ha, hb, s): pairs of different components within the radius, of the texts (s, h, c, core) that share s.
 
     With `nearest`, a text gives that many of its nearest partners in a group; a row of nulls
-    and s names each group that has more. A group of more than `block` texts is dealt into blocks; a task compares two blocks at a
-    time, and many small groups together.
+    and s names each group that has more. A group of more than `block` texts is dealt into
+    blocks; a task compares two blocks at a time, and many small groups together. Groups with one smallest text go to one task, which
+    tells the pairs that they share once.
     """
-    sizes = members.groupBy("s").agg(F.count("*").alias("held"))
+    sizes = members.groupBy("s").agg(F.count("*").alias("held"), F.min("h").alias("low"))
     own = members.join(sizes, "s").withColumn("blocks", F.ceil(F.col("held") / block).cast("int"))
     own = own.withColumn("own", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     groups = max(1, -(-members.count() // GROUP))
-    dealt = own.select("s", "h", "c", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "blocks")
-    spread = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("s"), F.lit(groups))).otherwise(F.xxhash64("s", "lo", "hi"))
+    dealt = own.select("s", "low", "h", "c", "core", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "blocks")
+    spread = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("low"), F.lit(groups))).otherwise(F.xxhash64("low", "lo", "hi"))
     words = [f"f{k}" for k in range(WORDS)]
-    held = dealt.withColumn("g", spread).join(texts.select("h", "n", "p", *words), "h").select("g", "s", "lo", "hi", "own", "h", "c", "n", "p", *words)
-    ordered = held.repartition(groups, "g").sortWithinPartitions("g", "s", "lo", "hi", "own")
+    held = dealt.withColumn("g", spread).join(texts.select("h", "n", "p", *words), "h").select("g", "low", "s", "lo", "hi", "own", "h", "c", "core", "n", "p", *words)
+    ordered = held.repartition(groups, "g").sortWithinPartitions("g", "low", "s", "lo", "hi", "own")
 
     def parts(x: np.ndarray, lo: int, hi: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """(query rows, candidate rows) that together hold every pair of different components of one group."""
@@ -178,14 +187,23 @@ def block_pairs(members: DataFrame, texts: DataFrame, similarity: float, nearest
 
     def run(batches):
         schema = pa.schema([("ha", pa.int64()), ("hb", pa.int64()), ("s", pa.int64())])
-        names = ["g", "s", "lo", "hi", "own", "h", "c", "n", "p", *words]
+        held: list[np.ndarray] = []  # pairs, or (0, s) of a group that has more, not told yet
+
+        def told():
+            pairs = np.unique(np.concatenate(held), axis=0) if held else np.zeros((0, 3), np.int64)
+            held.clear()
+            no = pairs[:, 2] == 1
+            cols = [pa.array(pairs[:, 0], pa.int64(), mask=no), pa.array(pairs[:, 1], pa.int64(), mask=no), pa.array(pairs[:, 0], pa.int64(), mask=~no)]
+            return pa.RecordBatch.from_arrays(cols, schema=schema)
+        names = ["g", "s", "lo", "hi", "own", "h", "c", "core", "n", "p", *words]
 
         def compared(x, groups):
             fps = np.stack([x[w] for w in words], axis=1).view(np.uint64)
             row, lane = sliced([(fps[q], fps[c]) for q, c in groups], RADIUS, early)
             a, b = np.concatenate([q for q, _ in groups])[row], np.concatenate([c for _, c in groups])[lane]
-            n, p = np.stack([x["n"][a], x["n"][b]]), np.stack([x["p"][a], x["p"][b]]).min(axis=0)
+            n, core, p = np.stack([x["n"][a], x["n"][b]]), np.stack([x["core"][a], x["core"][b]]), np.stack([x["p"][a], x["p"][b]]).min(axis=0)
             ok = (x["c"][a] != x["c"][b]) & (n.min(axis=0) >= similarity * n.max(axis=0) - 1e-6)
+            ok &= np.where(n[0] <= n[1], core[0], 1) & np.where(n[1] <= n[0], core[1], 1) > 0
             # what lies behind the longer prefix and what the prefixes share must be enough
             ok &= p + np.ceil(similarity * n.max(axis=0) - 1e-9) - 1 >= similarity / (1 + similarity) * n.sum(axis=0) - 1e-6
             a, b, more = a[ok], b[ok], np.zeros(0, np.int64)
@@ -197,13 +215,12 @@ def block_pairs(members: DataFrame, texts: DataFrame, similarity: float, nearest
                 rank = np.arange(len(a)) - np.repeat(new, np.diff(np.r_[new, len(a)]))
                 more = np.unique(x["s"][a[rank >= nearest]])
                 a, b = a[rank < nearest], b[rank < nearest]
-            pairs = np.unique(np.stack([np.minimum(x["h"][a], x["h"][b]), np.maximum(x["h"][a], x["h"][b])], axis=1), axis=0)
-            no = [None] * len(more)
-            cols = [pa.array([*pairs[:, 0].tolist(), *no], pa.int64()), pa.array([*pairs[:, 1].tolist(), *no], pa.int64()), pa.array([*[None] * len(pairs), *more.tolist()], pa.int64())]
-            return pa.RecordBatch.from_arrays(cols, schema=schema)
+            one, two = np.minimum(x["h"][a], x["h"][b]), np.maximum(x["h"][a], x["h"][b])
+            held.append(np.unique(np.stack([one, two, np.zeros(len(one), np.int64)], axis=1), axis=0))
+            held.append(np.stack([more, np.zeros(len(more), np.int64), np.ones(len(more), np.int64)], axis=1))
 
         def searched(x):
-            """Batches of pairs of the complete groups x."""
+            """Compare the complete groups x."""
             new = np.zeros(len(x["g"]), bool)
             new[0] = True
             for k in ("g", "s", "lo", "hi"):
@@ -216,10 +233,10 @@ def block_pairs(members: DataFrame, texts: DataFrame, similarity: float, nearest
                     groups.append((q, c))
                     size += len(q) * -(-len(c) // 64)
                 if size >= PAIRS // (64 * WORDS):
-                    yield compared(x, groups)
+                    compared(x, groups)
                     groups, size = [], 0
             if groups:
-                yield compared(x, groups)
+                compared(x, groups)
 
         def columns(tables):
             return {k: np.concatenate([t.column(k).to_numpy(zero_copy_only=False) for t in tables]) for k in names}
@@ -239,11 +256,14 @@ def block_pairs(members: DataFrame, texts: DataFrame, similarity: float, nearest
             while tail and tuple(int(x[k][tail - 1]) for k in ("g", "s", "lo", "hi")) == key:
                 tail -= 1
             if tail:
-                yield from searched({k: v[:tail] for k, v in x.items()})
+                searched({k: v[:tail] for k, v in x.items()})
+                if sum(map(len, held)) > 1_000_000:
+                    yield told()
                 waiting = [pa.RecordBatch.from_arrays([pa.array(v[tail:]) for v in x.values()], names)]
                 rows = len(x["g"]) - tail
         if waiting:
-            yield from searched(columns(waiting))
+            searched(columns(waiting))
+        yield told()
 
     return ordered.mapInArrow(run, "ha long, hb long, s long").distinct()
 
@@ -285,10 +305,13 @@ def alike(pairs: DataFrame, rows: DataFrame, texts: DataFrame, width: int, simil
 
 def near_links(rows: DataFrame, texts: DataFrame, found: DataFrame, width: int, similarity: float, rounds=ROUNDS, block: int = BLOCK) -> DataFrame:
     """(node, component) of the distinct texts that have a near duplicate. rows: i, h, _text; found: sketches."""
-    prefixes = found.where("prefix is not null").select("h", F.explode("prefix").alias("s"))
-    smallest = prefixes.groupBy("s").agg(F.min("h").alias("lo"))
-    stars = staged(prefixes.join(smallest, "s").where("h <> lo").distinct(), "shared-shingles")
-    best = stars.groupBy("h", "lo").agg(F.count("*").alias("c")).groupBy("h").agg(F.max(F.struct("c", "lo")).alias("best")).select("h", "best.lo")
+    text, in_core = lambda x: F.col(x).bitwiseAND(F.lit(-2)), lambda x: F.col(x).bitwiseAND(F.lit(1))
+    placed = found.where("prefix is not null").select("h", "core", F.posexplode("prefix").alias("k", "s"))
+    # x: the text's hash, which is even, and in its last bit whether the shingle is in the core
+    prefixes = placed.select("s", F.when(F.col("k") < F.col("core"), F.col("h").bitwiseOR(F.lit(1))).otherwise(F.col("h")).alias("x"))
+    smallest = prefixes.groupBy("s").agg(F.min("x").alias("lo"))
+    stars = staged(prefixes.join(smallest, "s").where("x <> lo").distinct(), "shared-shingles")
+    best = stars.select(text("x").alias("h"), text("lo").alias("lo")).groupBy("h", "lo").agg(F.count("*").alias("c")).groupBy("h").agg(F.max(F.struct("c", "lo")).alias("best")).select("h", "best.lo")
     words = [f"f{k}" for k in range(WORDS)]
     met = best.join(texts.select("h", "n", *words), "h").join(texts.select(F.col("h").alias("lo"), F.col("n").alias("m"), *(F.col(w).alias("o" + w) for w in words)), "lo")
     far = sum((F.bit_count(F.col(w).bitwiseXOR(F.col("o" + w))) for w in words), F.lit(0))
@@ -296,13 +319,14 @@ def near_links(rows: DataFrame, texts: DataFrame, found: DataFrame, width: int,
     first = staged(met.where(near).select(F.col("lo").alias("ha"), F.col("h").alias("hb")), "candidates")
     links = alike(first, rows, texts, width, similarity)
 
-    members = stars.select("s", "h").unionByName(stars.select("s", F.col("lo").alias("h")).distinct())
+    members = stars.select("s", "x").unionByName(stars.select("s", F.col("lo").alias("x")).distinct())
+    members = members.select("s", text("x").alias("h"), in_core("x").alias("core"))
     # p: the prefix shingles that a text shares with any other
     grouped = staged(members.groupBy("h").agg(F.count("*").cast("int").alias("p")).join(texts.select("h", "n", *words), "h"), "grouped-texts")
     comps, tested = components(links, "ha", "hb"), first
     for few, nearest in rounds:
-        named = members.join(comps, members["h"] == comps["node"], "left").select("s", "h", F.coalesce("component", "h").alias("c"))
-        mixed = named.groupBy("s").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("s")
+        named = members.join(comps, members["h"] == comps["node"], "left").select("s", "h", "core", F.coalesce("component", "h").alias("c"))
+        mixed = named.groupBy("s").agg(F.min("c").alias("a"), F.max("c").alias("b"), F.max("core").alias("core")).where("a <> b and core = 1").select("s")
         members = chosen = staged(named.join(mixed, "s", "left_semi"), "open-shingles")
         if few:
             ranked = Window.partitionBy("s", "c").orderBy(F.xxhash64("h"), "h")
@@ -314,14 +338,14 @@ def near_links(rows: DataFrame, texts: DataFrame, found: DataFrame, width: int,
         left = sought.where("s is not null").select("s")
         if few:
             left = left.unionByName(members.groupBy("s", "c").agg(F.count("*").alias("held")).where(F.col("held") > few).select("s"))
-        members, tested = members.select("s", "h").join(left.distinct(), "s", "left_semi"), tested.unionByName(pairs)
+        members, tested = members.drop("c").join(left.distinct(), "s", "left_semi"), tested.unionByName(pairs)
     return comps
 
 
 def near_dedup(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", rounds=ROUNDS, block: int = BLOCK) -> DataFrame:
     """The documents, all their columns, one of each group of near duplicates."""
     text = F.col(text_col).cast("string")
-    given = docs.withColumn("_near_i", F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))).withColumn("_near_h", F.xxhash64(F.coalesce(text, F.lit(""))))
+    given = docs.withColumn("_near_i", F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))).withColumn("_near_h", F.xxhash64(F.coalesce(text, F.lit(""))).bitwiseAND(F.lit(-2)))
     rows = given.select(F.col("_near_i").alias("i"), F.col("_near_h").alias("h"), text.alias("_text"))
     found = staged(sketches(rows, width, similarity), "sketches")
     texts = staged(found.groupBy("h").agg(F.min("i").alias("least"), *(F.max(x).alias(x) for x in ("n", *(f"f{k}" for k in range(WORDS))))), "distinct-texts")
