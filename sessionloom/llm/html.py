@@ -1,21 +1,26 @@
 """Main-text extraction: gradient-boosted trees over DOM-node features, decoded hierarchically.
 
 * A small tag-soup reader builds the DOM of a page: void elements, raw-text elements,
-  implied ends of paragraphs and list items, unclosed and stray tags.
+  implied ends of paragraphs and list items, unclosed and stray tags. It reads any text in
+  linear time: every character is looked at a bounded number of times.
 * Every element has features: text and tag density of its subtree, share of link text,
   depth, place among its siblings and how alike they are, and how often its tag and the words
   of its class, id and role stood inside or outside of main text in the training pages.
-* Training labels come from the pages themselves: elements in `article` or `main` count as
-  main text, elements that NOT_MAIN words name (and all around the article) as not. In half
-  of the copies tag and attribute words of the element and its ancestors are masked, so that
-  the trees also learn the structure. At most `sample` pages are read for training.
+* Training labels have two sources. By structure: the subtree that holds the most running
+  text is main text, less what is mostly links, and less texts that many training pages
+  repeat. By names, in pages with `article` or `main`: what lies in them is main text, less
+  elements that NOT_MAIN words name. Where both exist, names decide and elements on which
+  they disagree weigh less; other pages have the labels of structure alone. In half of the
+  copies tag and attribute words are masked, so that the trees also learn the structure. At
+  most `sample` pages are read for training.
 * Decoding: each element is outside, main, or cut out of main; only outside -> main -> cut is
   allowed from parent to child, so no choice contradicts that of an ancestor. The best
   labelling of a page is found by dynamic programming over the tree.
 
-Defined cases: null or empty html gives an empty text; a page without elements is plain text
-and outside of main text; pages are judged alone, so repeated rows give the same text; other
-columns are ignored.
+Defined cases: null or empty html gives an empty text; a page without block elements is plain
+text and all of it main text; an unclosed tag at the end is text; a quote that is never closed ends
+with its tag; pages are judged alone, so repeated rows give the same text; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -39,7 +44,8 @@ CLOSED_BY = {"li": "li", "dt": "dd dt", "dd": "dd dt", "tr": "tr td th", "td": "
 NOT_MAIN = frozenset("nav navigation navbar menu header masthead footer sidebar aside widget ad ads advert advertisement sponsor sponsored promo banner cookie consent notice popup modal share social comment comments respond related recommended breadcrumb breadcrumbs pagination pager subscribe newsletter login signup form search toolbar copyright disclaimer".split())
 MAIN = frozenset(("article", "main"))
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|([^<]+)|<""", re.S)
+NAME = re.compile(r"/?([a-zA-Z][^\s/>]*+)")
+QUOTED = re.compile(r"""[^>"']*+(?:(?:"[^"]*+"|'[^']*+')[^>"']*+)*+""")
 ATTR = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 WORD = re.compile(r"[a-z]+")
 
@@ -54,51 +60,74 @@ class Page:
         #: (element, text, begins a new block)
         self.texts: list[tuple[int, str, bool]] = []
         stack, tag, at, fresh = [0], self.tag, 0, True
-        size = len(html)
+        #: of each open element: the place in the stack of the paragraph that a block would close, or 0
+        paragraph, opened = [0], {}
+        size, last, last_cdata, quotes = len(html), html.rfind(">"), html.rfind("]]>"), True
+
+        def close(k):
+            for node in stack[k:]:
+                opened[tag[node]] -= 1
+            del stack[k:], paragraph[k:]
+
+        def say(text):
+            nonlocal fresh
+            self.texts.append((stack[-1], entities.unescape(text) if "&" in text else text, fresh))
+            fresh = False
+
         while at < size:
-            m = TOKEN.match(html, at)
-            if m is None:
+            start = html.find("<", at)
+            if start != at:
+                say(html[at:start] if start > 0 else html[at:])
+                at = start if start > 0 else size
+                continue
+            if at > last:  # no tag ends any more
+                say(html[at:])
                 break
-            at = m.end()
-            name = m.group(2)
-            if name is None:
-                text = m.group(4) or ("<" if m.group() == "<" else "")
-                if text:
-                    self.texts.append((stack[-1], entities.unescape(text) if "&" in text else text, fresh))
-                    fresh = False
+            if html.startswith("<!--", at):
+                end = html.find("-->", at + 4)
+                at = end + 3 if end >= 0 else size
+                continue
+            if html.startswith("<![CDATA[", at) and at < last_cdata:
+                at = html.find("]]>", at) + 3
                 continue
-            name = name.lower()
+            if html[at + 1 : at + 2] in ("!", "?"):
+                at = html.find(">", at) + 1
+                continue
+            m = NAME.match(html, at + 1)
+            if m is None:
+                say("<")
+                at += 1
+                continue
+            end = QUOTED.match(html, m.end()).end() if quotes else html.find(">", m.end())
+            if end >= size or html[end] != ">":  # a quote is never closed: from here on quotes mean nothing
+                quotes, end = False, html.find(">", m.end())
+            attrs, name, closing = html[m.end() : end], m.group(1).lower(), html[at + 1] == "/"
+            at = end + 1
             if name not in INLINE:
                 fresh = True
-            if m.group(1):
-                for k in range(len(stack) - 1, 0, -1):
-                    if tag[stack[k]] == name:
-                        del stack[k:]
-                        break
+            if closing:
+                if opened.get(name):
+                    close(next(k for k in range(len(stack) - 1, 0, -1) if tag[stack[k]] == name))
                 continue
             if name in CLOSES_P:
-                for k in range(len(stack) - 1, 0, -1):
-                    t = tag[stack[k]]
-                    if t == "p":
-                        del stack[k:]
-                        break
-                    if t not in INLINE:
-                        break
+                if paragraph[-1]:
+                    close(paragraph[-1])
             elif name in CLOSED_BY and tag[stack[-1]] in CLOSED_BY[name].split():
-                stack.pop()
+                close(len(stack) - 1)
             if name in VOID:
                 continue
-            attrs = m.group(3)
             node = len(tag)
             tag.append(name)
             self.parent.append(stack[-1])
             self.depth.append(len(stack))
-            self.words.append(tuple(dict.fromkeys(w for a in ATTR.findall(attrs) for w in WORD.findall("".join(a).lower()))) if attrs and "=" in attrs else ())
+            self.words.append(tuple(dict.fromkeys(w for a in ATTR.findall(attrs) for w in WORD.findall("".join(a).lower()))) if "=" in attrs else ())
             if name in RAW:
-                end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, at)
-                at = end.end() if end else size
+                found = re.compile(rf"</{re.escape(name)}\s*+>", re.I).search(html, at)
+                at = found.end() if found else size
             elif not attrs.rstrip().endswith("/") or name not in ("path", "use"):
+                paragraph.append(len(stack) if name == "p" else paragraph[-1] if name in INLINE else 0)
                 stack.append(node)
+                opened[name] = opened.get(name, 0) + 1
 
     def text(self, keep) -> str:
         """Text of the kept elements: blanks within a block to one space, blocks joined by one space."""
@@ -173,7 +202,7 @@ def features(page: Page, odds: dict[str, float], mask: bool = False) -> np.ndarr
     return np.stack(cols, axis=1).astype(np.float32)
 
 
-def weak_labels(page: Page) -> list[int] | None:
+def named_labels(page: Page) -> list[int] | None:
     """1 in main text, 0 outside, by sectioning elements and boilerplate words; None if the page has no such element."""
     if not MAIN & set(page.tag):
         return None
@@ -184,6 +213,57 @@ def weak_labels(page: Page) -> list[int] | None:
     return out
 
 
+#: Characters of a text that may be running text.
+RUNNING = 60
+
+
+def plain(text: str) -> str:
+    return " ".join(text.split())
+
+
+def structural_labels(page: Page, repeated: set[str]) -> list[int] | None:
+    """The same by structure alone: the subtree with the most running text, less links and repeated texts; None without any."""
+    n, parent = len(page.tag), page.parent
+    total, linked, template = [0.0] * n, [0.0] * n, [0.0] * n
+    in_link = [False] * n
+    for k in range(1, n):
+        in_link[k] = in_link[parent[k]] or page.tag[k] == "a"
+    for node, text, _ in page.texts:
+        size = len(plain(text))
+        total[node] += size
+        linked[node] += size * in_link[node]
+        template[node] += size * (plain(text) in repeated)
+    for k in range(n - 1, 0, -1):
+        for x in (total, linked, template):
+            x[parent[k]] += x[k]
+    good = [max(0.0, total[k] - 2 * max(linked[k], template[k])) for k in range(n)]
+    own = [0.0] * n  # running text in the element itself or its inline parts
+    for node, text, _ in page.texts:
+        k = node
+        while k and page.tag[k] in INLINE and parent[k]:
+            k = parent[k]
+        size = len(plain(text))
+        own[k] += size if not in_link[node] and plain(text) not in repeated else -size
+    running = [x if x >= RUNNING else 0.0 for x in own]
+    below = running[:]
+    for k in range(n - 1, 0, -1):
+        below[parent[k]] += below[k]
+    if not below[0]:
+        return None
+    top = 0
+    while True:  # down to the smallest element that holds nearly all running text
+        kids = [k for k in range(top + 1, n) if parent[k] == top and below[k] >= 0.8 * below[0]]
+        if not kids:
+            break
+        top = kids[0]
+    out = [0] * n
+    for k in range(max(1, top), n):
+        inside = k == top or out[parent[k]] == 1 or parent[k] == top
+        linky = linked[k] > 0.5 * total[k] or template[k] > 0.5 * total[k]
+        out[k] = int(inside and not (total[k] and linky and page.tag[k] not in INLINE) and page.tag[k] not in RAW and (good[k] > 0 or not total[k] or page.tag[k] in INLINE))
+    return out
+
+
 class Trees:
     """Gradient boosting of binary decisions with histograms, logistic loss and trees of fixed depth."""
 
@@ -269,7 +349,17 @@ def decode(parent: list[int], odds: list[float], own: list[float]) -> list[bool]
 class Extractor:
     def __init__(self, pages: list[str]) -> None:
         read = [Page(h or "") for h in pages]
-        labels = [weak_labels(p) for p in read]
+        held: dict[str, int] = {}
+        for p in read:
+            for text in {plain(t) for _, t, _ in p.texts}:
+                held[text] = held.get(text, 0) + 1
+        repeated = {t for t, n in held.items() if n >= max(3, len(read) // 50)}
+        labels, weights = [], []
+        for p in read:
+            by_name, by_shape = named_labels(p), structural_labels(p, repeated)
+            y = by_name or by_shape
+            labels.append(y)
+            weights.append([1.0 if not (by_name and by_shape) or by_name[k] == by_shape[k] else 0.5 for k in range(len(p.tag))])
         counts: dict[str, list[float]] = {}
         for p, y in zip(read, labels, strict=True):
             for k in range(len(p.tag) if y else 0):
@@ -281,17 +371,18 @@ class Extractor:
             self.odds.setdefault("<" + w, -3.0)
         for w in MAIN:
             self.odds.setdefault("<" + w, 3.0)
-        x, y = [], []
-        for p, own in zip(read, labels, strict=True):
+        x, y, z = [], [], []
+        for p, own, weight in zip(read, labels, weights, strict=True):
             if own:
                 for mask in (False, True):
                     x.append(features(p, self.odds, mask))
                     y.append(own)
+                    z.append(weight)
         self.model = None
         if x:
-            x, y = np.concatenate(x), np.concatenate(y).astype(float)
+            x, y, z = np.concatenate(x), np.concatenate(y).astype(float), np.concatenate(z)
             if 0 < y.mean() < 1:
-                self.model = Trees().fit(x, y, 0.2 + x[:, 9].astype(float))
+                self.model = Trees().fit(x, y, z * (0.2 + x[:, 9].astype(float)))
 
     def texts(self, pages: list[str | None]) -> list[str]:
         read = [Page(h or "") for h in pages]
@@ -299,12 +390,13 @@ class Extractor:
         if not read:
             return []
         x = np.concatenate(tables)
-        # without a labelled page to learn from, the words alone decide
-        score = self.model.predict(x) if self.model else np.where(x[:, 11] < -1, -1.0, x[:, 12] - 0.5)
+        # without a page to learn from: running text of few links that no boilerplate word names
+        score = self.model.predict(x) if self.model else np.where(x[:, 11] < -1, -3.0, 2.0 - 4 * x[:, 2])
         out, at = [], 0
         for p, t in zip(read, tables, strict=True):
             n = len(t)
-            keep = decode(p.parent, score[at : at + n].tolist(), np.expm1(t[:, 9]).tolist())
+            bare = all(x in INLINE for x in p.tag[1:])  # a page without blocks is plain text
+            keep = [True] * n if bare else decode(p.parent, score[at : at + n].tolist(), np.expm1(t[:, 9]).tolist())
             out.append(p.text(keep))
             at += n
         return out

@@ -319,7 +319,7 @@ def test_html(spark):
     for i in range(40):
         assert got[i]["text"] == f"Head & more {i} First paragraph, quite long and full of words {i}. Second line of it. And it goes on, as texts do, for a while. Another one: a < b, and that is that. Words and words."
         assert got[i]["n_chars"] == len(got[i]["text"]) and got[i]["url"] == f"u{i}"
-    assert all(got[i]["text"] == "" for i in (100, 101, 102)) and "Cut off" in got[103]["text"] and got[None]["text"] == got[1]["text"]
+    assert all(got[i]["text"] == "" for i in (100, 101)) and got[102]["text"] == "just text" and "Cut off" in got[103]["text"] and got[None]["text"] == got[1]["text"]
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
@@ -347,6 +347,45 @@ def test_decoding_has_no_contradictions():
         assert abs(v - best) < 1e-9
 
 
+def paged(k, shape):
+    """A page of host k % 3 whose parts are named by `shape`: (menu, body, foot) tags."""
+    rnd = random.Random(k)
+    said = [" ".join("".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(25)) + "." for _ in range(5)]
+    menu = "".join(f"<li><a href='/{x}'>{x} page</a></li>" for x in ("home", "news", "about", "contact"))
+    a, b, c = shape
+    return f"<html><body><{a}><ul>{menu}</ul></{a}><{b}>" + "".join(f"<p>{x}</p>" for x in said) + f"</{b}><{c}><p>All words on this page belong to the owners of host {k % 3}.</p></{c}></body></html>", " ".join(said)
+
+
+def test_html_without_sectioning_elements():
+    pages = [paged(k, ("div", "div", "div")) for k in range(60)]
+    model = html.Extractor([h for h, _ in pages])
+    assert np.mean([t == want for t, (_, want) in zip(model.texts([h for h, _ in pages]), pages, strict=True)]) >= 0.9
+    assert model.texts(["just text", "a <b>bold</b> word", "", None, "5 < 6"]) == ["just text", "a bold word", "", "", "5 < 6"]
+    named = [paged(k, ("nav", "article", "footer")) for k in range(60)]
+    model = html.Extractor([h for h, _ in named])
+    assert model.texts([h for h, _ in named]) == [want for _, want in named]
+    assert np.mean([t == want for t, (_, want) in zip(model.texts([h for h, _ in pages]), pages, strict=True)]) >= 0.9
+
+
+@pytest.mark.parametrize("bad", ["<a ", '<a "', "<a '\">", "<![CDATA[x>", "<!--", "<", "<b>", "</x>", "&#"])
+def test_html_reader_is_linear(bad):
+    import time
+
+    started = time.time()
+    html.Page(bad * (1_000_000 // len(bad)))
+    html.Page("<p><div>" + "<b>" * 100_000 + bad * 100_000 + "<hr></x>" * 50_000)
+    assert time.time() - started < 20
+
+
+def test_html_broken_quotes_and_clashing_columns(spark):
+    page = "<article><p class=\"x>first words</p><p>second words here</p></article><p title='never closed>tail"
+    assert "second words here" in html.Page(page).text([True] * 10)
+    rows = [(1, page, "t", "n", 5), (1, page, "t", "n", 5), (2, None, None, None, None), (None, "", "t", "n", 1), (3, "<p>long</p>" * 50_000, "t", "n", 1)]
+    df = spark.createDataFrame(rows, "page_id long, html string, text string, _html string, n_chars long").withColumn("url", __import__("pyspark.sql.functions", fromlist=["lit"]).lit("u"))
+    got = html.extract(df).collect()
+    assert len(got) == 5 and sorted({r["page_id"] for r in got}, key=str) == [1, 2, 3, None] and all(r["n_chars"] == len(r["text"]) for r in got)
+
+
 # -- 9 SimHash
 
 
