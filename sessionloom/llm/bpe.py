@@ -222,9 +222,10 @@ def tree_piece(enc: Encoder, piece: str) -> list[int]:
 def _cut(enc: Encoder, text: str, last: bool) -> tuple[str, str]:
     """(rest, edge piece) at one end of a leaf; rest is empty if the leaf has no safe cut."""
     if enc.suffix:
-        k = text.rfind(" ") if last else text.find(" ")
-        if k < 0:
+        found = [k for k in (text.rfind(x) if last else text.find(x) for x in " \n") if k >= 0]
+        if not found:
             return "", text
+        k = max(found) if last else min(found)
         return (text[: k + 1], text[k + 1 :]) if last else (text[k:], text[:k])
     cuts = [m.start() for m in re.finditer(r"(?<=\S)(?= \S)", text)]
     if not cuts:
@@ -237,20 +238,21 @@ def concatenate(enc: Encoder, a: tuple[str, bytes], b: tuple[str, bytes]) -> tup
     (ta, ia), (tb, ib) = a, b
     if not ta or not tb:
         return (ta + tb, ia + ib)
-    rest_a, edge_a = _cut(enc, ta[-PIECE:], True)
-    rest_b, edge_b = _cut(enc, tb[:PIECE], False)
-    if not rest_a or not rest_b or any(s[:1] in edge_a + edge_b for s in enc.specials):
-        reach = PIECE  # the window grows to the next safe cut on both sides
-        while True:
-            reach *= 4
-            rest_a, edge_a = _cut(enc, ta[-reach:], True)
-            rest_b, edge_b = _cut(enc, tb[:reach], False)
-            if (rest_a or reach >= len(ta)) and (rest_b or reach >= len(tb)):
-                break
-    na, nb = len(enc.encode(edge_a)), len(enc.encode(edge_b))
-    if ia[len(ia) - na :] != enc.encode(edge_a) or ib[:nb] != enc.encode(edge_b):
-        raise ValueError("the sides of a join don't agree with their own edges")
-    return ta + tb, ia[: len(ia) - na] + enc.encode(edge_a + edge_b) + ib[nb:]
+    reach = PIECE
+    while True:  # the window grows until it ends at safe cuts and both sides agree with it
+        rest_a, edge_a = _cut(enc, ta[-reach:], True)
+        rest_b, edge_b = _cut(enc, tb[:reach], False)
+        whole_a, whole_b = reach >= len(ta), reach >= len(tb)
+        if whole_a and whole_b and not (rest_a and rest_b):
+            return ta + tb, enc.encode(ta + tb)
+        safe = reach > PIECE or not any(s[:1] in edge_a + edge_b for s in enc.specials)
+        if safe and (rest_a or whole_a) and (rest_b or whole_b):
+            left, right = enc.encode(edge_a), enc.encode(edge_b)
+            if ia.endswith(left) and ib.startswith(right):
+                return ta + tb, ia[: len(ia) - len(left)] + enc.encode(edge_a + edge_b) + ib[len(right) :]
+            if whole_a and whole_b:
+                return ta + tb, enc.encode(ta + tb)
+        reach *= 4
 
 
 def tree(enc: Encoder, leaves: list[tuple[str, bytes]]) -> bytes:

@@ -17,11 +17,14 @@ _LOCAL: dict[str, str] = {}
 def shared_folder(spark: SparkSession) -> str:
     """Folder that the driver and all executors see: `spark.checkpoint.dir`.
 
-    Where that is unset (tests on one machine) a temporary folder stands in.
+    Where that is unset a temporary folder stands in if all work is done on this machine; on
+    a cluster it is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if "dir" not in _LOCAL:
         _LOCAL["dir"] = "file://" + tempfile.mkdtemp(prefix="spark-llm-")
     return _LOCAL["dir"]

@@ -22,7 +22,9 @@ sorted.
    marked.
 5. Marked runs are merged per document and cut out.
 
-Hashes are 64-bit and only preselect; places at which segments differ are compared by bytes.
+Anchors and segments have 64-bit hashes. Segments of one anchor with equal hashes count as
+equal without a look at their bytes: two different ones do with probability 2^-64 a pair.
+Segments that differ are compared by bytes, in the merge.
 
 Defined cases: null and empty texts have no bytes; documents shorter than `least` stay whole;
 of repeated rows (and of rows with one id, by hash of their text) all but the first lose what

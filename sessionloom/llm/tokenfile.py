@@ -207,10 +207,20 @@ def read(manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def lookup(manifest: DataFrame, wanted: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id, ids) of the wanted ids. Each shard decompresses only the frames that they lie in."""
+    """(id, ids) of the wanted ids. Each shard decompresses only the frames that they lie in.
+
+    Shards are ranges of ids that only touch: the shard of an id is the one with the greatest
+    first id up to it, and those before it that end there. Ids and shards meet in buckets of ids
+    that hold about one shard, so the join has equal keys.
+    """
     ids = wanted.select(F.col(id_col).cast("long").alias("_w")).distinct()
-    shards = manifest.select("uri", "first_id", "last_id")
-    pairs = ids.join(shards, F.col("_w").between(F.coalesce("first_id", F.lit(-(1 << 63))), F.col("last_id"))).repartition("uri").sortWithinPartitions("uri", "_w")
+    shards = manifest.select("uri", F.coalesce("first_id", F.lit(-(1 << 63))).alias("first_id"), "last_id")
+    low, high, n = manifest.agg(F.min("first_id"), F.max("last_id"), F.count("*")).first()
+    width = max(1, ((high or 0) - (low or 0)) // max(1, n) + 1)
+    bucket = lambda c: F.greatest(F.lit(0), F.floor((F.col(c).cast("decimal(20,0)") - F.lit(low or 0)) / F.lit(width))).cast("long")
+    spread = shards.withColumn("_b", F.explode(F.sequence(bucket("first_id"), bucket("last_id"))))
+    met = ids.withColumn("_b", bucket("_w")).join(spread, "_b").where(F.col("_w").between(F.col("first_id"), F.col("last_id")))
+    pairs = met.select("uri", "_w").repartition("uri").sortWithinPartitions("uri", "_w")
 
     def run(batches):
         uri, reader, asked = None, None, set()
