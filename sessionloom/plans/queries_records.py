@@ -461,7 +461,11 @@ def _streamed(spark, sf, job, keys):
     import tempfile
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-stream-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-stream-")
     out = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
     schema = A.table(spark, sf, "events").schema
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{sf}/events.parquet*")
