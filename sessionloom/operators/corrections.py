@@ -111,34 +111,38 @@ def validate(ops: DataFrame, units: DataFrame) -> DataFrame:
 
 
 def apply(member: DataFrame, state: DataFrame, sessions: DataFrame) -> DataFrame:
-    """(session_id, unit, mode, start, end, label, hidden) after the corrections of one workspace.
+    """(workspace, session_id, unit, mode, start, end, label, hidden) after the corrections of each workspace.
 
-    Order: hidden sessions leave; a moved session is placed last in log order: into a group,
-    else into a unit that exists, else where it was; cut sessions without a unit become parts;
-    merged units lose their own. member: session_id, unit, mode; sessions: session_id, n_prompts.
+    Order: hidden sessions leave; a moved session goes into a group, else into a unit that
+    exists, else where it was; cut sessions without a unit become parts; merged units lose their
+    own. member: workspace, session_id, unit, mode; sessions: workspace, session_id, n_prompts.
     """
-    of = lambda kind: state.where(F.col("kind") == kind)
-    shown = member.join(of("hidden_session").select(F.col("subject").alias("session_id")), "session_id", "left_anti")
-    moves = of("move").select(F.col("subject").alias("session_id"), F.col("target"))
-    groups = of("group").select(F.col("subject").alias("g"), F.col("target").alias("group_label"))
-    placed = shown.join(moves, "session_id", "left_anti")
-    exists = placed.select("unit").distinct().withColumn("there", F.lit(True)).unionByName(groups.select(F.col("g").alias("unit")).withColumn("there", F.lit(True))).dropDuplicates(["unit"])
-    moved = shown.join(moves, "session_id")
-    target = moved.join(exists.withColumnRenamed("unit", "target"), "target", "left").select("session_id", "unit", "mode", "target", "there")
-    to_target = target.where("there").select("session_id", F.col("target").alias("unit"), F.lit("forced").alias("mode")).distinct()
-    back = target.where("there is null").select("session_id", "unit", "mode")
-    rows = placed.unionByName(to_target).unionByName(back).withColumn("start", F.lit(None).cast("int")).withColumn("end", F.lit(None).cast("int"))
     from .ranges import pieces
 
-    parts = pieces(of("cut").select(F.col("subject").alias("session_id"), "start", "end", F.col("target").alias("label")), sessions.select("session_id", F.col("n_prompts").alias("n")))
-    loose = rows.where(F.startswith("unit", F.lit("session:")) & (F.col("mode") == "main"))
-    cut = loose.drop("start", "end").join(parts.drop("label"), "session_id").select("session_id", F.concat("unit", F.lit("#"), "start", F.lit("-"), "end").alias("unit"), "mode", "start", "end")
-    rows = rows.join(cut.select("session_id").distinct().withColumn("_cut", F.lit(True)), "session_id", "left").where(~(F.coalesce("_cut", F.lit(False)) & F.startswith("unit", F.lit("session:")))).drop("_cut").unionByName(cut)
-    merged = of("merge").select(F.col("subject").alias("g"), F.col("target").alias("unit"))
-    joined = rows.join(merged, "unit", "left").select("session_id", F.coalesce("g", "unit").alias("unit"), F.when(F.col("g").isNotNull(), "forced").otherwise(F.col("mode")).alias("mode"), "start", "end")
+    who, where = ["workspace", "session_id"], ["workspace", "unit"]
+    of = lambda kind, **names: state.where(F.col("kind") == kind).select("workspace", *(F.col(c).alias(n) for n, c in names.items()))
+    shown = member.join(of("hidden_session", session_id="subject"), who, "left_anti")
+    moves, groups = of("move", session_id="subject", target="target"), of("group", unit="subject", group_label="target")
+    placed = shown.join(moves, who, "left_anti")
+    exists = placed.select(*where).unionByName(groups.select(*where)).distinct().withColumn("there", F.lit(True))
+    target = shown.join(moves, who).join(exists.withColumnRenamed("unit", "target"), ["workspace", "target"], "left")
+    to_target = target.where("there").select(*who, F.col("target").alias("unit"), F.lit("forced").alias("mode")).distinct()
+    back = target.where("there is null").select(*who, "unit", "mode")
+    rows = placed.select(*who, "unit", "mode").unionByName(to_target).unionByName(back)
+    rows = rows.withColumn("start", F.lit(None).cast("int")).withColumn("end", F.lit(None).cast("int"))
+    both = F.concat_ws("\u0001", "workspace", "session_id")  # one key for the ranges of a session in a workspace
+    cuts = state.where("kind = 'cut'").withColumn("session_id", F.col("subject")).select(both.alias("session_id"), "start", "end", F.col("target").alias("label"))
+    parts = pieces(cuts, sessions.select(both.alias("session_id"), F.col("n_prompts").alias("n"))).select(F.col("session_id").alias("_key"), "start", "end")
+    loose = rows.where(F.startswith("unit", F.lit("session:")) & (F.col("mode") == "main")).drop("start", "end").withColumn("_key", both)
+    cut = loose.join(parts, "_key").select(*who, F.concat("unit", F.lit("#"), "start", F.lit("-"), "end").alias("unit"), "mode", "start", "end")
+    gone = cut.select(*who).distinct().withColumn("_cut", F.lit(True))
+    rows = rows.join(gone, who, "left").where(~(F.coalesce("_cut", F.lit(False)) & F.startswith("unit", F.lit("session:")))).drop("_cut").unionByName(cut)
+    merged = of("merge", g="subject", unit="target")
+    mode = F.when(F.col("g").isNotNull(), "forced").otherwise(F.col("mode"))
+    joined = rows.join(merged, where, "left").select(*who, F.coalesce("g", "unit").alias("unit"), mode.alias("mode"), "start", "end")
     # two parts of one session in one group give the session back as a whole
-    whole = joined.groupBy("session_id", "unit").agg(F.min("mode").alias("mode"), F.when(F.count("*") == 1, F.max("start")).alias("start"), F.when(F.count("*") == 1, F.max("end")).alias("end"))
-    labels = of("label").select(F.col("subject").alias("unit"), F.col("target").alias("label"))
-    hidden = of("hidden_unit").select(F.col("subject").alias("unit")).withColumn("hidden", F.lit(True))
-    out = whole.join(labels, "unit", "left").join(groups.withColumnRenamed("g", "unit"), "unit", "left").join(hidden, "unit", "left")
-    return out.select("session_id", "unit", "mode", "start", "end", F.coalesce("label", "group_label").alias("label"), F.coalesce("hidden", F.lit(False)).alias("hidden"))
+    alone = lambda c: F.when(F.count("*") == 1, F.max(c)).alias(c)
+    whole = joined.groupBy(*who, "unit").agg(F.min("mode").alias("mode"), alone("start"), alone("end"))
+    labels, hidden = of("label", unit="subject", label="target"), of("hidden_unit", unit="subject").withColumn("hidden", F.lit(True))
+    out = whole.join(labels, where, "left").join(groups, where, "left").join(hidden, where, "left")
+    return out.select(*who, "unit", "mode", "start", "end", F.coalesce("label", "group_label").alias("label"), F.coalesce("hidden", F.lit(False)).alias("hidden"))

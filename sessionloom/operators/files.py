@@ -114,3 +114,21 @@ def tool_events(records: DataFrame) -> DataFrame:
     result = flat.where("b.type = 'tool_result'").withColumn("call_id", F.col("b.tool_use_id")).join(asked, ["session_id", "source", "call_id"]).where(F.struct("line_no", "i") > F.col("first")).select("session_id", "source", seq, "ts", text.alias("text"))
     out = commit_output(result).select("session_id", "source", "seq", "ts", "kind", none("path"), none("cwd"), none("cmd"), "hash", "branch", "msg", "ref")
     return edit.unionByName(revert).unionByName(out)
+
+
+#: Files of a session that are listed.
+MOST_FILES = 60
+
+
+def session_files(turns: DataFrame, most: int = MOST_FILES) -> DataFrame:
+    """(session_id, path, short, kind, place): work files that a session created, then those it edited, by path.
+
+    turns: session_id, turn, cwd, files and written (arrays of absolute paths).
+    """
+    rows = turns.select("session_id", "turn", "cwd", F.explode(F.array_distinct("files")).alias("path"), "written")
+    rows = rows.where(F.startswith("path", F.lit("/")) & X.is_work_file("path"))
+    created = F.bool_or(F.coalesce(F.array_contains("written", F.col("path")), F.lit(False)))
+    held = rows.groupBy("session_id", "path").agg(created.alias("created"), F.min_by(X.short_path("path", F.col("cwd")), "turn").alias("short"))
+    order = Window.partitionBy("session_id").orderBy(F.desc("created"), "short", "path")
+    placed = held.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+    return placed.select("session_id", "path", "short", F.when(F.col("created"), "created").otherwise("edited").alias("kind"), "place")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 
-# Page size, prompt and reply lengths of a transcript at three levels.
+# Page size, prompt and reply lengths of a transcript at three levels; lengths and number of shown commands.
+COMMAND, SHOWN_COMMANDS, SHOWN_COMMAND = 200, 8, 300
 PAGE, PAGE_MOST, PROMPT, REPLY, MOST_CHARS = 40, 100, 700, 500, 150_000
 LEVELS = ((700, 500), (350, 250), (180, 120))
 
@@ -20,6 +21,23 @@ def scoped(turns: DataFrame, key: Column, since: Column, main: Column, scope: st
     return rows.where("mine") if scope == "mine" else rows.where("new") if scope == "new" else rows
 
 
+def within(turns: DataFrame, parts: DataFrame) -> DataFrame:
+    """Turns of units that are part of a session: those inside of start..end. parts: session_id, start, end; sessions without a row stay whole."""
+    p = parts.select(F.col("session_id").alias("_s"), F.col("start").alias("_a"), F.col("end").alias("_b"))
+    rows = turns.join(p, F.col("session_id") == F.col("_s"), "left")
+    return rows.where(F.col("_s").isNull() | F.col("turn").between(F.col("_a"), F.col("_b"))).drop("_s", "_a", "_b")
+
+
+def hidden_noise(turns: DataFrame) -> DataFrame:
+    """(session_id, shown, hidden_noise): messages that a page shows, and automatic ones that it leaves out."""
+    return turns.groupBy("session_id").agg(F.count_if(~F.col("noise")).alias("shown"), F.count_if("noise").alias("hidden_noise"))
+
+
+def git_commands(turns: DataFrame, pattern: str) -> Column:
+    """The commands of a turn that match; none if the table has no commands."""
+    return F.filter("commands", lambda c: c.rlike(pattern)) if "commands" in turns.columns else F.array().cast("array<string>")
+
+
 def page(rows: DataFrame, offset: int = 0, limit: int = PAGE) -> DataFrame:
     """One page of each session's messages, with the total."""
     by = Window.partitionBy("session_id")
@@ -29,8 +47,9 @@ def page(rows: DataFrame, offset: int = 0, limit: int = PAGE) -> DataFrame:
 
 
 def usable(turns: DataFrame) -> Column:
-    """Not noise, and edited files or said something."""
-    return ~F.col("noise") & ((F.size("files") > 0) | (~F.col("compaction") & (X.meaningful("text") != "")))
+    """Not noise, and edited files, ran git, or said something."""
+    worked = (F.size("files") > 0) | (F.size(git_commands(turns, X.GIT_WORK)) > 0)
+    return ~F.col("noise") & (worked | (~F.col("compaction") & (X.meaningful("text") != "")))
 
 
 def contents(turns: DataFrame, scan: int = 12) -> DataFrame:
@@ -55,14 +74,15 @@ def skeleton(turns: DataFrame, bounds: DataFrame) -> DataFrame:
 
 
 def transcript(turns: DataFrame, spans: DataFrame, prompt: int = PROMPT, reply: int = REPLY) -> DataFrame:
-    """(session_id, text): tagged lines of the selected turns: prompt, last reply, edits. spans: session_id, start, end, lead."""
+    """(session_id, text): tagged lines of the selected turns: prompt, last reply, edits, git commands. spans: session_id, start, end, lead."""
     s = spans.select(F.col("session_id").alias("ss"), "start", "end", "lead")
     rows = turns.join(s, (F.col("session_id") == F.col("ss")) & F.col("turn").between(F.col("start"), F.col("end")))
     tag = F.concat(F.lit("[s:"), "session_id", F.lit(" t:"), F.col("turn").cast("string"), F.lit(" "), F.date_format("ts", "MM-dd'T'HH:mm"), F.lit("]"), F.when(F.col("lead"), " (lead-up context)").otherwise(""))
     said = F.when(~F.col("noise"), F.concat(tag, F.lit(" USER: "), F.substring(X.redact("text"), 1, prompt)))
     answer = F.when(F.size("assistant") > 0, F.concat(tag, F.lit(" REPLY: "), F.substring(X.redact(F.element_at("assistant", -1)), 1, reply))) if "assistant" in turns.columns else F.lit(None).cast("string")
     edits = F.transform(F.array_sort(F.array_distinct("files")), lambda f: F.concat(tag, F.lit("   > edit "), X.short_path(f, F.col("cwd"))))
-    lines = F.filter(F.concat(F.array(said, answer), edits), lambda x: x.isNotNull())
+    ran = F.transform(git_commands(turns, X.GIT_WORK), lambda c: F.concat(tag, F.lit("   > bash "), F.substring(X.redact(c), 1, COMMAND)))
+    lines = F.filter(F.concat(F.array(said, answer), edits, ran), lambda x: x.isNotNull())
     body = F.array_join(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("start", "turn", lines.alias("ls")))), lambda x: x["ls"])), "\n")
     return rows.groupBy("session_id").agg(body.alias("text"))
 
@@ -80,10 +100,15 @@ def bounded_transcript(turns: DataFrame, spans: DataFrame, most: int = MOST_CHAR
 
 
 def public_view(turns: DataFrame, most: int = 4000) -> DataFrame:
-    """Redacted text and last reply of each turn, its files, and whether a text was cut."""
+    """Redacted text and last reply of each turn, its files and commits or pushes, and whether a text was cut."""
     clean = F.when(F.col("noise"), F.lit("")).otherwise(X.redact("text"))
     reply = X.redact(F.element_at("assistant", -1)) if "assistant" in turns.columns else F.lit("")
-    return turns.select("session_id", "turn", F.substring(clean, 1, most).alias("user"), F.substring(reply, 1, most).alias("reply"), (F.length(clean) > most).alias("cut"), F.array_sort(F.array_distinct("files")).alias("files"))
+    ran = F.slice(git_commands(turns, r"\bgit\s+(commit|push)\b"), 1, SHOWN_COMMANDS)
+    return turns.select(
+        "session_id", "turn", F.substring(clean, 1, most).alias("user"), F.substring(reply, 1, most).alias("reply"), (F.length(clean) > most).alias("cut"),
+        (F.length(reply) > most).alias("reply_cut"), F.array_sort(F.array_distinct("files")).alias("files"),
+        F.transform(ran, lambda c: F.substring(X.redact(c), 1, SHOWN_COMMAND)).alias("commands"),
+    )
 
 
 def path_mentions(texts: DataFrame, files: DataFrame, unit: str = "unit") -> DataFrame:

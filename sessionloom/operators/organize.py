@@ -64,10 +64,24 @@ def batches(digest: DataFrame, workspace: str = "workspace", chars: int = BATCH_
 
 
 def run_sessions(summary: DataFrame, limit: int = RUN) -> DataFrame:
-    """The most recent sessions that are units of their own, not noise, hidden or cut."""
-    return summary.where("alone and not noise and not hidden and not cut").orderBy(F.desc("first_ts"), "session_id").limit(limit)
+    """Of each workspace the most recent sessions that are units of their own, not noise, hidden or cut."""
+    order = Window.partitionBy("workspace").orderBy(F.desc("first_ts"), "session_id")
+    return summary.where("alone and not noise and not hidden and not cut").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= limit).drop("_r")
 
 
+def status_of(proposals: DataFrame, ops: DataFrame) -> DataFrame:
+    """The proposals with the status they have now: an accepted one whose batch was undone is pending again. ops: batch, undone."""
+    live = ops.where(~F.coalesce("undone", F.lit(False))).select(F.col("batch").alias("_b")).distinct()
+    back = (F.col("status") == "accepted") & F.col("_b").isNull()
+    return proposals.join(live, F.col("batch") == F.col("_b"), "left").withColumn("status", F.when(back, "pending").otherwise(F.col("status"))).drop("_b")
+
+
+def applies(proposals: DataFrame, units: DataFrame) -> DataFrame:
+    """(id, applies): every session of the proposal is still a visible unit of its own. units: unit, session_id, hidden."""
+    own = units.where(F.col("unit").rlike("^session:[^#]+$") & ~F.col("hidden")).select("session_id").distinct().withColumn("_own", F.lit(True))
+    asked = proposals.select("id", F.explode_outer("sessions").alias("session_id"))
+    return asked.join(own, "session_id", "left").groupBy("id").agg(F.bool_and(F.coalesce("_own", F.col("session_id").isNull())).alias("applies"))
+
 def check_splits(parts: DataFrame, shown: DataFrame, sizes: DataFrame) -> DataFrame:
     """(session_id, ok, parts): a split needs a long session and two ranges with title, evidence and a real message inside; any overlap rejects it.
 
@@ -140,8 +154,10 @@ def ordered(proposals: DataFrame) -> DataFrame:
     return proposals.orderBy(kind, sure, "id")
 
 
-def accept(proposals: DataFrame, batch: str, renamed: DataFrame) -> DataFrame:
-    """Correction operations of accepted proposals, all in one batch; units that the user has named are skipped."""
+def accept(proposals: DataFrame, batch: str, renamed: DataFrame, least: str = "low") -> DataFrame:
+    """Correction operations of accepted proposals of at least that confidence, all in one batch; units that the user has named are skipped."""
+    rank = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for k in RANK.items() for x in k)), F.col("confidence")), F.lit(RANK["low"]))
+    proposals = proposals.where(rank <= RANK[least])
     op = F.when(F.col("type") == "group", "merge").when(F.col("type") == "split", "cut").otherwise("rename")
     free = proposals.join(renamed.select("unit"), "unit", "left_anti")
     return free.select(F.concat(F.lit(f"{batch}-"), "id").alias("id"), F.lit(batch).alias("batch"), op.alias("type"), "unit", F.col("title").alias("label"), F.lit("ai").alias("source"), F.col("id").alias("proposal"))

@@ -57,3 +57,24 @@ def pieces(cuts: DataFrame, sizes: DataFrame) -> DataFrame:
 def plan_size(ranges: DataFrame, by: list[str]) -> DataFrame:
     """Turns that the ranges cover."""
     return ranges.groupBy(*by).agg(F.sum(F.col("end") - F.col("start") + 1).alias("turns"), F.count("*").alias("ranges"))
+
+
+def feed_ranges(items: DataFrame, cites: DataFrame, known: DataFrame, votes: DataFrame, heuristic: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(unit, session_id, start, end, mode): the turns of a session that a unit's record is written from.
+
+    Known ranges come first. A session that only shares the unit and cites its key has the union
+    of the voted ranges, or without a vote those of its own segments; any other counts as a whole.
+    items: unit, session_id, keyed; cites: unit, session_id; the ranges: unit, session_id, start,
+    end; sizes: session_id, n.
+    """
+    by = ["unit", "session_id"]
+    has = lambda df, name: df.select(*by).distinct().withColumn(name, F.lit(True))
+    rows = items.select(*by, "keyed").join(has(known, "_known"), by, "left").join(has(votes, "_voted"), by, "left").join(has(cites, "_cites"), by, "left")
+    mixed = F.col("keyed") & F.coalesce("_cites", F.lit(False))
+    mode = F.when(F.col("_known"), "known-ranges").when(mixed & F.coalesce("_voted", F.lit(False)), "voted").when(mixed, "heuristic").otherwise("whole-session")
+    planned = rows.select(*by, mode.alias("mode"))
+    given = clamp(known, sizes, by).withColumn("mode", F.lit("known-ranges"))
+    given = given.unionByName(merge_ranges(votes.select(*by, "start", "end"), by).withColumn("mode", F.lit("voted")))
+    given = given.unionByName(merge_ranges(heuristic.select(*by, "start", "end"), by).withColumn("mode", F.lit("heuristic")))
+    whole = planned.where("mode = 'whole-session'").join(sizes, "session_id").where("n > 0").select(*by, F.lit(0).alias("start"), (F.col("n") - 1).cast("int").alias("end"), "mode")
+    return planned.join(given, [*by, "mode"]).select(*by, "start", "end", "mode").unionByName(whole)

@@ -39,8 +39,14 @@ _TEXT = """case when k % 41 = 0 then '[Request interrupted by user]'
      else concat('Review the ', event_type, ' numbers of area ', k % 9, ' and report back') end"""
 
 
+_COMMANDS = """case event_type when 'purchase' then case when k % 2 = 0 then array(concat('git commit -m "area ', k, '"'), 'npm test', concat('git push origin ', branch))
+     else array('npm test', 'ls -la') end
+     when 'signup' then array(concat('git checkout ', branch), case when k % 3 = 0 then 'git push origin HEAD' else 'git status' end)
+     when 'error' then array('git reset --hard') else array() end"""
+
+
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """session_id, project, turn, ts, text, branch, cwd, noise, compaction, keys, files, key list without noise."""
+    """session_id, project, turn, ts, text, branch, cwd, noise, compaction, keys, files, commands, key list without noise."""
     rows = event_rows(spark, sf_dir).withColumn("text", F.expr(_TEXT))
     order = Window.partitionBy("session_id").orderBy("ts", "event_id")
     keys = X.find_keys("text")
@@ -49,7 +55,7 @@ def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "session_id", "project", (F.row_number().over(order) - 1).alias("turn"), "ts", "event_id", "text", "branch", "cwd", "value",
         X.is_noise("text").alias("noise"), X.is_compaction("text").alias("compaction"), keys.alias("all_keys"),
         F.when(X.is_noise("text"), F.array().cast("array<string>")).otherwise(F.array_distinct(keys)).alias("keys"),
-        F.coalesce(edited, F.array().cast("array<string>")).alias("files"),
+        F.coalesce(edited, F.array().cast("array<string>")).alias("files"), F.expr(_COMMANDS).cast("array<string>").alias("commands"),
     )
 
 
@@ -91,7 +97,10 @@ p AS (SELECT session_id, project, (row_number() OVER (PARTITION BY session_id OR
         (text LIKE '[Request interrupted%' OR text LIKE 'This session is being continued%') AS noise, text LIKE 'This session is being continued%' AS compaction,
         regexp_extract_all(text, '\\b[A-Z][A-Z0-9]{1,9}-[0-9]{1,6}\\b') AS all_keys,
         CASE WHEN text LIKE '[Request interrupted%' OR text LIKE 'This session is being continued%' THEN [] ELSE list_distinct(regexp_extract_all(text, '\\b[A-Z][A-Z0-9]{1,9}-[0-9]{1,6}\\b')) END AS keys,
-        CASE WHEN event_type = 'click' AND k % 10 <> 0 THEN [cwd || '/src/part' || (k % 6) || '/file' || (k % 12) || '.js'] ELSE []::VARCHAR[] END AS files
+        CASE WHEN event_type = 'click' AND k % 10 <> 0 THEN [cwd || '/src/part' || (k % 6) || '/file' || (k % 12) || '.js'] ELSE []::VARCHAR[] END AS files,
+        CASE event_type WHEN 'purchase' THEN CASE WHEN k % 2 = 0 THEN ['git commit -m "area ' || k || '"', 'npm test', 'git push origin ' || branch] ELSE ['npm test', 'ls -la'] END
+          WHEN 'signup' THEN ['git checkout ' || branch, CASE WHEN k % 3 = 0 THEN 'git push origin HEAD' ELSE 'git status' END]
+          WHEN 'error' THEN ['git reset --hard'] ELSE []::VARCHAR[] END AS commands
       FROM p0)"""
 SQL_TOOLS = SQL_EVENTS + """,
 t AS (SELECT session_id, project, CASE WHEN user_id % 5 = 0 THEN 'agent-' || (k % 2) ELSE 'main' END AS source, event_id AS seq, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS ts,

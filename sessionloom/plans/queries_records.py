@@ -42,7 +42,10 @@ def p4_sessions_with_prompts(spark, sf):
     return A.messages(spark, sf).groupBy("session_id").agg(F.count_if("is_prompt").alias("n_prompts")).where("n_prompts > 0")
 
 
-@query(f"WITH {A.SQL_PROMPTS} SELECT event_id, NOT noise AND (len(files) > 0 OR (NOT compaction AND text <> 'hello there')) AS usable FROM p")
+_GIT = "regexp_matches(c, '\\bgit\\s+(commit|push|checkout|switch|merge|rebase|cherry-pick)\\b')"
+
+
+@query(f"WITH {A.SQL_PROMPTS} SELECT event_id, NOT noise AND (len(files) > 0 OR len(list_filter(commands, lambda c: {_GIT})) > 0 OR (NOT compaction AND text <> 'hello there')) AS usable FROM p")
 def p6_usable_turns(spark, sf):
     p = A.prompts(spark, sf)
     return p.select("event_id", messages.usable(p).alias("usable"))
@@ -330,8 +333,9 @@ def f34_digests(spark, sf):
 @query()
 def w16_batches(spark, sf):
     p = A.prompts(spark, sf)
-    d = organize.digests(p).join(p.select("session_id", F.col("project").alias("workspace")).distinct(), "session_id")
-    return organize.batches(d)
+    own = p.groupBy("session_id", F.col("project").alias("workspace")).agg(_ts(F.min("ts")).alias("first_ts"))
+    chosen = organize.run_sessions(own.selectExpr("*", "true as alone", "false as noise", "false as hidden", "false as cut"))
+    return organize.batches(organize.digests(p.join(chosen.select("session_id"), "session_id", "left_semi")).join(chosen.select("session_id", "workspace"), "session_id"))
 
 
 @query(f"""WITH {A.SQL_PROMPTS}, sz AS (SELECT session_id, count(*) AS n FROM p GROUP BY 1), c AS (SELECT session_id, 1 AS start, 2 AS "end", 'one' AS label FROM sz WHERE n > 3 UNION ALL SELECT session_id, 5, 9, 'two' FROM sz WHERE n > 6)
@@ -355,9 +359,10 @@ def f33_skeleton(spark, sf):
     return messages.skeleton(p, segments.pick(segments.boundary_scores(p), 0.3))
 
 
-@query(f"""WITH {_MERGED}, x AS (SELECT DISTINCT p.session_id, p.turn, p.ts, p.text, p.noise, p.files, p.cwd FROM p JOIN mr ON p.session_id = mr.session_id AND p.turn BETWEEN mr.start AND mr."end"),
-l AS (SELECT session_id, turn, list_filter([CASE WHEN NOT noise THEN '[s:' || session_id || ' t:' || turn || ' ' || strftime(ts, '%m-%dT%H:%M') || '] USER: ' || text END,
-  CASE WHEN len(files) > 0 THEN '[s:' || session_id || ' t:' || turn || ' ' || strftime(ts, '%m-%dT%H:%M') || ']   > edit ' || substr(files[1], 11) END], lambda y: y IS NOT NULL) AS ls FROM x)
+@query(f"""WITH {_MERGED}, x AS (SELECT DISTINCT p.session_id, p.turn, p.ts, p.text, p.noise, p.files, p.cwd, p.commands FROM p JOIN mr ON p.session_id = mr.session_id AND p.turn BETWEEN mr.start AND mr."end"),
+l AS (SELECT session_id, turn, list_concat(list_filter([CASE WHEN NOT noise THEN '[s:' || session_id || ' t:' || turn || ' ' || strftime(ts, '%m-%dT%H:%M') || '] USER: ' || text END,
+  CASE WHEN len(files) > 0 THEN '[s:' || session_id || ' t:' || turn || ' ' || strftime(ts, '%m-%dT%H:%M') || ']   > edit ' || substr(files[1], 11) END], lambda y: y IS NOT NULL),
+  list_transform(list_filter(commands, lambda c: {_GIT}), lambda c: '[s:' || session_id || ' t:' || turn || ' ' || strftime(ts, '%m-%dT%H:%M') || ']   > bash ' || substr(c, 1, 200))) AS ls FROM x)
 SELECT session_id, md5(array_to_string(flatten(list(ls ORDER BY turn)), chr(10))) AS text_md5 FROM l GROUP BY 1""")
 def f28_transcript(spark, sf):
     spans = ranges.merge_ranges(_ranges(spark, sf), ["session_id"]).withColumn("lead", F.lit(False))
@@ -370,9 +375,11 @@ def f29_bounded_transcript(spark, sf):
     return messages.bounded_transcript(A.prompts(spark, sf), spans, 900)
 
 
-@query(f"WITH {A.SQL_PROMPTS} SELECT session_id, turn, CASE WHEN noise THEN '' ELSE text END AS user, false AS cut, len(files)::INT AS n_files FROM p")
+@query(f"""WITH {A.SQL_PROMPTS} SELECT session_id, turn, CASE WHEN noise THEN '' ELSE substr(text, 1, 30) END AS user, NOT noise AND length(text) > 30 AS cut, len(files)::INT AS n_files,
+  array_to_string(list_filter(commands, lambda c: regexp_matches(c, '\\bgit\\s+(commit|push)\\b')), ';') AS commands FROM p""")
 def f35_public_view(spark, sf):
-    return messages.public_view(A.prompts(spark, sf)).select("session_id", "turn", "user", "cut", F.size("files").alias("n_files"))
+    shown = messages.public_view(A.prompts(spark, sf), 30)
+    return shown.select("session_id", "turn", "user", "cut", F.size("files").alias("n_files"), F.array_join("commands", ";").alias("commands"))
 
 
 @query(f"WITH {_KEYED}, a AS (SELECT DISTINCT CASE event_id % 3 WHEN 0 THEN 'key:' ELSE '' END || upper(event_type) || '-' || (k % 9) AS ref FROM e) SELECT ref, (SELECT min(unit) FROM mem WHERE unit = ref OR 'key:' || unit = ref) AS unit FROM a")
@@ -417,7 +424,7 @@ def _ops(spark, sf):
 
 
 _OPS = A.SQL_EVENTS + """, ops AS (SELECT project AS workspace, event_id AS seq, ['rename', 'merge', 'move', 'hide', 'split'][event_id % 5 + 1] AS type, upper(event_type) || '-' || (k % 5 + 1) AS u, 'user:' || (k % 3) AS g, session_id, 'name ' || (k % 4) AS label, k % 2 = 0 AS hidden
-  FROM e WHERE event_id % 13 <> 0 QUALIFY row_number() OVER (PARTITION BY project ORDER BY event_id DESC) <= 100000)"""
+  FROM e WHERE event_id % 13 <> 0)"""
 
 
 @query(f"""WITH {_OPS} SELECT workspace, 'label' AS kind, u AS subject, arg_max(label, seq) AS target FROM ops WHERE type = 'rename' GROUP BY ALL
@@ -428,14 +435,6 @@ def t9_fold(spark, sf):
     return corrections.fold(_ops(spark, sf)).where("kind in ('label', 'hidden_unit', 'merge', 'move')").select("workspace", "kind", "subject", "target")
 
 
-@query()
-def j20_apply_corrections(spark, sf):
-    p = A.prompts(spark, sf).where("project = 'repo3'")
-    m = _member(p)
-    state = corrections.fold(_ops(spark, sf).where("workspace = 'repo3'"))
-    return corrections.apply(m, state, p.groupBy("session_id").agg(F.count("*").cast("int").alias("n_prompts")))
-
-
 @query(f"WITH {_KEYED} SELECT DISTINCT unit FROM mem WHERE unit NOT IN (SELECT upper(event_type) || '-' || (k % 5 + 1) AS u FROM e WHERE event_id % 13 <> 0 AND event_id % 5 = 3 GROUP BY 1 HAVING arg_max(k % 2 = 0, event_id))")
 def p13_visible_units(spark, sf):
     ops = _ops(spark, sf).withColumn("workspace", F.lit("all"))

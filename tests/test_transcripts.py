@@ -137,7 +137,9 @@ def test_corrections(spark):
     kinds = sorted((r["kind"], r["subject"], r["target"]) for r in state.collect())
     assert ("label", "KK-2", "Second") in kinds and not any(k[0] == "label" and k[1] in ("KK-1", "KK-9") for k in kinds) and not any(k[1] == "x" for k in kinds)
     member = spark.createDataFrame([("a", "KK-1", "main"), ("b", "KK-2", "main"), ("c", "session:c", "main"), ("d", "KK-2", "main"), ("e", "KK-2", "main"), ("f", "session:f", "main"), ("h", "KK-2", "main")], "session_id string, unit string, mode string")
-    sizes = spark.createDataFrame([(s, 8) for s in "abcdefh"], "session_id string, n_prompts int")
+    sizes = spark.createDataFrame([("w", s, 8) for s in "abcdefh"], "workspace string, session_id string, n_prompts int")
+    member = member.withColumn("workspace", F.lit("w"))
+    state = state.withColumn("workspace", F.lit("w"))
     got = sorted((r["session_id"], r["unit"], r["label"]) for r in corrections.apply(member, state, sizes).collect())
     assert got == [("a", "user:g", "Group"), ("b", "KK-2", "Second"), ("c", "user:g", "Group"), ("d", "user:g", "Group"), ("e", "KK-2", "Second"), ("f", "session:f#0-1", None), ("f", "session:f#2-3", None), ("f", "session:f#4-5", None), ("f", "session:f#6-7", None)]
     undone = corrections.undo(ops.withColumn("batch", F.when(F.col("seq") >= 8, "last")))
