@@ -1,89 +1,82 @@
 """Corrections: an append-only log of operations, folded in order, and the units that follow from it.
 
-The fold depends on the order of the log, so it runs as one group per workspace; the
-whole log of a workspace is held by one task.
+The fold is joins and aggregates on (workspace, subject): the newest operation counts, and a
+split ends what came before it. No workspace has to fit in a task, and every operation counts.
+Operations of one `seq` follow the order of their ids.
 """
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_LABEL, MAX_PARTS = 120, 40
 
 OPS = """workspace string, seq long, id string, batch string, ts string, type string, unit string, session string, `to` string,
          label string, hidden boolean, members array<string>, parts array<struct<start:int,end:int,label:string>>, source string, undone boolean"""
-STATE = "workspace string, kind string, subject string, target string, ord int, start int, end int, ai boolean"
+STATE = "workspace string, kind string, subject string, target string, ord long, start int, end int, ai boolean"
 
 
-def valid_parts(parts) -> list[tuple[int, int, str]] | None:
-    """2 to 40 ascending ranges without overlap, else None."""
-    if parts is None or not 2 <= len(parts) <= MAX_PARTS:
-        return None
-    out = []
-    for p in sorted(parts, key=lambda p: -1 if p["start"] is None else p["start"]):
-        start, end = p["start"], p["end"]
-        if start is None or end is None or start < 0 or end < start or (out and start <= out[-1][1]):
-            return None
-        out.append((int(start), int(end), " ".join((p["label"] or "").split())[:MAX_LABEL]))
-    return out
+def _text(c: str):
+    return F.coalesce(F.length(c).between(1, 399), F.lit(False))
+
+
+def _stripped(c):
+    """Without blanks at the ends, as Python's strip."""
+    return F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+
+
+def _parts(parts):
+    """2 to 40 ascending ranges without overlap, sorted by start, else null."""
+    own = F.array_sort(parts, lambda x, y: F.signum(F.coalesce(x["start"], F.lit(-1)).cast("long") - F.coalesce(y["start"], F.lit(-1))).cast("int"))
+    fits = lambda x, i: x["start"].isNotNull() & x["end"].isNotNull() & (x["start"] >= 0) & (x["end"] >= x["start"]) & ((i == 0) | (x["start"] > F.coalesce(F.get(own, i - 1)["end"], F.lit(-1))))
+    ok = F.size(parts).between(2, MAX_PARTS) & (F.size(F.filter(own, fits)) == F.size(parts))
+    label = lambda x: F.substring(_stripped(F.regexp_replace(F.coalesce(x["label"], F.lit("")), r"(?U)[\s\x1c-\x1f]+", " ")), 1, MAX_LABEL)
+    return F.when(ok, F.transform(own, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), label(x).alias("label"))))
 
 
 def fold(ops: DataFrame) -> DataFrame:
-    """State of each workspace as rows: label, merge member, move, cut part, hidden unit, hidden session."""
-
-    def text(v) -> bool:
-        return isinstance(v, str) and 0 < len(v) < 400
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        labels, merges, named, moves, cuts, units, sessions = {}, {}, {}, {}, {}, set(), set()
-        ai_labels, ai_merges = set(), set()
-        for op in pdf.sort_values("seq").to_dict("records"):
-            if op["undone"] is True or not text(op["id"]):
-                continue
-            kind, unit, ai = op["type"], op["unit"], op["source"] == "ai"
-            label = (op["label"] or "").strip()[:MAX_LABEL] if isinstance(op["label"], str) else ""
-            if kind == "rename" and text(unit):
-                ai_labels.discard(unit)
-                if label:
-                    labels[unit] = label
-                    if ai:
-                        ai_labels.add(unit)
-                else:
-                    labels.pop(unit, None)
-            elif kind == "merge" and text(unit) and op["members"] is not None:
-                own = merges.setdefault(unit, [])
-                own += [m for m in dict.fromkeys(op["members"]) if text(m) and m != unit and m not in own]
-                if label:
-                    named[unit] = label
-                if ai:
-                    ai_merges.add(unit)
-            elif kind == "split" and text(unit):
-                for d in (merges, labels, named):
-                    d.pop(unit, None)
-                units.discard(unit)
-                ai_merges.discard(unit)
-                moves = {s: t for s, t in moves.items() if t != unit}
-            elif kind == "move" and text(op["session"]) and text(op["to"]):
-                moves[op["session"]] = op["to"]
-            elif kind == "cut" and text(op["session"]):
-                if parts := valid_parts(op["parts"]):
-                    cuts[op["session"]] = parts
-            elif kind == "hide" and (text(unit) or text(op["session"])):
-                held, who = (units, unit) if text(unit) else (sessions, op["session"])
-                held.discard(who) if op["hidden"] is False else held.add(who)
-        rows = [("label", u, t, 0, None, None, u in ai_labels) for u, t in labels.items()]
-        rows += [("merge", u, m, i, None, None, u in ai_merges) for u, own in merges.items() for i, m in enumerate(own)]
-        rows += [("group", u, named.get(u), 0, None, None, u in ai_merges) for u in merges]
-        rows += [("move", s, t, i, None, None, False) for i, (s, t) in enumerate(moves.items())]
-        rows += [("cut", s, t, i, a, b, bool(t)) for s, own in cuts.items() for i, (a, b, t) in enumerate(own)]
-        rows += [("hidden_unit", u, None, 0, None, None, False) for u in sorted(units)] + [("hidden_session", s, None, 0, None, None, False) for s in sorted(sessions)]
-        out = pd.DataFrame(rows, columns=["kind", "subject", "target", "ord", "start", "end", "ai"])
-        out.insert(0, "workspace", pdf["workspace"].iloc[0])
-        return out.astype({"start": "Int32", "end": "Int32", "ord": "int32"})
-
-    return ops.groupBy("workspace").applyInPandas(run, STATE)
+    """State of each workspace as rows: label, merge member, move, cut part, hidden unit, hidden session.
+
+    `ord` puts rows in order: the members of a group, the parts of a cut, the moves (by the seq of the move).
+    Operations that were undone, or lack an id or a subject, count for nothing; an empty log has no rows."""
+    live = ops.where(~F.coalesce("undone", F.lit(False)) & _text("id"))
+    live = live.withColumn("label", F.substring(_stripped(F.coalesce("label", F.lit(""))), 1, MAX_LABEL)).withColumn("ai", F.coalesce(F.col("source") == "ai", F.lit(False)))
+    of = lambda kind: live.where(F.col("type") == kind)
+    null = lambda t: F.lit(None).cast(t)
+    at = F.struct("seq", "id")
+
+    def rows(df, kind, subject, target=null("string"), order=F.lit(0), start=null("int"), end=null("int"), ai=F.lit(False)):
+        return df.select("workspace", F.lit(kind).alias("kind"), F.col(subject).alias("subject"), target.alias("target"), order.cast("long").alias("ord"), start.alias("start"), end.alias("end"), ai.alias("ai"))
+
+    splits = of("split").where(_text("unit")).groupBy("workspace", F.col("unit").alias("_unit")).agg(F.max("seq").alias("_split"))
+
+    def after_split(df, on):
+        joined = df.withColumnRenamed("workspace", "_w").join(splits, F.col("_w").eqNullSafe(F.col("workspace")) & (F.col(on) == F.col("_unit")), "left")
+        return joined.where(F.col("_split").isNull() | (F.col("seq") > F.col("_split"))).drop("workspace", "_unit", "_split").withColumnRenamed("_w", "workspace")
+
+    def newest(df, by, *values):
+        return df.groupBy("workspace", by).agg(F.max_by(F.struct(*values), at).alias("v")).select("workspace", by, "v.*")
+
+    labels = newest(after_split(of("rename").where(_text("unit")), "unit"), "unit", "label", "ai").where("label <> ''")
+    merges = after_split(of("merge").where(_text("unit") & F.col("members").isNotNull()), "unit")
+    groups = merges.groupBy("workspace", "unit").agg(F.max_by("label", F.when(F.col("label") != "", at)).alias("label"), F.max("ai").alias("ai"))
+    members = merges.select("workspace", "unit", "seq", "id", F.posexplode("members").alias("pos", "m")).where(_text("m") & (F.col("m") != F.col("unit")))
+    members = members.groupBy("workspace", "unit", "m").agg(F.min(F.struct("seq", "id", "pos")).alias("first"))
+    members = members.join(groups.select("workspace", "unit", "ai").withColumnsRenamed({"workspace": "_w", "unit": "_u"}), F.col("workspace").eqNullSafe(F.col("_w")) & (F.col("unit") == F.col("_u")))
+    within = F.row_number().over(Window.partitionBy("workspace", "unit").orderBy("first")) - 1
+    moves = after_split(newest(of("move").where(_text("session") & _text("to")), "session", "to", "seq"), "to")
+    cuts = newest(of("cut").where(_text("session")).withColumn("parts", _parts(F.col("parts"))).where("parts is not null"), "session", "parts")
+    cuts = cuts.select("workspace", "session", F.posexplode("parts").alias("pos", "x"))
+    hidden = lambda df, by: newest(df.withColumn("hidden", F.coalesce("hidden", F.lit(True))), by, "hidden").where("hidden")
+    hides = of("hide")
+    units = hidden(after_split(hides.where(_text("unit")), "unit"), "unit")
+    sessions = hidden(hides.where(~_text("unit") & _text("session")), "session")
+    out = rows(labels, "label", "unit", F.col("label"), ai=F.col("ai"))
+    out = out.unionByName(rows(members, "merge", "unit", F.col("m"), within, ai=F.col("ai"))).unionByName(rows(groups, "group", "unit", F.col("label"), ai=F.col("ai")))
+    out = out.unionByName(rows(moves, "move", "session", F.col("to"), F.col("seq")))
+    out = out.unionByName(rows(cuts, "cut", "session", F.col("x.label"), F.col("pos"), F.col("x.start"), F.col("x.end"), F.col("x.label") != ""))
+    return out.unionByName(rows(units, "hidden_unit", "unit")).unionByName(rows(sessions, "hidden_session", "session"))
 
 
 def undo(ops: DataFrame) -> DataFrame:

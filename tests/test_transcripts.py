@@ -126,6 +126,50 @@ def test_fold_of_a_long_log(spark):
     assert sorted((r["kind"], r["subject"], r["target"] or "") for r in state.collect()) == [("group", "user:g", ""), ("label", "A-1", "n5099"), ("merge", "user:g", "A-1"), ("move", "old", "user:g")]
 
 
+def folded_in_order(log):
+    """The state after reading a workspace's log operation by operation."""
+    labels, groups, moves, hidden = {}, {}, {}, set()
+    for o in sorted(log, key=lambda o: (o["seq"], o["id"])):
+        kind, unit = o["type"], o["unit"]
+        if o["undone"]:
+            continue
+        if kind == "rename":
+            labels[unit] = (o["label"] or "").strip()
+        elif kind == "merge":
+            members, name, ai = groups.get(unit, ([], None, False))
+            groups[unit] = (members + [m for m in o["members"] if m != unit and m not in members], o["label"] or name, ai or o["source"] == "ai")
+        elif kind == "split":
+            groups.pop(unit, None), labels.pop(unit, None), hidden.discard(unit)
+            moves = {s: m for s, m in moves.items() if m[0] != unit}
+        elif kind == "move":
+            moves[o["session"]] = (o["to"], o["seq"])
+        elif kind == "hide":
+            hidden.discard(unit or o["session"]) if o["hidden"] is False else hidden.add(unit or o["session"])
+    out = [("label", u, t, 0, None) for u, t in labels.items() if t] + [("hidden", u, None, 0, False) for u in hidden]
+    out += [("move", s, t, n, False) for s, (t, n) in moves.items()] + [("group", u, g[1], 0, g[2]) for u, g in groups.items()]
+    return out + [("merge", u, m, i, g[2]) for u, g in groups.items() for i, m in enumerate(g[0])]
+
+
+def test_fold_equals_reading_the_log_in_order(spark):
+    import random
+
+    rng, log = random.Random(5), []
+    for n in range(900):
+        units, sessions = ["A-1", "B-2", "user:g", "user:h"], ["s1", "s2", "s3"]
+        kind, unit = rng.choice(["rename", "merge", "merge", "split", "move", "hide"]), rng.choice(units)
+        more = {
+            "rename": dict(unit=unit, label=rng.choice(["x", " y ", "", None])), "split": dict(unit=unit), "move": dict(session=rng.choice(sessions), to=unit),
+            "merge": dict(unit=unit, members=rng.sample(units, 2), label=rng.choice([None, "G", "H"]), source=rng.choice([None, None, "ai"])),
+            "hide": dict(unit=unit, hidden=rng.choice([None, True, False])) if n % 2 else dict(session=rng.choice(sessions), hidden=rng.choice([True, False])),
+        }[kind]
+        log.append({**op(n, kind, **more), "workspace": f"w{rng.randrange(60)}", "undone": rng.random() < 0.1})
+    want = sorted(str((w, *r)) for w in {o["workspace"] for o in log} for r in folded_in_order([o for o in log if o["workspace"] == w]))
+    state = corrections.fold(spark.createDataFrame(log, corrections.OPS)).collect()
+    own = [(r["workspace"], r["kind"].split("_")[0], r["subject"], r["target"], r["ord"], None if r["kind"] == "label" else r["ai"]) for r in state]
+    assert sorted(map(str, own)) == want
+    assert corrections.fold(spark.createDataFrame([], corrections.OPS)).count() == 0
+
+
 def test_corrections(spark):
     log = [
         op(1, "rename", unit="KK-1", label="First"), op(2, "rename", unit="KK-1", label=""), op(3, "rename", unit="KK-2", label="Second"),
