@@ -92,7 +92,7 @@ def bounded_transcript(turns: DataFrame, spans: DataFrame, most: int = MOST_CHAR
     levels = [transcript(turns, spans, p, r).withColumnRenamed("text", f"t{k}") for k, (p, r) in enumerate(LEVELS)]
     rows = levels[0].join(levels[1], "session_id").join(levels[2], "session_id")
     half = (most - 80) // 2
-    head = F.regexp_replace(F.substring(F.col("t2"), 1, half), r"\n[^\n]*$", "")
+    head = F.regexp_replace(F.substring(F.col("t2"), 1, half), r"\n[^\n]*\z", "")
     tail = F.regexp_replace(F.expr(f"substring(t2, greatest(1, length(t2) - {half} + 1))"), r"^[^\n]*\n", "")
     gone = F.size(F.split("t2", "\n")) - F.size(F.split(head, "\n")) - F.size(F.split(tail, "\n"))
     fits = [F.when(F.length(f"t{k}") <= most, F.col(f"t{k}")) for k in range(3)]

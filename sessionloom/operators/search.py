@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 
 # Fixed values of the ranking and of the display.
-K1, B, HEAD_WEIGHT, MAX_TEXT = 1.2, 0.75, 3, 200_000
+K1, B, HEAD_WEIGHT = 1.2, 0.75, 3
 SHOWN, PER_SESSION, POOL = 20, 3, 100
 
 
 def index_words(text) -> Column:
-    """Folded words of the redacted text, long ones left out."""
-    return F.filter(X.words(X.redact(F.substring(X.nn(text), 1, MAX_TEXT))), lambda w: F.length(w) <= X.MAX_WORD)
+    """Folded words of the whole redacted text, long ones left out."""
+    return F.filter(X.words(X.redact(X.nn(text))), lambda w: F.length(w) <= X.MAX_WORD)
 
 
 def postings(messages: DataFrame, keys: list[str]) -> DataFrame:

@@ -34,7 +34,7 @@ def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TEXT = """case when k % 41 = 0 then '[Request interrupted by user]'
      when k % 29 = 0 then concat('This session is being continued from TASK-', k % 5)
      when k % 23 = 0 then 'hello there'
-     when k % 17 = 0 then concat('Now let us look at the totals of area ', k)
+     when k % 17 = 0 then concat(element_at(array("Now let's look at", 'Now let us look at', '(new task) report', 'Ahora mira', 'Back to'), k % 5 + 1), ' the totals of area ', k)
      when event_type in ('error', 'purchase') and user_id % 4 <> 3 then concat(upper(event_type), '-', k % 5 + 1, ' please look into value ', k)
      else concat('Review the ', event_type, ' numbers of area ', k % 9, ' and report back') end"""
 
@@ -90,7 +90,7 @@ SQL_PROMPTS = SQL_EVENTS + """,
 p0 AS (SELECT *, CASE WHEN k % 41 = 0 THEN '[Request interrupted by user]'
        WHEN k % 29 = 0 THEN 'This session is being continued from TASK-' || (k % 5)
        WHEN k % 23 = 0 THEN 'hello there'
-       WHEN k % 17 = 0 THEN 'Now let us look at the totals of area ' || k
+       WHEN k % 17 = 0 THEN ['Now let''s look at', 'Now let us look at', '(new task) report', 'Ahora mira', 'Back to'][k % 5 + 1] || ' the totals of area ' || k
        WHEN event_type IN ('error', 'purchase') AND user_id % 4 <> 3 THEN upper(event_type) || '-' || (k % 5 + 1) || ' please look into value ' || k
        ELSE 'Review the ' || event_type || ' numbers of area ' || (k % 9) || ' and report back' END AS text FROM e),
 p AS (SELECT session_id, project, (row_number() OVER (PARTITION BY session_id ORDER BY ts, event_id) - 1)::INT AS turn, ts, event_id, text, branch, cwd, value,

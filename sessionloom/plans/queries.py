@@ -152,10 +152,9 @@ def f17_command_class(spark, sf):
     return rows.select("seq", F.col("cmd").rlike(X.GIT_REVERT).alias("revert"), F.col("cmd").rlike(X.GIT_RESET).alias("reset"), F.col("cmd").rlike(X.GIT_REVERT_ALL).alias("bulk"))
 
 
-@query(f"""WITH {A.SQL_PROMPTS} SELECT event_id, NOT noise AND regexp_matches(text, '(?i)^\\W*now let us') AS cue FROM p""")
+@query(f"WITH {A.SQL_PROMPTS} SELECT event_id, NOT noise AND (text LIKE 'Now let''s%' OR text LIKE '(new task)%' OR text LIKE 'Ahora%') AS cue FROM p")
 def f32_cue(spark, sf):
-    # openers of the driver's prompts: "Now let us" is none of the fixed phrases, so the text is rephrased
-    rows = A.prompts(spark, sf).withColumn("text", F.regexp_replace("text", "Now let us", "Now lets"))
+    rows = A.prompts(spark, sf)
     return segments.cue_scores(rows).join(rows.select("session_id", "turn", "event_id"), ["session_id", "turn"]).select("event_id", (F.col("cue") == 1).alias("cue"))
 
 
@@ -354,7 +353,7 @@ def a17_coverage(spark, sf):
 # -- message search
 
 _POST = A.SQL_MESSAGES + rf""",
-w AS (SELECT session_id, line_no, list_filter(regexp_extract_all(lower(strip_accents({_redact('substr(text, 1, 200000)')})), '[\p{{L}}\p{{N}}]+'), lambda x: length(x) <= 40) AS w FROM m),
+w AS (SELECT session_id, line_no, list_filter(regexp_extract_all(lower(strip_accents({_redact('text')})), '[\p{{L}}\p{{N}}]+'), lambda x: length(x) <= 40) AS w FROM m),
 post AS (SELECT session_id, line_no, len, term, count(*) AS tf FROM (SELECT session_id, line_no, len(w) AS len, unnest(w) AS term FROM w) GROUP BY ALL),
 docs AS (SELECT DISTINCT session_id, line_no, len FROM post), st AS (SELECT count(*) AS n, avg(len) AS a FROM docs)"""
 _KEYS = ["session_id", "line_no"]
@@ -475,20 +474,52 @@ def w7_z_normalised(spark, sf):
     return segments.shift_scores(A.prompts(spark, sf)).withColumn("shift", F.round("shift", 5))
 
 
-@query()
+_SCORE = _SHIFT + """, gp AS (SELECT *, (epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 3.6e9 AS g, lag(cwd) OVER w AS pc, lag(branch) OVER w AS pb FROM p WINDOW w AS (PARTITION BY session_id ORDER BY turn)),
+kd AS (SELECT session_id, turn, keys, flatten(list(keys) OVER (PARTITION BY session_id ORDER BY turn ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING)) AS seen FROM p WHERE NOT compaction AND len(keys) > 0),
+zs AS (SELECT session_id, turn, CASE WHEN count(raw) OVER w < 3 THEN 0.0 ELSE greatest(0.0, least(1.0, (raw - avg(raw) OVER w) / (2 * CASE WHEN stddev_pop(raw) OVER w = 0 THEN 1.0 ELSE stddev_pop(raw) OVER w END))) END AS s FROM raw WINDOW w AS (PARTITION BY session_id)),
+bs AS (SELECT gp.session_id, gp.turn, CASE WHEN g > 0 THEN least(1.0, log2(1 + g) / log2(49)) ELSE 0.0 END AS time,
+  CASE WHEN kd.turn IS NULL THEN 0.0 WHEN coalesce(len(seen), 0) = 0 THEN 0.6 WHEN list_has_any(kd.keys, seen) THEN 0.0 ELSE 1.0 END::DOUBLE AS key, coalesce(s, 0.0) AS shift,
+  CASE WHEN pc <> cwd THEN 1.0 WHEN pb <> branch AND pb <> 'HEAD' AND branch <> 'HEAD' THEN 0.5 ELSE 0.0 END::DOUBLE AS ctx, CASE WHEN NOT noise AND (text LIKE 'Now let''s%' OR text LIKE '(new task)%' OR text LIKE 'Ahora%') THEN 1.0 ELSE 0.0 END::DOUBLE AS cue
+  FROM gp LEFT JOIN kd ON kd.session_id = gp.session_id AND kd.turn = gp.turn LEFT JOIN zs ON zs.session_id = gp.session_id AND zs.turn = gp.turn),
+sc AS (SELECT *, 0.15 * time + 0.9 * key + 0.9 * shift + 0.25 * ctx + 0.3 * cue AS score FROM bs)"""
+
+
+@query(f"WITH {_SCORE} SELECT session_id, turn, round(time, 5) AS time, key, round(shift, 5) AS shift, ctx, cue, round(score, 5) AS score FROM sc")
 def w8_boundary_score(spark, sf):
-    return segments.boundary_scores(A.prompts(spark, sf)).withColumn("score", F.round("score", 5))
+    scores = segments.boundary_scores(A.prompts(spark, sf))
+    return scores.withColumns({c: F.round(c, 5) for c in ("time", "shift", "score")})
+
+
+#: Turns in the order of their scores; each joins those taken before it if none of them is nearer than four turns.
+_TAKEN = "WITH RECURSIVE " + _SCORE + """, cd AS (SELECT session_id, turn, row_number() OVER (PARTITION BY session_id ORDER BY round(score, 9) DESC, turn) AS r FROM sc WHERE turn >= 1 AND round(score, 9) >= 0.3),
+gr AS (SELECT session_id, 0::BIGINT AS r, []::INT[] AS taken FROM cd WHERE r = 1 UNION ALL SELECT gr.session_id, cd.r, CASE WHEN len(list_filter(taken, lambda x: abs(x - cd.turn) < 4)) = 0 THEN list_append(taken, cd.turn) ELSE taken END
+  FROM gr JOIN cd ON cd.session_id = gr.session_id AND cd.r = gr.r + 1),
+bd AS (SELECT session_id, unnest(arg_max(taken, r)) AS turn FROM gr GROUP BY 1)"""
 
 
-@query()
+def _boundaries(prompts):
+    """Boundaries of scores rounded to nine digits, so that sums in another order choose alike."""
+    return segments.pick(segments.boundary_scores(prompts).withColumn("score", F.round("score", 9)), 0.3)
+
+
+@query(f"{_TAKEN} SELECT session_id, turn FROM bd")
 def w9_boundaries(spark, sf):
-    return segments.pick(segments.boundary_scores(A.prompts(spark, sf)), 0.3)
+    return _boundaries(A.prompts(spark, sf))
+
+
+_LABELS = _TAKEN + """, sg AS (SELECT p.*, count(bd.turn) OVER (PARTITION BY p.session_id ORDER BY p.turn)::INT AS segment FROM p LEFT JOIN bd ON bd.session_id = p.session_id AND bd.turn = p.turn),
+ks AS (SELECT session_id, segment, key, count(*) AS n, min(turn) AS f FROM (SELECT session_id, segment, turn, unnest(keys) AS key FROM sg WHERE NOT compaction) GROUP BY ALL),
+kl AS (SELECT session_id, segment, list(key ORDER BY n DESC, f) AS keys FROM ks GROUP BY ALL),
+ws AS (SELECT session_id, segment, term, round(sum(weight), 9) AS w FROM tw JOIN sg USING (session_id, turn) GROUP BY ALL), wl AS (SELECT session_id, segment, list(term ORDER BY w DESC, term) AS terms FROM ws GROUP BY ALL),
+sb AS (SELECT session_id, segment, min(turn) AS start, max(turn) AS "end", min(ts) AS first_ts, arg_min(substr(text, 1, 90), turn) AS snippet FROM sg GROUP BY ALL)"""
 
 
-@query()
+@query(f"""{_LABELS} SELECT session_id, segment, start, "end", keys[1] AS key, coalesce(array_to_string(keys[1:3], ','), '') AS keys, coalesce(array_to_string(terms[1:4], ','), '') AS terms, strftime(first_ts, '%Y-%m-%d %H:%M:%S') AS first_ts, snippet
+FROM sb LEFT JOIN kl USING (session_id, segment) LEFT JOIN wl USING (session_id, segment)""")
 def a16_segment_labels(spark, sf):
     p = A.prompts(spark, sf)
-    return segments.labels(p, segments.pick(segments.boundary_scores(p), 0.3))
+    out = segments.labels(p, _boundaries(p))
+    return out.withColumns({"keys": F.array_join("keys", ","), "terms": F.array_join("terms", ","), "first_ts": F.date_format("first_ts", "yyyy-MM-dd HH:mm:ss")})
 
 
 # -- ranges and windows

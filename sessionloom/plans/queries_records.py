@@ -9,7 +9,7 @@ from ..functions import text as X
 from ..operators import corrections, evidence, files, messages, organize, ranges, segments, sessions
 from ..streaming import jobs
 from . import adapters as A
-from .queries import RE_ASSIGN, RE_SECRET, _COMMITS, _FRESH, _KEYED, _LINKS, _MERGED, _TOK, _capsules, _day, _member, _ranges, _ts, query
+from .queries import RE_ASSIGN, RE_SECRET, _boundaries, _capsules, _COMMITS, _day, _FRESH, _KEYED, _LINKS, _member, _MERGED, _ranges, _TAKEN, _TOK, _ts, query
 
 _HAS = "('0x' || substr(md5(unit), 1, 4))::INT % 3 = 0"
 
@@ -325,12 +325,28 @@ def w15_sample(spark, sf):
     return organize.sample(A.prompts(spark, sf)).select("session_id", "turn", "long", "real")
 
 
-@query()
+_DIGEST = _REAL + """, sh AS (SELECT rl.session_id, rl.turn, p.ts, p.text, n >= 14 AS long, n AS real FROM rl JOIN p USING (session_id, turn)
+  WHERE k < 3 OR k = n - 1 OR (n >= 14 AND list_contains(list_transform(range(0, least(40, n)), lambda j: floor(j * (n - 1) / greatest(1, least(40, n) - 1))::BIGINT), k))),
+ln AS (SELECT session_id, any_value(long) AS long, any_value(real) AS real,
+  string_agg('t' || turn || ' ' || strftime(ts, '%H:%M') || ' | ' || substr(text, 1, CASE WHEN long THEN 110 ELSE 170 END), chr(10) ORDER BY turn) AS body FROM sh GROUP BY 1),
+fl AS (SELECT session_id, substr(path, 11) AS short, min(turn) AS f FROM (SELECT session_id, turn, unnest(files) AS path FROM p) GROUP BY 1, 2),
+fs AS (SELECT session_id, array_to_string(list(short ORDER BY f)[1:6], ', ') AS files FROM fl GROUP BY 1),
+hd AS (SELECT session_id, any_value(project) AS project, arg_min(branch, turn) AS branch, min(ts) AS first_ts, max(ts) AS last_ts FROM p GROUP BY 1),
+dg AS (SELECT session_id, project AS workspace, first_ts, real, long, 'SESSION ' || substr(session_id, 1, 8) || ' | repo=' || project || ' | branch=' || branch || ' | ' || strftime(first_ts, '%Y-%m-%d %H:%M') || '-' || strftime(last_ts, '%H:%M')
+  || ' | messages=' || real || CASE WHEN long THEN ' (long)' ELSE '' END || coalesce(chr(10) || 'files: ' || files, '') || chr(10) || body AS text FROM ln JOIN hd USING (session_id) LEFT JOIN fs USING (session_id))"""
+
+
+@query(f"WITH {_DIGEST} SELECT session_id, real, long, text FROM dg")
 def f34_digests(spark, sf):
     return organize.digests(A.prompts(spark, sf)).select("session_id", "real", "long", "text")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_DIGEST}, ch AS (SELECT project AS workspace, session_id FROM p GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY project ORDER BY min(ts) DESC, session_id) <= 160),
+od AS (SELECT dg.workspace, session_id, length(text) AS size, row_number() OVER (PARTITION BY dg.workspace ORDER BY first_ts, session_id) AS r FROM dg JOIN ch USING (workspace, session_id)),
+fi AS (SELECT workspace, session_id, r, 0 AS batch, 1 AS held, size + 2 AS used FROM od WHERE r = 1 UNION ALL
+  SELECT od.workspace, od.session_id, od.r, batch + over, CASE WHEN over = 1 THEN 1 ELSE held + 1 END, CASE WHEN over = 1 THEN 0 ELSE used END + size + 2
+  FROM fi JOIN od ON od.workspace = fi.workspace AND od.r = fi.r + 1, LATERAL (SELECT CASE WHEN used + size + 2 > 36000 OR held >= 40 THEN 1 ELSE 0 END AS over))
+SELECT workspace, session_id, batch FROM fi""")
 def w16_batches(spark, sf):
     p = A.prompts(spark, sf)
     own = p.groupBy("session_id", F.col("project").alias("workspace")).agg(_ts(F.min("ts")).alias("first_ts"))
@@ -353,23 +369,29 @@ def f26_proposal_ids(spark, sf):
     return per.select(organize.proposal_id("kind", "s").alias("id"), "unit")
 
 
-@query()
+@query(f"""{_TAKEN}, kl AS (SELECT p.*, bd.turn IS NOT NULL AS cand FROM p LEFT JOIN bd ON bd.session_id = p.session_id AND bd.turn = p.turn)
+SELECT session_id, string_agg('t' || turn || ' ' || strftime(ts, '%m-%dT%H:%M') || ' keys=[' || array_to_string(list_sort(keys), ',') || '] cwd=' || substr(cwd, 11) || CASE WHEN cand THEN ' <cand>' ELSE '' END || ' | ' || substr(text, 1, 160), chr(10) ORDER BY turn) AS skeleton
+FROM kl GROUP BY 1""")
 def f33_skeleton(spark, sf):
     p = A.prompts(spark, sf)
-    return messages.skeleton(p, segments.pick(segments.boundary_scores(p), 0.3))
+    return messages.skeleton(p, _boundaries(p))
 
 
-@query(f"""WITH {_MERGED}, x AS (SELECT DISTINCT p.session_id, p.turn, p.ts, p.text, p.noise, p.files, p.cwd, p.commands FROM p JOIN mr ON p.session_id = mr.session_id AND p.turn BETWEEN mr.start AND mr."end"),
+_LINES = f"""{_MERGED}, x AS (SELECT DISTINCT p.session_id, p.turn, p.ts, p.text, p.noise, p.files, p.cwd, p.commands FROM p JOIN mr ON p.session_id = mr.session_id AND p.turn BETWEEN mr.start AND mr."end"),
 l AS (SELECT session_id, turn, list_concat(list_filter([CASE WHEN NOT noise THEN '[s:' || session_id || ' t:' || turn || ' ' || strftime(ts, '%m-%dT%H:%M') || '] USER: ' || text END,
   CASE WHEN len(files) > 0 THEN '[s:' || session_id || ' t:' || turn || ' ' || strftime(ts, '%m-%dT%H:%M') || ']   > edit ' || substr(files[1], 11) END], lambda y: y IS NOT NULL),
-  list_transform(list_filter(commands, lambda c: {_GIT}), lambda c: '[s:' || session_id || ' t:' || turn || ' ' || strftime(ts, '%m-%dT%H:%M') || ']   > bash ' || substr(c, 1, 200))) AS ls FROM x)
-SELECT session_id, md5(array_to_string(flatten(list(ls ORDER BY turn)), chr(10))) AS text_md5 FROM l GROUP BY 1""")
+  list_transform(list_filter(commands, lambda c: {_GIT}), lambda c: '[s:' || session_id || ' t:' || turn || ' ' || strftime(ts, '%m-%dT%H:%M') || ']   > bash ' || substr(c, 1, 200))) AS ls FROM x),
+tr AS (SELECT session_id, array_to_string(flatten(list(ls ORDER BY turn)), chr(10)) AS t FROM l GROUP BY 1)"""
+
+
+@query(f"WITH {_LINES} SELECT session_id, md5(t) AS text_md5 FROM tr")
 def f28_transcript(spark, sf):
     spans = ranges.merge_ranges(_ranges(spark, sf), ["session_id"]).withColumn("lead", F.lit(False))
     return messages.transcript(A.prompts(spark, sf), spans).select("session_id", F.md5("text").alias("text_md5"))
 
 
-@query()
+@query(rf"""WITH {_LINES}, ht AS (SELECT session_id, t, regexp_replace(substr(t, 1, 410), '\n[^\n]*$', '') AS head, regexp_replace(substr(t, greatest(1, length(t) - 409)), '^[^\n]*\n', '') AS tail FROM tr)
+SELECT session_id, CASE WHEN length(t) <= 900 THEN t ELSE head || chr(10) || '... ' || (len(string_split(t, chr(10))) - len(string_split(head, chr(10))) - len(string_split(tail, chr(10)))) || ' lines left out ...' || chr(10) || tail END AS text FROM ht""")
 def f29_bounded_transcript(spark, sf):
     spans = ranges.merge_ranges(_ranges(spark, sf), ["session_id"]).withColumn("lead", F.lit(False))
     return messages.bounded_transcript(A.prompts(spark, sf), spans, 900)
