@@ -10,7 +10,8 @@ from ..functions import text as X
 # Page size, prompt and reply lengths of a transcript at three levels; lengths and number of shown commands.
 COMMAND, SHOWN_COMMANDS, SHOWN_COMMAND = 200, 8, 300
 PAGE, PAGE_MOST, PROMPT, REPLY, MOST_CHARS = 40, 100, 700, 500, 150_000
-LEVELS = ((700, 500), (350, 250), (180, 120))
+LEVELS, MARKER_ROOM = ((700, 500), (350, 250), (180, 120)), 120
+MARKER = " lines from the middle of this session were left out to keep the evidence small ...]"
 
 
 def scoped(turns: DataFrame, key: Column, since: Column, main: Column, scope: str = "all") -> DataFrame:
@@ -88,15 +89,24 @@ def transcript(turns: DataFrame, spans: DataFrame, prompt: int = PROMPT, reply:
 
 
 def bounded_transcript(turns: DataFrame, spans: DataFrame, most: int = MOST_CHARS) -> DataFrame:
-    """The longest of three transcripts that fits; if none does, the first and last lines of the shortest around a marker."""
+    """The longest of three transcripts that fits; if none does, lines from both ends of the shortest in turn while they fit, around a marker."""
     levels = [transcript(turns, spans, p, r).withColumnRenamed("text", f"t{k}") for k, (p, r) in enumerate(LEVELS)]
     rows = levels[0].join(levels[1], "session_id").join(levels[2], "session_id")
-    half = (most - 80) // 2
-    head = F.regexp_replace(F.substring(F.col("t2"), 1, half), r"\n[^\n]*\z", "")
-    tail = F.regexp_replace(F.expr(f"substring(t2, greatest(1, length(t2) - {half} + 1))"), r"^[^\n]*\n", "")
-    gone = F.size(F.split("t2", "\n")) - F.size(F.split(head, "\n")) - F.size(F.split(tail, "\n"))
+    rows = rows.withColumn("_ls", F.when(F.length("t2") > most, F.split("t2", "\n"))).withColumn("_n", F.size("_ls"))
+    # the j-th line to be taken: first, last, second, last but one ...
+    at = lambda j: F.when(j % 2 == 0, j / 2).otherwise(F.col("_n") - 1 - (j - 1) / 2).cast("int")
+    taken = F.struct(F.lit(0).alias("used"), F.lit(0).alias("m"))
+
+    def take(state, j):
+        used = state["used"] + F.length(F.get(F.col("_ls"), at(j))) + 1  # a line that doesn't fit ends it: what follows only adds to `used`
+        return F.struct(used.alias("used"), (state["m"] + (used <= max(1, most - MARKER_ROOM)).cast("int")).alias("m"))
+
+    rows = rows.withColumn("_m", F.aggregate(F.sequence(F.lit(0), F.col("_n") - 1), taken, take, lambda x: x["m"]))
+    first, last = F.ceil(F.col("_m") / 2).cast("int"), F.floor(F.col("_m") / 2).cast("int")
+    marker = F.concat(F.lit("[... "), (F.col("_n") - F.col("_m")).cast("string"), F.lit(MARKER))
+    ends = F.concat(F.slice("_ls", F.lit(1), first), F.array(marker), F.slice("_ls", F.col("_n") - last + 1, last))
     fits = [F.when(F.length(f"t{k}") <= most, F.col(f"t{k}")) for k in range(3)]
-    return rows.select("session_id", F.coalesce(*fits, F.concat(head, F.lit("\n... "), gone.cast("string"), F.lit(" lines left out ...\n"), tail)).alias("text"))
+    return rows.select("session_id", F.coalesce(*fits, F.array_join(ends, "\n")).alias("text"))
 
 
 def public_view(turns: DataFrame, most: int = 4000) -> DataFrame:

@@ -390,8 +390,11 @@ def f28_transcript(spark, sf):
     return messages.transcript(A.prompts(spark, sf), spans).select("session_id", F.md5("text").alias("text_md5"))
 
 
-@query(rf"""WITH {_LINES}, ht AS (SELECT session_id, t, regexp_replace(substr(t, 1, 410), '\n[^\n]*$', '') AS head, regexp_replace(substr(t, greatest(1, length(t) - 409)), '^[^\n]*\n', '') AS tail FROM tr)
-SELECT session_id, CASE WHEN length(t) <= 900 THEN t ELSE head || chr(10) || '... ' || (len(string_split(t, chr(10))) - len(string_split(head, chr(10))) - len(string_split(tail, chr(10)))) || ' lines left out ...' || chr(10) || tail END AS text FROM ht""")
+@query(f"""WITH {_LINES}, ht AS (SELECT session_id, t, string_split(t, chr(10)) AS ls FROM tr), od AS (SELECT session_id, ls, unnest(range(len(ls))) AS j FROM ht WHERE length(t) > 900),
+cu AS (SELECT session_id, sum(length(ls[CASE WHEN j % 2 = 0 THEN j // 2 + 1 ELSE len(ls) - j // 2 END]) + 1) OVER (PARTITION BY session_id ORDER BY j) AS used FROM od),
+tk AS (SELECT session_id, count(*) FILTER (used <= 780) AS m FROM cu GROUP BY 1)
+SELECT session_id, CASE WHEN m IS NULL THEN t ELSE array_to_string(ls[1:(m + 1) // 2] || ['[... ' || (len(ls) - m) || ' lines from the middle of this session were left out to keep the evidence small ...]'] || ls[len(ls) - m // 2 + 1:], chr(10)) END AS text
+FROM ht LEFT JOIN tk USING (session_id)""")
 def f29_bounded_transcript(spark, sf):
     spans = ranges.merge_ranges(_ranges(spark, sf), ["session_id"]).withColumn("lead", F.lit(False))
     return messages.bounded_transcript(A.prompts(spark, sf), spans, 900)

@@ -230,7 +230,8 @@ def test_bounded_transcript(spark):
     for most in (100_000, 5_000, 600):
         text = messages.bounded_transcript(t, spans, most).first()["text"]
         assert len(text) <= most and text.startswith("[s:s t:0 ")
-    assert "lines left out" in text
+    lines = text.split("\n")
+    assert [x.split(" ")[1] for x in lines] == ["t:0", "10", "t:11"] and "left out to keep the evidence small" in lines[1]
 
 
 def test_streaming_turns_continue_over_batches(spark, tmp_path):
