@@ -88,3 +88,43 @@ def test_packing_holds_all_ids(stages):
         own = sorted((p for p in pieces if p["doc_id"] == i), key=lambda p: p["start"])
         assert b"".join(bytes(p["ids"]) for p in own) == b"".join(k.to_bytes(4, "little") for k in [*enc.whole(r["text"] or ""), 1])
     assert max(p["sequence_tokens"] for p in pieces) <= 2048
+
+
+#: Extra columns that carry names the stages use inside.
+EXTRA = "_stage_lang string, _stage_score double, kept boolean, ids binary, start long, host string, h long, sequence_id long, _text string"
+
+
+def hostile(spark):
+    """Clean documents, a long one, rows with nulls in every column, texts without letters, repeated rows and equal texts."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [tuple(r) for r in docs.orderBy("doc_id").limit(40).collect()]
+    own, text = rows[0], rows[1][1]
+    odd = [(None, None, None, None, None), (None, text + " and an end of its own that no other text has", None, None, None), (900, None, "de", "src0", 0), (901, "", "de", "src0", 0), (902, " \n\t ", None, None, 4), (903, "12 34 -- 56", "de", None, 11)]
+    odd += [own, own, (905, text, None, None, None), (906, "\n".join(f"{r[1]} {k}" for k, r in enumerate(rows[2:] * 6)), rows[2][2], None, None)]
+    return spark.createDataFrame([(*r, *(None,) * 9) for r in rows + odd], ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema) + ", " + EXTRA)
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+def test_stage_takes_any_table(spark, tmp_path, name, stage):
+    docs = hostile(spark)
+    docs.write.parquet(f"{tmp_path}/docs")
+    given = spark.read.parquet(f"{tmp_path}/docs")
+    rows, out = given.collect(), stage(spark, given, SF)
+    found, ids = out.collect(), {r["doc_id"] for r in rows}
+    assert {r["doc_id"] for r in found} <= ids
+    if name == "packing":
+        ends = {(r["doc_id"], r["start"] + r["length"]) for r in found}
+        assert {r["doc_id"] for r in found} == ids and {(i, 1) for i in (900, 901)} <= ends  # a text without words has its end id only
+    else:
+        assert out.columns == given.columns
+        texts = {r["doc_id"]: r["text"] for r in found}
+        if name in ("language_id", "quality_rules"):
+            assert not {900, 901, 902, 903} & set(texts)  # no letter, no words
+        if name == "language_id":
+            assert len(found) == len([r for r in rows if any(c.isalpha() for c in r["text"] or "")])
+        if name == "near_dedup":
+            assert sum(r["doc_id"] == rows[0]["doc_id"] for r in found) <= 1 and sum(r["text"] == rows[1]["text"] for r in found) == 1
+            assert len({r["text"] for r in rows if r["text"]}) - len({r["text"] for r in found if r["text"]}) <= 2
+        if name == "suffix_dedup":
+            assert len(found) == len(rows) and not texts[905] and sum(bool(r["text"]) for r in found if r["doc_id"] == 0) == 1
+    assert stage(spark, given.limit(0), SF).count() == 0
