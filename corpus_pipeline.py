@@ -21,28 +21,44 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or unlike every learned language, go."""
+    """Documents without a letter, or unlike every learned language, go.
+
+    Null and empty texts have no letter and go. Repeated rows are judged alike and all stay; a null doc_id, lang or
+    source changes nothing. If no document of the table has a lang, no language is learned and every document goes.
+    Extra columns stay, whatever their names; an empty table gives an empty one."""
     found = language.identify(docs, out=("_stage_lang", "_stage_score"))
     return found.where((F.col("_stage_lang") != "und") & (F.col("_stage_score") >= LEAST_SCORE)).select(docs.columns)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go; lines above the limit are removed from the others."""
+    """Rejected documents go; lines above the limit are removed from the others.
+
+    Null and empty texts have no words and go. Rows with a null source are one host; repeated rows and equal texts of
+    a host count as one document and are judged alike. Extra columns stay; an empty table gives an empty one."""
     return _counted(quality.clean(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
+    """One document of each group of near duplicates stays.
+
+    Null, empty and blank texts are one group. Of repeated rows one stays, of a tie the row with the smallest doc_id,
+    null first. Texts of any length count whole. Extra columns stay; an empty table gives an empty one."""
     return neardup.near_dedup(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Byte strings that also start earlier are cut out."""
+    """Byte strings that also start earlier are cut out.
+
+    Every row stays, a text that is cut whole as an empty one. Null and empty texts have nothing to cut. Rows with a null doc_id
+    are the earliest, and of repeated rows all but the first are cut. Extra columns stay; an empty table gives an empty one."""
     return _counted(suffixes.cut_repeats(docs))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences of 2048."""
+    """Token sequences of 2048.
+
+    A null or empty text is its end id alone. Repeated rows are packed each, null ids are kept, long texts are cut into
+    full sequences and a rest. Extra columns are left out; an empty table gives no piece."""
     return packing.pack(docs, bpe.vocabulary("byte_bpe_50k.json"))
 
 
