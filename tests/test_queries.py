@@ -1,4 +1,4 @@
-"""Every query against its SQL on the smallest tables; the others at least run."""
+"""Every query against its SQL on the smallest tables."""
 
 from __future__ import annotations
 
@@ -23,6 +23,5 @@ def test_equals_sql(spark, con, name):
     same(spark, con, SF, Q.queries()[name], Q.oracle_sql()[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(Q.queries()) - set(Q.oracle_sql())))
-def test_runs(spark, name):
-    assert Q.queries()[name](spark, SF).count() > 0
+def test_every_query_has_sql():
+    assert set(Q.queries()) == set(Q.oracle_sql())
