@@ -73,7 +73,7 @@ def raw_shift(turns: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def shift_scores(turns: DataFrame, window: int = WINDOW) -> DataFrame:
-    raw = raw_shift(turns, window)
+    raw = raw_shift(turns, window).withColumn("raw", F.round("raw", 9))  # equal shifts stay equal, whatever the order of their sums
     by = Window.partitionBy("session_id")
     std = F.stddev_pop("raw").over(by)
     z = X.clip01((F.col("raw") - F.avg("raw").over(by)) / (2 * F.when(std == 0, 1.0).otherwise(std)))

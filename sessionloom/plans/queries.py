@@ -468,7 +468,7 @@ def w6_topic_shift(spark, sf):
     return segments.raw_shift(A.prompts(spark, sf)).withColumn("raw", F.round("raw", 7) + F.lit(0.0))
 
 
-@query(f"""WITH {_SHIFT}, z AS (SELECT session_id, turn, CASE WHEN count(raw) OVER w < 3 THEN 0.0 ELSE greatest(0.0, least(1.0, (raw - avg(raw) OVER w) / (2 * CASE WHEN stddev_pop(raw) OVER w = 0 THEN 1.0 ELSE stddev_pop(raw) OVER w END))) END AS s FROM raw WINDOW w AS (PARTITION BY session_id))
+@query(f"""WITH {_SHIFT}, z AS (SELECT session_id, turn, CASE WHEN count(raw) OVER w < 3 THEN 0.0 ELSE greatest(0.0, least(1.0, (raw - avg(raw) OVER w) / (2 * CASE WHEN stddev_pop(raw) OVER w = 0 THEN 1.0 ELSE stddev_pop(raw) OVER w END))) END AS s FROM (SELECT session_id, turn, round(raw, 9) AS raw FROM raw) WINDOW w AS (PARTITION BY session_id))
 SELECT p.session_id, p.turn, round(coalesce(s, 0.0), 5) AS shift FROM p LEFT JOIN z USING (session_id, turn)""")
 def w7_z_normalised(spark, sf):
     return segments.shift_scores(A.prompts(spark, sf)).withColumn("shift", F.round("shift", 5))
@@ -476,7 +476,7 @@ def w7_z_normalised(spark, sf):
 
 _SCORE = _SHIFT + """, gp AS (SELECT *, (epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 3.6e9 AS g, lag(cwd) OVER w AS pc, lag(branch) OVER w AS pb FROM p WINDOW w AS (PARTITION BY session_id ORDER BY turn)),
 kd AS (SELECT session_id, turn, keys, flatten(list(keys) OVER (PARTITION BY session_id ORDER BY turn ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING)) AS seen FROM p WHERE NOT compaction AND len(keys) > 0),
-zs AS (SELECT session_id, turn, CASE WHEN count(raw) OVER w < 3 THEN 0.0 ELSE greatest(0.0, least(1.0, (raw - avg(raw) OVER w) / (2 * CASE WHEN stddev_pop(raw) OVER w = 0 THEN 1.0 ELSE stddev_pop(raw) OVER w END))) END AS s FROM raw WINDOW w AS (PARTITION BY session_id)),
+zs AS (SELECT session_id, turn, CASE WHEN count(raw) OVER w < 3 THEN 0.0 ELSE greatest(0.0, least(1.0, (raw - avg(raw) OVER w) / (2 * CASE WHEN stddev_pop(raw) OVER w = 0 THEN 1.0 ELSE stddev_pop(raw) OVER w END))) END AS s FROM (SELECT session_id, turn, round(raw, 9) AS raw FROM raw) WINDOW w AS (PARTITION BY session_id)),
 bs AS (SELECT gp.session_id, gp.turn, CASE WHEN g > 0 THEN least(1.0, log2(1 + g) / log2(49)) ELSE 0.0 END AS time,
   CASE WHEN kd.turn IS NULL THEN 0.0 WHEN coalesce(len(seen), 0) = 0 THEN 0.6 WHEN list_has_any(kd.keys, seen) THEN 0.0 ELSE 1.0 END::DOUBLE AS key, coalesce(s, 0.0) AS shift,
   CASE WHEN pc <> cwd THEN 1.0 WHEN pb <> branch AND pb <> 'HEAD' AND branch <> 'HEAD' THEN 0.5 ELSE 0.0 END::DOUBLE AS ctx, CASE WHEN NOT noise AND (text LIKE 'Now let''s%' OR text LIKE '(new task)%' OR text LIKE 'Ahora%') THEN 1.0 ELSE 0.0 END::DOUBLE AS cue
