@@ -45,6 +45,36 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(df: DataFrame) -> None:
+    """Delete the folder of a staged table that nothing reads any more."""
+    spark = df.sparkSession
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = hadoop.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """df, written, with `_pos`: the place of each row from 0 in `order`.
+
+    Rows are dealt by sampled ranges and sorted within them; only the row count of each range
+    goes through the driver. Ties are dealt by the row's place in the input, so rows that are equal
+    in all of `order` spread over ranges too. df should be cheap to read twice (a written table).
+    """
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.withColumn("_tie", F.monotonically_increasing_id())
+    dealt = rows.repartitionByRange(parts, *order, F.col("_tie")).sortWithinPartitions(*order, F.col("_tie")).drop("_tie")
+    at = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    written = staged(dealt.select("*", F.spark_partition_id().alias("_part"), at.alias("_at")), name)
+    bases, total = [], 0
+    for part, n in sorted(written.groupBy("_part").agg(F.max("_at") + 1).collect()):
+        bases.append((part, total))
+        total += n
+    base = spark.createDataFrame(bases, "_part int, _base long")
+    return written.join(F.broadcast(base), "_part").withColumn("_pos", F.col("_base") + F.col("_at")).drop("_part", "_at", "_base")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

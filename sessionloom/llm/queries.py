@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html, language, neighbours, packing, quality, simhash, suffixes, tokenfile, warc
+from . import bpe, html, language, merkle, neighbours, packing, quality, sharding, simhash, suffixes, tokenfile, warc
 from .common import table
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -58,6 +58,20 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_decode(table(spark, sf_dir, "documents"), bpe.vocabulary(WORD_BPE)))
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    without = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    claim = merkle.leaf_hash([*map(F.col, fields[:-1]), without])
+    proofs = merkle.manifest(table(spark, sf_dir, "documents"), fields, keep={"claim": F.unhex(claim)})
+    folded = proofs.withColumn("folded_root", merkle.fold(merkle.hexed(F.col("claim")), F.col("turns"), F.col("siblings")))
+    return folded.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.hexed(F.col("siblings")).cast("binary"), 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.placed(table(spark, sf_dir, "documents"), shards=16)
+    return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -65,7 +79,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_neighbours, op2_packing, op3_warc, op4_quality, op5_language, op6_suffixes, op7_tokenfile, op8_html, op9_simhash, op10_bpe, pipeline)}
+    return {f.__name__: f for f in (op1_neighbours, op2_packing, op3_warc, op4_quality, op5_language, op6_suffixes, op7_tokenfile, op8_html, op9_simhash, op10_bpe, op12_merkle, op13_sharding, pipeline)}
 
 
 _OP1 = """
@@ -130,5 +144,41 @@ FROM d LEFT JOIN p USING (doc_id)
 """
 
 
+# CRC-32 of the decimal id, bit by bit; runs of three, level by level; then the climb of every leaf.
+_OP12 = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, *, CASE WHEN doc_id IS NULL THEN NULL ELSE list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)) END AS bytes FROM documents),
+crc AS (SELECT r, bytes, 0::BIGINT AS step, 4294967295::BIGINT AS c FROM d WHERE bytes IS NOT NULL
+        UNION ALL
+        SELECT r, bytes, step + 1, CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END
+        FROM (SELECT r, bytes, step, CASE WHEN step % 8 = 0 THEN xor(c, bytes[(step // 8 + 1)::INT]::BIGINT) ELSE c END AS x FROM crc WHERE step < 8 * len(bytes))),
+t AS (SELECT r, xor(c, 4294967295) % 2 = 0 AS tampered FROM crc WHERE step = 8 * len(bytes)),
+h AS (SELECT d.r, doc_id, source,
+        CASE WHEN doc_id IS NULL THEN '-' ELSE strlen(doc_id::VARCHAR) || ':' || doc_id END || CASE WHEN source IS NULL THEN '-' ELSE strlen(source) || ':' || source END
+        || CASE WHEN lang IS NULL THEN '-' ELSE strlen(lang) || ':' || lang END || CASE WHEN n_chars IS NULL THEN '-' ELSE strlen(n_chars::VARCHAR) || ':' || n_chars END AS head,
+        text, CASE WHEN tampered THEN replace(text, chr(10), '') ELSE text END AS changed FROM d LEFT JOIN t USING (r)),
+l AS (SELECT r, doc_id, source, sha256(head || CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' || text END) AS leaf,
+        sha256(head || CASE WHEN changed IS NULL THEN '-' ELSE strlen(changed) || ':' || changed END) AS claim FROM h),
+s AS (SELECT source, row_number() OVER (ORDER BY source NULLS FIRST) AS tree FROM (SELECT DISTINCT source FROM l)),
+p AS (SELECT r, tree, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, leaf, claim FROM l JOIN s ON l.source IS NOT DISTINCT FROM s.source),
+n AS (SELECT tree, 0 AS level, i, leaf AS x, count(*) OVER (PARTITION BY tree) AS m FROM p
+      UNION ALL
+      SELECT tree, level + 1, i // 3, sha256(string_agg(x, '' ORDER BY i)), any_value((m + 2) // 3) FROM n WHERE m > 1 GROUP BY tree, level, i // 3),
+u AS (SELECT 0 AS level, tree - 1 AS i, x, count(*) OVER () AS m FROM n WHERE m = 1
+      UNION ALL
+      SELECT level + 1, i // 3, sha256(string_agg(x, '' ORDER BY i)), any_value((m + 2) // 3) FROM u WHERE m > 1 GROUP BY level, i // 3),
+nodes AS (SELECT tree, level, i, x, m FROM n UNION ALL SELECT 0, level, i, x, m FROM u),
+runs AS (SELECT a.tree, a.level, a.i, a.m, coalesce(string_agg(b.x, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS lo, coalesce(string_agg(b.x, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS hi
+         FROM nodes a JOIN nodes b ON a.tree = b.tree AND a.level = b.level AND a.i // 3 = b.i // 3 GROUP BY ALL),
+climb AS (SELECT r, tree, tree AS own, 0 AS level, i, claim AS x, '' AS proof FROM p
+          UNION ALL
+          SELECT c.r, CASE WHEN g.m = 1 THEN 0 ELSE c.tree END, c.own, CASE WHEN g.m = 1 THEN 0 ELSE c.level + 1 END, CASE WHEN g.m = 1 THEN c.own - 1 ELSE c.i // 3 END,
+                 CASE WHEN g.m = 1 THEN c.x ELSE sha256(g.lo || c.x || g.hi) END, CASE WHEN g.m = 1 THEN c.proof ELSE c.proof || g.lo || g.hi END
+          FROM climb c JOIN runs g USING (tree, level, i) WHERE NOT (g.tree = 0 AND g.m = 1)),
+e AS (SELECT c.r, c.x, c.proof FROM climb c JOIN u ON c.tree = 0 AND c.level = u.level AND c.i = u.i AND u.m = 1)
+SELECT l.doc_id, l.leaf, n.x AS subroot, (SELECT x FROM u WHERE m = 1) AS root, sha256(e.proof) AS proof_sha256, e.x AS folded_root, e.x = (SELECT x FROM u WHERE m = 1) AS verified
+FROM l JOIN p USING (r) JOIN e USING (r) JOIN n ON n.tree = p.tree AND n.m = 1
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_neighbours": _OP1, "op3_warc": _OP3, "op4_quality": _OP4, "op6_suffixes": _OP6}
+    return {"op1_neighbours": _OP1, "op3_warc": _OP3, "op4_quality": _OP4, "op6_suffixes": _OP6, "op12_merkle": _OP12}
