@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html, language, merkle, neighbours, packing, quality, sharding, simhash, suffixes, tokenfile, warc
+from . import bpe, html, language, merkle, neighbours, packing, phrases, quality, sharding, simhash, suffixes, tokenfile, warc
 from .common import table
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -58,6 +58,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_decode(table(spark, sf_dir, "documents"), bpe.vocabulary(WORD_BPE)))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"), least=30, share=80, top=2000)
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = ["doc_id", "source", "lang", "n_chars", "text"]
     without = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
@@ -79,7 +83,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_neighbours, op2_packing, op3_warc, op4_quality, op5_language, op6_suffixes, op7_tokenfile, op8_html, op9_simhash, op10_bpe, op12_merkle, op13_sharding, pipeline)}
+    return {f.__name__: f for f in (op1_neighbours, op2_packing, op3_warc, op4_quality, op5_language, op6_suffixes, op7_tokenfile, op8_html, op9_simhash, op10_bpe, op11_phrases, op12_merkle, op13_sharding, pipeline)}
 
 
 _OP1 = """
@@ -144,6 +148,25 @@ FROM d LEFT JOIN p USING (doc_id)
 """
 
 
+_OP11 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, list_filter(string_split_regex(piece, '[ \t]+'), lambda x: x <> '') AS ws
+      FROM (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d)),
+w AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM p),
+g AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase FROM w, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE i + k - 1 <= len(ws)),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY 1),
+c AS (SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND a >= 30),
+cut AS (SELECT lang, phrase, a, ws, unnest(range(1, k)) AS j, k FROM c),
+s AS (SELECT cut.*, l.a AS l, r.a AS r, (2000000::HUGEINT * cut.a // (l.a + r.a))::BIGINT AS score
+      FROM cut JOIN f l ON l.lang = cut.lang AND l.phrase = array_to_string(ws[1:j], ' ') AND l.k = j JOIN f r ON r.lang = cut.lang AND r.phrase = array_to_string(ws[j + 1:cut.k], ' ') AND r.k = cut.k - j),
+m AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+x AS (SELECT DISTINCT c.lang, c.phrase FROM (SELECT lang, k, a, ws, unnest([2, 3]) AS size FROM c) q, unnest(range(1, q.k - q.size + 2)) AS o(i)
+      JOIN c ON c.lang = q.lang AND c.k = q.size AND c.phrase = array_to_string(q.ws[i:i + q.size - 1], ' ') WHERE q.k > q.size AND 100::HUGEINT * q.a >= 80::HUGEINT * c.a),
+k AS (SELECT m.*, row_number() OVER (PARTITION BY m.lang ORDER BY score DESC, a DESC, encode(m.phrase)) AS rank FROM m ANTI JOIN x ON m.lang = x.lang AND m.phrase = x.phrase)
+SELECT k.lang, rank, phrase, a, l, r, n, score FROM k JOIN n USING (lang) WHERE rank <= 2000
+"""
+
 # CRC-32 of the decimal id, bit by bit; runs of three, level by level; then the climb of every leaf.
 _OP12 = r"""
 WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, *, CASE WHEN doc_id IS NULL THEN NULL ELSE list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)) END AS bytes FROM documents),
@@ -181,4 +204,4 @@ FROM l JOIN p USING (r) JOIN e USING (r) JOIN n ON n.tree = p.tree AND n.m = 1
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_neighbours": _OP1, "op3_warc": _OP3, "op4_quality": _OP4, "op6_suffixes": _OP6, "op12_merkle": _OP12}
+    return {"op1_neighbours": _OP1, "op3_warc": _OP3, "op4_quality": _OP4, "op6_suffixes": _OP6, "op11_phrases": _OP11, "op12_merkle": _OP12}
