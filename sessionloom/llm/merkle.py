@@ -30,7 +30,7 @@ from .common import let, numbered, staged
 
 FAN, LEVELS = 3, 6
 #: Bytes of a table that a join broadcasts.
-BROADCAST = 16 << 20
+BROADCAST = 4 << 20
 
 
 def leaf_hash(fields: list[Column]) -> Column:
