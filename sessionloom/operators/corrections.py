@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.stages import written
+
 MAX_LABEL, MAX_PARTS = 120, 40
 
 OPS = """workspace string, seq long, id string, batch string, ts string, type string, unit string, session string, `to` string,
@@ -38,7 +40,7 @@ def _parts(parts):
 def fold(ops: DataFrame) -> DataFrame:
     """State of each workspace as rows: label, merge member, move, cut part, hidden unit, hidden session.
 
-    `ord` puts rows in order: the members of a group, the parts of a cut, the moves (by the seq of the move).
+    `ord` puts rows in order: the members of a group, the parts of a cut, the moves (`moves_in_order`).
     Operations that were undone, or lack an id or a subject, count for nothing; an empty log has no rows."""
     live = ops.where(~F.coalesce("undone", F.lit(False)) & _text("id"))
     live = live.withColumn("label", F.substring(_stripped(F.coalesce("label", F.lit(""))), 1, MAX_LABEL)).withColumn("ai", F.coalesce(F.col("source") == "ai", F.lit(False)))
@@ -65,7 +67,7 @@ def fold(ops: DataFrame) -> DataFrame:
     members = members.groupBy("workspace", "unit", "m").agg(F.min(F.struct("seq", "id", "pos")).alias("first"))
     members = members.join(groups.select("workspace", "unit", "ai").withColumnsRenamed({"workspace": "_w", "unit": "_u"}), F.col("workspace").eqNullSafe(F.col("_w")) & (F.col("unit") == F.col("_u")))
     within = F.row_number().over(Window.partitionBy("workspace", "unit").orderBy("first")) - 1
-    moves = after_split(newest(of("move").where(_text("session") & _text("to")), "session", "to", "seq"), "to")
+    moves = moves_in_order(of("move").where(_text("session") & _text("to")), of("split").where(_text("unit")))
     cuts = newest(of("cut").where(_text("session")).withColumn("parts", _parts(F.col("parts"))).where("parts is not null"), "session", "parts")
     cuts = cuts.select("workspace", "session", F.posexplode("parts").alias("pos", "x"))
     hidden = lambda df, by: newest(df.withColumn("hidden", F.coalesce("hidden", F.lit(True))), by, "hidden").where("hidden")
@@ -74,11 +76,26 @@ def fold(ops: DataFrame) -> DataFrame:
     sessions = hidden(hides.where(~_text("unit") & _text("session")), "session")
     out = rows(labels, "label", "unit", F.col("label"), ai=F.col("ai"))
     out = out.unionByName(rows(members, "merge", "unit", F.col("m"), within, ai=F.col("ai"))).unionByName(rows(groups, "group", "unit", F.col("label"), ai=F.col("ai")))
-    out = out.unionByName(rows(moves, "move", "session", F.col("to"), F.col("seq")))
+    out = out.unionByName(rows(moves, "move", "session", F.col("to"), F.col("ord")))
     out = out.unionByName(rows(cuts, "cut", "session", F.col("x.label"), F.col("pos"), F.col("x.start"), F.col("x.end"), F.col("x.label") != ""))
     return out.unionByName(rows(units, "hidden_unit", "unit")).unionByName(rows(sessions, "hidden_session", "session"))
 
 
+def moves_in_order(moves: DataFrame, splits: DataFrame) -> DataFrame:
+    """(workspace, session, to, ord): where each session was moved last, and its place among the moves.
+
+    A session that is moved again keeps its place. Splitting a unit forgets the moves into it, and with them their places."""
+    both = moves.select("workspace", "to", "seq", "id", "session").unionByName(splits.select("workspace", F.col("unit").alias("to"), "seq", "id", F.lit(None).cast("string").alias("session")))
+    later = Window.partitionBy("workspace", "to").orderBy("seq", "id").rowsBetween(1, Window.unboundedFollowing)
+    ended = both.withColumn("split", F.min(F.when(F.col("session").isNull(), F.col("seq"))).over(later)).where("session IS NOT NULL")
+    own = Window.partitionBy("workspace", "session").orderBy("seq", "id")
+    after = F.lead("seq").over(own)
+    told = ended.withColumn("next", after).withColumn("gone", F.coalesce(F.col("split") <= F.coalesce("next", "split"), F.lit(False)))
+    run = F.sum(F.col("gone").cast("int")).over(own.rowsBetween(Window.unboundedPreceding, -1))
+    first = F.min("seq").over(Window.partitionBy("workspace", "session", "run"))
+    return told.withColumn("run", F.coalesce(run, F.lit(0))).withColumn("ord", first).where("next IS NULL AND NOT gone").select("workspace", "session", "to", "ord")
+
+
 def undo(ops: DataFrame) -> DataFrame:
     """The log with its newest batch that is not undone marked as undone."""
     live = ops.where(~F.coalesce("undone", F.lit(False)))
@@ -103,33 +120,55 @@ def validate(ops: DataFrame, units: DataFrame) -> DataFrame:
     return rows.select("id", reason.isNull().alias("ok"), reason.alias("reason"))
 
 
+def settle(moves: DataFrame, auto: DataFrame, there: DataFrame) -> DataFrame:
+    """(workspace, session_id, target, ord, back): which moves find their unit, in log order; the others go back.
+
+    A session that goes back makes its own units again, and a later move can find those. So a unit is there from the smallest
+    `ord` of a session that goes back to it, and which sessions go back depends on that: the rounds below begin with all
+    going back and end when nothing changes, after as many rounds as the longest chain of moves that depend on each other
+    has links. A round is an aggregate per unit and two joins; no pair of moves is formed.
+    moves: workspace, session_id, target, ord; auto: workspace, session_id, unit; there: units (workspace, unit) that exist anyway."""
+    found = moves.join(there.select("workspace", F.col("unit").alias("target"), F.lit(True).alias("there")).distinct(), ["workspace", "target"], "left")
+    found = written(found.select("workspace", "session_id", "target", "ord", F.coalesce("there", F.lit(False)).alias("there")), "moves")
+    made = written(found.where("NOT there").select("workspace", "session_id", "ord").join(auto.select("workspace", "session_id", "unit"), ["workspace", "session_id"]), "moves-made")
+    now = found.where("NOT there").select("workspace", "session_id", "target", "ord", F.lit(True).alias("back"))
+    while True:
+        born = made.join(now.where("back").select("workspace", "session_id"), ["workspace", "session_id"], "left_semi")
+        born = born.groupBy("workspace", F.col("unit").alias("target")).agg(F.min("ord").alias("born"))
+        back = ~F.coalesce(F.col("born") < F.col("ord"), F.lit(False))
+        after = written(now.withColumnRenamed("back", "was").join(born, ["workspace", "target"], "left").withColumn("back", back), "moves-round")
+        now = after.select("workspace", "session_id", "target", "ord", "back")
+        if after.where("back <> was").isEmpty():
+            return found.where("there").select("workspace", "session_id", "target", "ord", F.lit(False).alias("back")).unionByName(now)
+
+
 def apply(member: DataFrame, state: DataFrame, sessions: DataFrame) -> DataFrame:
     """(workspace, session_id, unit, mode, start, end, label, hidden) after the corrections of each workspace.
 
-    Order: hidden sessions leave; a moved session goes into a group, else into a unit that
-    exists, else where it was; cut sessions without a unit become parts; merged units lose their
-    own. member: workspace, session_id, unit, mode; sessions: workspace, session_id, n_prompts.
+    Order: hidden sessions leave; cut sessions without a unit are parts; a moved session goes, in log order,
+    into a group, else into a unit that exists by then, else where it was; merged units lose their own.
+    member: workspace, session_id, unit, mode; sessions: workspace, session_id, n_prompts.
     """
     from .ranges import pieces
 
     who, where = ["workspace", "session_id"], ["workspace", "unit"]
+    state = written(state, "corrections", by="kind")
     of = lambda kind, **names: state.where(F.col("kind") == kind).select("workspace", *(F.col(c).alias(n) for n, c in names.items()))
-    shown = member.join(of("hidden_session", session_id="subject"), who, "left_anti")
-    moves, groups = of("move", session_id="subject", target="target"), of("group", unit="subject", group_label="target")
-    placed = shown.join(moves, who, "left_anti")
-    exists = placed.select(*where).unionByName(groups.select(*where)).distinct().withColumn("there", F.lit(True))
-    target = shown.join(moves, who).join(exists.withColumnRenamed("unit", "target"), ["workspace", "target"], "left")
-    to_target = target.where("there").select(*who, F.col("target").alias("unit"), F.lit("forced").alias("mode")).distinct()
-    back = target.where("there is null").select(*who, "unit", "mode")
-    rows = placed.select(*who, "unit", "mode").unionByName(to_target).unionByName(back)
-    rows = rows.withColumn("start", F.lit(None).cast("int")).withColumn("end", F.lit(None).cast("int"))
+    shown = member.join(of("hidden_session", session_id="subject"), who, "left_anti").select(*who, "unit", "mode", F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"))
     both = F.concat_ws("\u0001", "workspace", "session_id")  # one key for the ranges of a session in a workspace
     cuts = state.where("kind = 'cut'").withColumn("session_id", F.col("subject")).select(both.alias("session_id"), "start", "end", F.col("target").alias("label"))
-    parts = pieces(cuts, sessions.select(both.alias("session_id"), F.col("n_prompts").alias("n"))).select(F.col("session_id").alias("_key"), "start", "end")
-    loose = rows.where(F.startswith("unit", F.lit("session:")) & (F.col("mode") == "main")).drop("start", "end").withColumn("_key", both)
-    cut = loose.join(parts, "_key").select(*who, F.concat("unit", F.lit("#"), "start", F.lit("-"), "end").alias("unit"), "mode", "start", "end")
-    gone = cut.select(*who).distinct().withColumn("_cut", F.lit(True))
-    rows = rows.join(gone, who, "left").where(~(F.coalesce("_cut", F.lit(False)) & F.startswith("unit", F.lit("session:")))).drop("_cut").unionByName(cut)
+    parts = pieces(cuts, sessions.select(both.alias("session_id"), F.col("n_prompts").alias("n"))).groupBy(F.col("session_id").alias("_key")).agg(F.collect_list(F.struct("start", "end")).alias("_parts"))
+    loose = F.startswith("unit", F.lit("session:")) & (F.col("mode") == "main")
+    cut = shown.withColumn("_key", F.when(loose, both)).join(parts, "_key", "left").withColumn("_part", F.explode_outer("_parts"))
+    named = F.when(F.col("_part").isNull(), F.col("unit")).otherwise(F.concat("unit", F.lit("#"), F.col("_part.start"), F.lit("-"), F.col("_part.end")))
+    auto = written(cut.select(*who, named.alias("unit"), "mode", F.col("_part.start").alias("start"), F.col("_part.end").alias("end")), "auto-placed")
+    moves, groups = of("move", session_id="subject", target="target", ord="ord"), of("group", unit="subject", group_label="target")
+    placed = auto.join(moves, who, "left_anti")
+    moves = moves.join(auto.select(*who).distinct(), who, "left_semi")
+    settled = settle(moves, auto, placed.select(*where).unionByName(groups.select(*where)))
+    forced = settled.where("NOT back").select(*who, F.col("target").alias("unit"), F.lit("forced").alias("mode"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"))
+    returned = auto.join(settled.where("back"), who, "left_semi")
+    rows = placed.unionByName(forced).unionByName(returned)
     merged = of("merge", g="subject", unit="target")
     mode = F.when(F.col("g").isNotNull(), "forced").otherwise(F.col("mode"))
     joined = rows.join(merged, where, "left").select(*who, F.coalesce("g", "unit").alias("unit"), mode.alias("mode"), "start", "end")

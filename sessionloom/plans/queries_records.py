@@ -439,23 +439,28 @@ def _ops(spark, sf):
     unit = F.concat(F.upper("event_type"), F.lit("-"), F.col("k") % 5 + 1)
     kind = F.element_at(F.array(*map(F.lit, ("rename", "merge", "move", "hide", "split"))), (F.col("event_id") % 5 + 1).cast("int"))
     group = F.concat(F.lit("user:"), F.col("k") % 3)
+    other = F.concat(F.lit("session:u"), F.col("user_id") + 28 * (F.col("k") % 3 - 1), F.regexp_extract("session_id", "-w.*", 0))
+    target = F.when(F.col("k") % 5 == 0, group).when(F.col("k") % 5 < 3, other).otherwise(unit)
     null = lambda t: F.lit(None).cast(t)
     return rows.select(
         F.col("project").alias("workspace"), F.col("event_id").alias("seq"), F.concat(F.lit("op"), "event_id").alias("id"), F.concat(F.lit("b"), F.floor(F.col("event_id") / 3)).alias("batch"), _ts("ts").alias("ts"), kind.alias("type"),
-        F.when(kind.isin("merge", "split"), group).when(kind.isin("rename", "hide"), unit).alias("unit"), F.when(kind == "move", F.col("session_id")).alias("session"), F.when(kind == "move", unit).alias("to"),
+        F.when(kind.isin("merge", "split"), group).when(kind.isin("rename", "hide"), unit).alias("unit"), F.when(kind == "move", F.col("session_id")).alias("session"), F.when(kind == "move", target).alias("to"),
         F.when(kind == "rename", F.concat(F.lit("name "), F.col("k") % 4)).alias("label"), F.when(kind == "hide", F.col("k") % 2 == 0).alias("hidden"), F.when(kind == "merge", F.array(unit)).alias("members"),
         null("array<struct<start:int,end:int,label:string>>").alias("parts"), null("string").alias("source"), (F.col("event_id") % 13 == 0).alias("undone"),
     )
 
 
-_OPS = A.SQL_EVENTS + """, ops AS (SELECT project AS workspace, event_id AS seq, ['rename', 'merge', 'move', 'hide', 'split'][event_id % 5 + 1] AS type, upper(event_type) || '-' || (k % 5 + 1) AS u, 'user:' || (k % 3) AS g, session_id, 'name ' || (k % 4) AS label, k % 2 = 0 AS hidden
-  FROM e WHERE event_id % 13 <> 0)"""
+_OPS = A.SQL_EVENTS + """, ops AS (SELECT project AS workspace, event_id AS seq, ['rename', 'merge', 'move', 'hide', 'split'][event_id % 5 + 1] AS type, upper(event_type) || '-' || (k % 5 + 1) AS u, 'user:' || (k % 3) AS g, session_id, 'name ' || (k % 4) AS label, k % 2 = 0 AS hidden,
+  CASE WHEN k % 5 = 0 THEN 'user:' || (k % 3) WHEN k % 5 < 3 THEN 'session:u' || (user_id + 28 * (k % 3 - 1)) || regexp_extract(session_id, '-w.*') ELSE upper(event_type) || '-' || (k % 5 + 1) END AS t FROM e WHERE event_id % 13 <> 0),
+ls AS (SELECT workspace, g, max(seq) AS split FROM ops WHERE type = 'split' GROUP BY 1, 2),
+mv AS (SELECT workspace, session_id, t AS target, seq FROM ops m WHERE type = 'move' QUALIFY row_number() OVER (PARTITION BY workspace, session_id ORDER BY seq DESC) = 1
+  AND NOT EXISTS (SELECT 1 FROM ls WHERE ls.workspace = m.workspace AND ls.g = m.t AND ls.split > m.seq))"""
 
 
 @query(f"""WITH {_OPS} SELECT workspace, 'label' AS kind, u AS subject, arg_max(label, seq) AS target FROM ops WHERE type = 'rename' GROUP BY ALL
 UNION ALL SELECT workspace, 'hidden_unit', u, NULL FROM ops WHERE type = 'hide' GROUP BY ALL HAVING arg_max(hidden, seq)
 UNION ALL SELECT DISTINCT m.workspace, 'merge', g, u FROM ops m WHERE type = 'merge' AND NOT EXISTS (SELECT 1 FROM ops s WHERE s.workspace = m.workspace AND s.type = 'split' AND s.g = m.g AND s.seq > m.seq)
-UNION ALL SELECT workspace, 'move', session_id, arg_max(u, seq) FROM ops WHERE type = 'move' GROUP BY workspace, session_id""")
+UNION ALL SELECT workspace, 'move', session_id, target FROM mv""")
 def t9_fold(spark, sf):
     return corrections.fold(_ops(spark, sf)).where("kind in ('label', 'hidden_unit', 'merge', 'move')").select("workspace", "kind", "subject", "target")
 

@@ -96,16 +96,26 @@ def v6_accept_all(spark, sf):
     return organize.accept(p, "all", renamed, "medium")
 
 
-@query(f"""WITH {_KEYED}, ops0 AS (WITH {_OPS} SELECT * FROM ops),
-lab AS (SELECT workspace, u AS unit, arg_max(label, seq) AS label FROM ops0 WHERE type = 'rename' GROUP BY 1, 2),
-hid AS (SELECT workspace, u AS unit FROM ops0 WHERE type = 'hide' GROUP BY 1, 2 HAVING arg_max(hidden, seq)),
-mer AS (SELECT DISTINCT workspace, g, u AS unit FROM ops0 m WHERE type = 'merge' AND NOT EXISTS (SELECT 1 FROM ops0 s WHERE s.workspace = m.workspace AND s.type = 'split' AND s.g = m.g AND s.seq > m.seq)),
-mov AS (SELECT workspace, session_id, arg_max(u, seq) AS target FROM ops0 WHERE type = 'move' GROUP BY 1, 2),
+#: Moves one after another: each finds a group or a unit that is there by then, or its session goes back and makes its units.
+#: A move's place is that of the session's first move since the unit that it was moved into was last split.
+_MOVED = f"""{_OPS}, al AS (SELECT workspace, session_id, seq, t, lead(seq) OVER (PARTITION BY workspace, session_id ORDER BY seq) AS nxt FROM ops WHERE type = 'move'),
+gn AS (SELECT al.workspace, al.session_id, max(al.seq) AS gone FROM al JOIN ops s ON s.type = 'split' AND s.workspace = al.workspace AND s.g = al.t AND s.seq > al.seq AND (nxt IS NULL OR s.seq < nxt) GROUP BY 1, 2),
+pl AS (SELECT al.workspace, al.session_id, min(al.seq) AS place FROM al LEFT JOIN gn USING (workspace, session_id) WHERE gone IS NULL OR al.seq > gone GROUP BY 1, 2),
+mer AS (SELECT DISTINCT workspace, g, u AS unit FROM ops m WHERE type = 'merge' AND NOT EXISTS (SELECT 1 FROM ops s WHERE s.workspace = m.workspace AND s.type = 'split' AND s.g = m.g AND s.seq > m.seq)),
 sho AS (SELECT project AS workspace, session_id, unit, mode FROM mem JOIN pr USING (session_id)),
-pla AS (SELECT * FROM sho ANTI JOIN mov USING (workspace, session_id)),
-exi AS (SELECT workspace, unit FROM pla UNION SELECT workspace, g FROM mer),
-tgt AS (SELECT sho.*, target, exi.unit IS NOT NULL AS there FROM sho JOIN mov USING (workspace, session_id) LEFT JOIN exi ON exi.workspace = sho.workspace AND exi.unit = target),
-rws AS (SELECT * FROM pla UNION ALL SELECT DISTINCT workspace, session_id, target, 'forced' FROM tgt WHERE there UNION ALL SELECT workspace, session_id, unit, mode FROM tgt WHERE NOT there),
+own AS (SELECT workspace, session_id, list(unit) AS units FROM sho GROUP BY 1, 2),
+mo AS (SELECT workspace, session_id, target, units, row_number() OVER (PARTITION BY workspace ORDER BY place) AS i FROM mv JOIN pl USING (workspace, session_id) JOIN own USING (workspace, session_id)),
+st AS (SELECT workspace, list(DISTINCT unit) AS there FROM (SELECT workspace, unit FROM sho ANTI JOIN mv USING (workspace, session_id) UNION SELECT workspace, g FROM mer) GROUP BY 1),
+walk AS (SELECT workspace, 0::BIGINT AS i, NULL::VARCHAR AS session_id, NULL::VARCHAR AS target, false AS found, there FROM st
+  UNION ALL SELECT walk.workspace, mo.i, mo.session_id, mo.target, list_contains(there, mo.target), CASE WHEN list_contains(there, mo.target) THEN there ELSE list_concat(there, mo.units) END
+  FROM walk JOIN mo ON mo.workspace = walk.workspace AND mo.i = walk.i + 1)"""
+
+
+@query(f"""WITH RECURSIVE {_KEYED}, {_MOVED.partition(A.SQL_EVENTS)[2].lstrip(', ')},
+lab AS (SELECT workspace, u AS unit, arg_max(label, seq) AS label FROM ops WHERE type = 'rename' GROUP BY 1, 2),
+hid AS (SELECT workspace, u AS unit FROM ops WHERE type = 'hide' GROUP BY 1, 2 HAVING arg_max(hidden, seq)),
+rws AS (SELECT * FROM sho ANTI JOIN mv USING (workspace, session_id) UNION ALL SELECT workspace, session_id, target, 'forced' FROM walk WHERE found
+  UNION ALL SELECT sho.* FROM sho JOIN walk USING (workspace, session_id) WHERE NOT found),
 joi AS (SELECT workspace, session_id, coalesce(g, unit) AS unit, min(CASE WHEN g IS NULL THEN mode ELSE 'forced' END) AS mode FROM rws LEFT JOIN mer USING (workspace, unit) GROUP BY 1, 2, 3)
 SELECT joi.workspace, session_id, joi.unit, mode, NULL::INT AS start, NULL::INT AS "end", label, hid.unit IS NOT NULL AS hidden
 FROM joi LEFT JOIN lab USING (workspace, unit) LEFT JOIN hid ON hid.workspace = joi.workspace AND hid.unit = joi.unit""")
