@@ -1,11 +1,15 @@
-"""Topic boundaries within sessions: five scores per turn, a weighted sum, and a greedy choice."""
+"""Topic boundaries within sessions: five scores per turn, a weighted sum, and a greedy choice.
+
+Turns are numbered from 0 without gaps. All five scores are windows and aggregates within a session, so rows that are
+dealt by session once are not dealt again (`boundary_scores`)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.stages import written
 
 # Weights, window, threshold, distance and memory.
 WEIGHTS = {"time": 0.15, "key": 0.9, "shift": 0.9, "ctx": 0.25, "cue": 0.3}
@@ -17,37 +21,59 @@ def _by():
     return Window.partitionBy("session_id").orderBy("turn")
 
 
-def time_scores(turns: DataFrame) -> DataFrame:
+def _time() -> Column:
     gap = (F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(_by()))) / 3.6e9
-    return turns.select("session_id", "turn", F.coalesce(F.when(gap > 0, X.clip01(F.log2(1 + gap) / F.log2(F.lit(49.0)))), F.lit(0.0)).alias("time"))
+    return F.coalesce(F.when(gap > 0, X.clip01(F.log2(1 + gap) / F.log2(F.lit(49.0)))), F.lit(0.0))
 
 
-def context_scores(turns: DataFrame) -> DataFrame:
+def _context() -> Column:
     moved = lambda c: (X.nn(F.lag(c).over(_by())) != "") & (X.nn(c) != "") & (F.lag(c).over(_by()) != F.col(c))
     switched = moved("branch") & (F.col("branch") != "HEAD") & (F.lag("branch").over(_by()) != "HEAD")
-    return turns.select("session_id", "turn", F.when(moved("cwd"), 1.0).when(switched, 0.5).otherwise(0.0).alias("ctx"))
+    return F.when(moved("cwd"), 1.0).when(switched, 0.5).otherwise(0.0)
+
+
+def _with_key(turns: DataFrame, memory: int) -> DataFrame:
+    """With `key`: the keyed turns are counted, and a turn looks at those whose number is at most `memory` smaller."""
+    keyed = ~F.col("compaction") & (F.size("keys") > 0)
+    numbered = turns.withColumn("_keyed", F.sum(keyed.cast("int")).over(_by().rowsBetween(Window.unboundedPreceding, 0)))
+    seen = F.flatten(F.collect_list(F.when(keyed, F.col("keys"))).over(Window.partitionBy("session_id").orderBy("_keyed").rangeBetween(-memory, -1)))
+    score = F.when(~keyed, 0.0).when(F.size("_seen") == 0, 0.6).when(F.arrays_overlap("keys", "_seen"), 0.0).otherwise(1.0)
+    return numbered.withColumn("_seen", seen).withColumn("key", score).drop("_keyed", "_seen")
+
+
+def _cue() -> Column:
+    return F.when(~F.col("noise") & F.substring("text", 1, 80).rlike(X.CUE), 1.0).otherwise(0.0)
+
+
+def time_scores(turns: DataFrame) -> DataFrame:
+    return turns.select("session_id", "turn", _time().alias("time"))
+
+
+def context_scores(turns: DataFrame) -> DataFrame:
+    return turns.select("session_id", "turn", _context().alias("ctx"))
 
 
 def key_scores(turns: DataFrame, memory: int = KEY_MEMORY) -> DataFrame:
     """1 if none of a turn's keys is among those of the last keyed turns, 0.6 if there were none; compactions don't count."""
-    keyed = turns.where(~F.col("compaction") & (F.size("keys") > 0))
-    seen = F.flatten(F.collect_list("keys").over(_by().rowsBetween(-memory, -1)))
-    scored = keyed.withColumn("seen", seen).select("session_id", "turn", F.when(F.size("seen") == 0, 0.6).when(F.arrays_overlap("keys", "seen"), 0.0).otherwise(1.0).alias("key_score"))
-    return turns.select("session_id", "turn").join(scored, ["session_id", "turn"], "left").select("session_id", "turn", F.coalesce("key_score", F.lit(0.0)).alias("key"))
+    return _with_key(turns.select("session_id", "turn", "compaction", "keys"), memory).select("session_id", "turn", "key")
 
 
 def cue_scores(turns: DataFrame) -> DataFrame:
-    return turns.select("session_id", "turn", F.when(~F.col("noise") & F.substring("text", 1, 80).rlike(X.CUE), 1.0).otherwise(0.0).alias("cue"))
+    return turns.select("session_id", "turn", _cue().alias("cue"))
 
 
-def turn_tokens(turns: DataFrame) -> DataFrame:
-    """(session_id, turn, toks): words of the prompt, of the edited paths and of the first replies."""
+def _tokens(turns: DataFrame) -> Column:
     empty = F.array().cast("array<string>")
     said = F.when(F.col("noise"), empty).otherwise(X.tokens(F.substring("text", 1, PROMPT_CHARS)))
     paths = F.flatten(F.transform(F.array_distinct("files"), lambda p: X.path_tokens(p)))
     replies = X.tokens(F.array_join(F.slice("assistant", 1, REPLIES), " ")) if "assistant" in turns.columns else empty
     all_of = F.concat(said, paths, replies)
-    return turns.select("session_id", "turn", F.when(F.col("noise") & (F.size("files") == 0), empty).otherwise(all_of).alias("toks"))
+    return F.when(F.col("noise") & (F.size("files") == 0), empty).otherwise(all_of)
+
+
+def turn_tokens(turns: DataFrame) -> DataFrame:
+    """(session_id, turn, toks): words of the prompt, of the edited paths and of the first replies."""
+    return turns.select("session_id", "turn", _tokens(turns).alias("toks"))
 
 
 def tfidf(tokens: DataFrame) -> DataFrame:
@@ -59,49 +85,92 @@ def tfidf(tokens: DataFrame) -> DataFrame:
     return tf.join(df, ["session_id", "term"]).join(n, "session_id").select("session_id", "turn", "term", weight.alias("weight"))
 
 
+def _products(turns: DataFrame, reach: int, keep: list[str]) -> DataFrame:
+    """(session_id, turn, columns of keep, n, g0 .. g<reach>): `g<d>` is the product of a turn's vector with that of the turn d before.
+
+    A term meets its own earlier uses within `reach` turns, so a posting makes one row and one more for each such use."""
+    per = Window.partitionBy("session_id")
+    rows = turns.select("session_id", "turn", *keep, F.count("*").over(per).alias("n"), _tokens(turns).alias("toks"))
+    rows = rows.select("session_id", "turn", *keep, "n", F.explode_outer("toks").alias("term"))
+    once = [F.first(c).alias(c) for c in [*keep, "n"]]
+    tf = rows.groupBy("session_id", "turn", "term").agg(F.count("term").alias("tf"), *once)
+    term = Window.partitionBy("session_id", "term")
+    weight = (1 + F.ln("tf")) * F.ln((1 + F.col("n")) / (1 + F.count("*").over(term)))
+    vectors = tf.withColumn("w", F.when(F.col("tf") > 0, weight))
+    uses = F.collect_list(F.struct("turn", "w")).over(term.orderBy("turn").rangeBetween(-reach, 0))
+    met = vectors.withColumn("uses", uses).withColumn("x", F.explode("uses"))
+    d = F.col("turn") - F.col("x.turn")
+    sums = [F.coalesce(F.sum(F.when(d == k, F.col("w") * F.col("x.w"))), F.lit(0.0)).alias(f"g{k}") for k in range(reach + 1)]
+    return met.groupBy("session_id", "turn").agg(*once, *sums)
+
+
+def _with_raw(turns: DataFrame, window: int, keep: list[str]) -> DataFrame:
+    """(session_id, turn, columns of keep, raw): 1 - cosine of the sums of the turns before and from each turn, null near the ends.
+
+    Length and product of such sums are sums of the products of two turns, that is, of a few values of the turns around."""
+    g = lambda lo, hi: sum((F.col(f"g{d}") for d in range(lo, hi + 1)), F.lit(0.0))
+    at = lambda value, k: F.coalesce(F.lead(value, k).over(_by()) if k >= 0 else F.lag(value, -k).over(_by()), F.lit(0.0))
+    before = sum((at(g(0, 0) + 2 * g(1, window - k), -k) for k in range(1, window + 1)), F.lit(0.0))
+    behind = sum((at(g(0, 0) + 2 * g(1, k), k) for k in range(window)), F.lit(0.0))
+    dot = sum((at(g(k + 1, k + window), k) for k in range(window)), F.lit(0.0))
+    rows = _products(turns, 2 * window - 1, keep).withColumns({"_a": before, "_b": behind, "_dot": dot})
+    inside = (F.col("turn") >= 2) & (F.col("turn") < F.col("n") - 1) & (F.col("_a") > 0) & (F.col("_b") > 0)
+    return rows.select("session_id", "turn", *keep, F.when(inside, 1 - F.col("_dot") / F.sqrt(F.col("_a") * F.col("_b"))).alias("raw"))
+
+
+def _shift() -> Column:
+    """z-normalised `raw`; equal shifts stay equal, whatever the order of their sums."""
+    raw, by = F.round("raw", 9), Window.partitionBy("session_id")
+    std = F.stddev_pop(raw).over(by)
+    z = X.clip01((raw - F.avg(raw).over(by)) / (2 * F.when(std == 0, 1.0).otherwise(std)))
+    return F.when(raw.isNull() | (F.count(raw).over(by) < 3), 0.0).otherwise(z)
+
+
 def raw_shift(turns: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(session_id, turn, raw): 1 - cosine of the turns before and from each boundary; each term feeds the boundaries around it."""
-    weights = tfidf(turn_tokens(turns))
-    size = turns.groupBy("session_id").agg(F.count("*").alias("n"))
-    feeds = F.explode(F.concat(F.transform(F.sequence(F.lit(1), F.lit(window)), lambda k: F.struct((F.col("turn") + k).alias("i"), F.lit(0).alias("side"))), F.transform(F.sequence(F.lit(0), F.lit(window - 1)), lambda k: F.struct((F.col("turn") - k).alias("i"), F.lit(1).alias("side")))))
-    fed = weights.select("session_id", "term", "weight", feeds.alias("f")).join(size, "session_id").where((F.col("f.i") >= 2) & (F.col("f.i") < F.col("n") - 1))
-    side = lambda s: F.sum(F.when(F.col("f.side") == s, F.col("weight")).otherwise(0.0))
-    present = lambda s: F.max((F.col("f.side") == s).cast("int"))
-    terms = fed.groupBy("session_id", F.col("f.i").alias("turn"), "term").agg(side(0).alias("a"), side(1).alias("b"), present(0).alias("ha"), present(1).alias("hb"))
-    sums = terms.groupBy("session_id", "turn").agg(F.sum(F.col("a") * F.col("b")).alias("dot"), F.sum(F.col("a") * F.col("a")).alias("na"), F.sum(F.col("b") * F.col("b")).alias("nb"), F.max("ha").alias("ha"), F.max("hb").alias("hb"))
-    return sums.where("na > 0 and nb > 0").select("session_id", "turn", (1 - F.col("dot") / F.sqrt(F.col("na") * F.col("nb"))).alias("raw"))
+    """(session_id, turn, raw): 1 - cosine of the turns before and from each boundary."""
+    return _with_raw(turns, window, []).where("raw IS NOT NULL")
 
 
 def shift_scores(turns: DataFrame, window: int = WINDOW) -> DataFrame:
-    raw = raw_shift(turns, window).withColumn("raw", F.round("raw", 9))  # equal shifts stay equal, whatever the order of their sums
-    by = Window.partitionBy("session_id")
-    std = F.stddev_pop("raw").over(by)
-    z = X.clip01((F.col("raw") - F.avg("raw").over(by)) / (2 * F.when(std == 0, 1.0).otherwise(std)))
-    scored = raw.select("session_id", "turn", F.when(F.count("raw").over(by) < 3, 0.0).otherwise(z).alias("s"))
-    return turns.select("session_id", "turn").join(scored, ["session_id", "turn"], "left").select("session_id", "turn", F.coalesce("s", F.lit(0.0)).alias("shift"))
+    return _with_raw(turns, window, []).select("session_id", "turn", _shift().alias("shift"))
 
 
 def boundary_scores(turns: DataFrame) -> DataFrame:
-    on = ["session_id", "turn"]
-    parts = time_scores(turns).join(key_scores(turns), on).join(shift_scores(turns), on).join(context_scores(turns), on).join(cue_scores(turns), on)
-    total = sum((F.col(c) * w for c, w in WEIGHTS.items()), F.lit(0.0))
-    return parts.withColumn("score", total)
+    """(session_id, turn, time, key, shift, ctx, cue, score) of every turn."""
+    own = _with_key(turns, KEY_MEMORY).withColumns({"time": _time(), "ctx": _context(), "cue": _cue()})
+    scored = _with_raw(own, WINDOW, ["time", "key", "ctx", "cue"]).withColumn("shift", _shift()).drop("raw")
+    return scored.withColumn("score", sum((F.col(c) * w for c, w in WEIGHTS.items()), F.lit(0.0))).select("session_id", "turn", *WEIGHTS, "score")
+
+
+#: Rounds of `pick` in one job.
+ROUNDS = 3
 
 
 def pick(scores: DataFrame, threshold: float = THRESHOLD, min_gap: int = MIN_GAP) -> DataFrame:
-    """(session_id, turn): boundaries, highest score first, at least `min_gap` turns apart. Greedy, so per session."""
-
-    def greedy(pdf):
-        picked: list[int] = []
-        for turn in pdf.sort_values(["score", "turn"], ascending=[False, True])["turn"]:
-            if all(abs(turn - p) >= min_gap for p in picked):
-                picked.append(int(turn))
-        out = pdf.iloc[: len(picked)][["session_id"]].copy()
-        out["turn"] = sorted(picked)
-        return out
-
-    near = scores.where((F.col("turn") >= 1) & (F.col("score") >= threshold)).select("session_id", "turn", "score")
-    return near.groupBy("session_id").applyInPandas(greedy, "session_id string, turn int")
+    """(session_id, turn): boundaries, highest score first, of equal ones the earliest, at least `min_gap` turns apart.
+
+    Chosen in rounds: a turn that is the best of all open ones nearer than `min_gap` would be the first of them that the greedy choice
+    meets, so it is chosen, and those around it go. A round is two windows over the session; few are needed, as most turns
+    are below the threshold."""
+    around = Window.partitionBy("session_id").orderBy("turn").rangeBetween(1 - min_gap, min_gap - 1)
+    mine = F.struct("score", (-F.col("turn")).alias("early"))
+    left = scores.where((F.col("turn") >= 1) & (F.col("score") >= threshold)).select("session_id", F.col("turn").cast("int").alias("turn"), "score")
+    chosen = []
+    while True:
+        state = left.withColumn("state", F.lit(0))
+        for _ in range(ROUNDS):
+            is_open = F.col("state") == 0
+            state = state.withColumn("_best", F.max(F.when(is_open, mine)).over(around))
+            state = state.withColumn("_top", is_open & (F.col("_best") == mine))
+            state = state.withColumn("state", F.when(F.col("_top"), 1).when(is_open & F.max("_top").over(around), 2).otherwise(F.col("state"))).drop("_best", "_top")
+        state = written(state, "boundaries")
+        chosen.append(state.where("state = 1").select("session_id", "turn"))
+        left = state.where("state = 0").drop("state")
+        if left.isEmpty():
+            out = chosen[0]
+            for more in chosen[1:]:
+                out = out.unionByName(more)
+            return out
 
 
 def segments(turns: DataFrame, bounds: DataFrame) -> DataFrame:

@@ -101,20 +101,45 @@ def unit_rollup(prompts: DataFrame, member: DataFrame) -> DataFrame:
     )
 
 
-def related(prompts: DataFrame, member: DataFrame, hours: int = 2, most: int = 2) -> DataFrame:
-    """Session units of one repo whose nearest messages are at most `hours` apart: (unit, other, gap_s), the nearest per unit.
-
-    Messages are dealt into buckets of that width and meet those of their own and the next bucket."""
-    wide = hours * 3600
+def nearest_others(points: DataFrame, wide: int) -> DataFrame:
+    """(unit, other, gap): for each of `points` (project, unit, us) up to six other units around it, the nearest ones.
+
+    A project's points are swept in the order of time, forwards and backwards. Each carries the unit of the run of points before
+    its own run, and the unit before the stretch in which those two take turns: the two nearest other units. Units
+    that share a time come in the order of their names, so that the first name is the nearest. Of one time
+    the first three names are enough. A project is cut into stretches of twelve times `wide`, which also read the
+    points within `wide` of their ends; so no project has to fit into one task."""
+    stretch = 12 * wide
+    at = F.floor(F.col("us") / stretch)
+    place = F.col("us") - at * stretch
+    near = F.array_compact(F.array(at, F.when(place < wide, at - 1), F.when(place >= stretch - wide, at + 1)))
+    rows = points.withColumn("_own", at).withColumn("_stretch", F.explode(near))
+    here = Window.partitionBy("project", "_stretch")
+    mark = F.struct("unit", "us")
+
+    out = rows
+    for way, time in (("f", F.asc("us")), ("b", F.desc("us"))):
+        by = here.orderBy(time, F.desc("unit"))
+        before = F.lag(mark).over(by)
+        out = out.withColumn(f"_{way}0", F.when(before["unit"] != F.col("unit"), before)).withColumn(f"_{way}1", F.last(f"_{way}0", ignorenulls=True).over(by))
+        last = F.lag(f"_{way}1").over(by)  # of the run before: the unit before it
+        out = out.withColumn(f"_{way}2", F.when(F.col(f"_{way}0").isNotNull() & (last["unit"] != F.col("unit")), last))
+        out = out.withColumn(f"_{way}2", F.last(f"_{way}2", ignorenulls=True).over(by))
+    same = Window.partitionBy("project", "_stretch", "us").orderBy("unit").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    names = [F.struct(F.nth_value("unit", k).over(same).alias("unit"), F.col("us")) for k in (1, 2, 3)]
+    found = out.withColumn("_s", F.array(*names)).where(F.col("_own") == F.col("_stretch"))
+    every = F.array_compact(F.concat(F.array("_f1", "_f2", "_b1", "_b2"), F.col("_s")))
+    pairs = found.select("unit", "us", F.explode(every).alias("x")).where("x.unit IS NOT NULL AND x.unit <> unit")
+    return pairs.select("unit", F.col("x.unit").alias("other"), F.abs(F.col("us") - F.col("x.us")).alias("gap")).where(F.col("gap") <= wide)
+
+
+def related(prompts: DataFrame, member: DataFrame, hours: int = 2) -> DataFrame:
+    """Session units of one repo whose nearest messages are at most `hours` apart: (unit, other, gap_s), the two nearest per unit."""
     own = member.where(F.startswith("unit", F.lit("session:"))).select("session_id", "unit")
-    points = prompts.join(own, "session_id").select("project", "unit", F.unix_micros("ts").alias("us")).distinct()
-    points = points.withColumn("bucket", F.floor(F.col("us") / (wide * 1_000_000)))
-    left = points.select("project", "unit", "us", F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)).alias("bucket"))
-    right = points.select("project", "bucket", F.col("unit").alias("other"), F.col("us").alias("us2"))
-    pairs = left.join(right, ["project", "bucket"]).where("unit <> other").groupBy("unit", "other").agg(F.min(F.abs(F.col("us") - F.col("us2"))).alias("gap"))
-    near = pairs.where(F.col("gap") <= wide * 1_000_000)
+    points = prompts.join(own, "session_id").select("project", "unit", F.unix_micros("ts").alias("us")).where("us IS NOT NULL")
+    near = nearest_others(points, hours * 3_600_000_000).groupBy("unit", "other").agg(F.min("gap").alias("gap"))
     order = Window.partitionBy("unit").orderBy("gap", "other")
-    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select("unit", "other", (F.col("gap") / 1e6).alias("gap_s"), "rank")
+    return near.withColumn("rank", F.row_number().over(order)).where("rank <= 2").select("unit", "other", (F.col("gap") / 1e6).alias("gap_s"), "rank")
 
 
 def short_ids(sessions: DataFrame) -> DataFrame:
