@@ -40,18 +40,19 @@ def parse_lines(lines: DataFrame) -> DataFrame:
 
 def records(spark: SparkSession, root: str, tz: str = "UTC") -> DataFrame:
     """All records of all sessions: session_id, project, line_no, fields, text of the prompt, blocks."""
-    return _shaped(parse_lines(_lines(spark, f"{root}/*/*.jsonl")), r"/([^/]+)/([^/]+)\.jsonl$", "main")
+    return shaped(parse_lines(_lines(spark, f"{root}/*/*.jsonl")), r"/([^/]+)/([^/]+)\.jsonl$", "main")
 
 
 def subagent_records(spark: SparkSession, root: str) -> DataFrame:
     """Records of `<project>/<session>/subagents/*.jsonl`; `source` is the file name, cut to 14 characters."""
-    return _shaped(parse_lines(_lines(spark, f"{root}/*/*/subagents/*.jsonl")), r"/([^/]+)/([^/]+)/subagents/[^/]+\.jsonl$", None)
+    return shaped(parse_lines(_lines(spark, f"{root}/*/*/subagents/*.jsonl")), r"/([^/]+)/([^/]+)/subagents/[^/]+\.jsonl$", None)
 
 
-def _shaped(parsed: DataFrame, pattern: str, source: str | None) -> DataFrame:
-    part = lambda k: F.url_decode(F.regexp_extract("path", pattern, k))
+def shaped(parsed: DataFrame, pattern: str, source: str | None, place: list[str] | None = None, encoded: bool = True) -> DataFrame:
+    """Records of parsed lines; `place` are the columns that put them in order, `encoded` says whether paths are those of URLs."""
+    part = lambda k: F.url_decode(F.regexp_extract("path", pattern, k)) if encoded else F.regexp_extract("path", pattern, k)
     agent = F.substring(F.regexp_extract("path", r"/([^/]+)\.jsonl$", 1), 1, 14)
-    rows = parsed.select(part(2).alias("session_id"), part(1).alias("project"), (F.lit(source) if source else agent).alias("source"), "line_no", "r.type", F.col("r.timestamp").alias("ts"), F.col("r.gitBranch").alias("branch"), "r.cwd", F.coalesce("r.isSidechain", F.lit(False)).alias("sidechain"), F.coalesce("r.isMeta", F.lit(False)).alias("meta"), F.col("r.customTitle").alias("title"), F.col("r.message.content").alias("content"))
+    rows = parsed.select(part(2).alias("session_id"), part(1).alias("project"), (F.lit(source) if source else agent).alias("source"), *(place or ["line_no"]), "r.type", F.col("r.timestamp").alias("ts"), F.col("r.gitBranch").alias("branch"), "r.cwd", F.coalesce("r.isSidechain", F.lit(False)).alias("sidechain"), F.coalesce("r.isMeta", F.lit(False)).alias("meta"), F.col("r.customTitle").alias("title"), F.col("r.message.content").alias("content"))
     return rows.withColumn("blocks", F.when(F.col("content").rlike(r"^\s*\["), F.from_json("content", BLOCKS))).withColumn("text", user_text(F.col("content"), F.col("blocks")))
 
 

@@ -33,17 +33,20 @@ def related_pairs(left: DataFrame, right: DataFrame, hours: int = 2) -> DataFram
     return a.join(b, near).select("project", "unit", "other", "ts", "ts2")
 
 
-def numbered_turns(records: DataFrame) -> DataFrame:
-    """Turn numbers continued over batches: state is one counter per session. records: session_id, line_no, is_prompt, text."""
+def numbered_turns(records: DataFrame, place: str = "line_no") -> DataFrame:
+    """Turn numbers continued over batches: state is one counter per session. records: session_id, is_prompt, text, `place` (the
+    order of lines), and maybe `restart`: a session whose file was written anew begins at 0 again, and its rows say so."""
+    again = "restart" in records.columns
 
     def number(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        turn = state.get[0] if state.exists else 0
-        rows = pd.concat(list(parts)).sort_values("line_no")
+        rows = pd.concat(list(parts)).sort_values(place)
+        turn = state.get[0] if state.exists and not (again and rows["restart"].any()) else 0
         running = turn + rows["is_prompt"].astype(int).cumsum()
         state.update((int(running.iloc[-1]),))
-        yield rows.assign(turn=(running - 1).astype("int32"))[["session_id", "line_no", "turn", "text"]]
+        yield rows.assign(turn=(running - 1).astype("int32"))[["session_id", place, "turn", "text", *["restart"] * again]]
 
-    return records.groupBy("session_id").applyInPandasWithState(number, "session_id string, line_no long, turn int, text string", "turns int", "append", GroupStateTimeout.NoTimeout)
+    out = f"session_id string, {place} long, turn int, text string" + ", restart boolean" * again
+    return records.groupBy("session_id").applyInPandasWithState(number, out, "turns int", "append", GroupStateTimeout.NoTimeout)
 
 
 def replace_sessions(path: str):
