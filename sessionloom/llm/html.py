@@ -17,6 +17,11 @@
   allowed from parent to child, so no choice contradicts that of an ancestor. The best
   labelling of a page is found by dynamic programming over the tree.
 
+Nothing is lost to odd markup: foreign elements (`svg`, `math`) end at `/>`, at their end tag or at the
+next HTML block; a button or list of choices is cut out only if its end tag is there. Where the best
+labelling keeps nothing, all of the page is main text but links, what boilerplate words name and what is cut out,
+so a page has an empty text only if nothing else is visible.
+
 Defined cases: null or empty html gives an empty text; a page without block elements is plain
 text and all of it main text; an unclosed tag at the end is text; a quote that is never closed ends
 with its tag; pages are judged alone, so repeated rows give the same text; other columns are
@@ -36,9 +41,12 @@ from pyspark.sql import functions as F
 
 # Fixed values of HTML: elements without content, with raw text, and blocks.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title svg iframe select button".split())
+RAW = frozenset("script style noscript template textarea title iframe".split())
 INLINE = frozenset("a abbr b bdi bdo cite code data dfn em font i kbd label mark q s samp small span strong strike sub sup time tt u var ins del".split())
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
+#: Read like other elements, and cut out of every text once their end tag is seen.
+CUT_OUT = frozenset("svg math button select datalist".split())
+FOREIGN = frozenset("svg math".split())
 CLOSED_BY = {"li": "li", "dt": "dd dt", "dd": "dd dt", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option", "p": "p"}
 # Words that name parts of a page beside its main text.
 NOT_MAIN = frozenset("nav navigation navbar menu header masthead footer sidebar aside widget ad ads advert advertisement sponsor sponsored promo banner cookie consent notice popup modal share social comment comments respond related recommended breadcrumb breadcrumbs pagination pager subscribe newsletter login signup form search toolbar copyright disclaimer".split())
@@ -53,7 +61,7 @@ WORD = re.compile(r"[a-z]+")
 class Page:
     """Elements of a page in document order; element 0 is the root."""
 
-    __slots__ = ("tag", "parent", "words", "texts", "depth")
+    __slots__ = ("tag", "parent", "words", "texts", "depth", "hidden")
 
     def __init__(self, html: str) -> None:
         self.tag, self.parent, self.words, self.depth = ["#root"], [-1], [()], [0]
@@ -64,6 +72,8 @@ class Page:
         paragraph, opened = [0], {}
         size, last, last_cdata, quotes = len(html), html.rfind(">"), html.rfind("]]>"), True
 
+        ended = set()
+
         def close(k):
             for node in stack[k:]:
                 opened[tag[node]] -= 1
@@ -80,13 +90,13 @@ class Page:
                 say(html[at:start] if start > 0 else html[at:])
                 at = start if start > 0 else size
                 continue
-            if at > last:  # no tag ends any more
-                say(html[at:])
-                break
             if html.startswith("<!--", at):
                 end = html.find("-->", at + 4)
                 at = end + 3 if end >= 0 else size
                 continue
+            if at > last:  # no tag ends any more
+                say(html[at:])
+                break
             if html.startswith("<![CDATA[", at) and at < last_cdata:
                 at = html.find("]]>", at) + 3
                 continue
@@ -107,8 +117,16 @@ class Page:
                 fresh = True
             if closing:
                 if opened.get(name):
-                    close(next(k for k in range(len(stack) - 1, 0, -1) if tag[stack[k]] == name))
+                    k = next(k for k in range(len(stack) - 1, 0, -1) if tag[stack[k]] == name)
+                    ended.add(stack[k])
+                    close(k)
                 continue
+            foreign = any(map(opened.get, FOREIGN))
+            if foreign and name in CLOSES_P and not opened.get("foreignobject"):  # an HTML block ends an unclosed drawing
+                k = next(k for k in range(1, len(stack)) if tag[stack[k]] in FOREIGN)
+                ended.add(stack[k])
+                close(k)
+                foreign = False
             if name in CLOSES_P:
                 if paragraph[-1]:
                     close(paragraph[-1])
@@ -121,14 +139,22 @@ class Page:
             self.parent.append(stack[-1])
             self.depth.append(len(stack))
             self.words.append(tuple(dict.fromkeys(w for a in ATTR.findall(attrs) for w in WORD.findall("".join(a).lower()))) if "=" in attrs else ())
+            if attrs.rstrip().endswith("/") and (foreign or name in FOREIGN):
+                continue
             if name in RAW:
                 found = re.compile(rf"</{re.escape(name)}\s*+>", re.I).search(html, at)
                 at = found.end() if found else size
-            elif not attrs.rstrip().endswith("/") or name not in ("path", "use"):
+            else:
                 paragraph.append(len(stack) if name == "p" else paragraph[-1] if name in INLINE else 0)
                 stack.append(node)
                 opened[name] = opened.get(name, 0) + 1
 
+        #: elements that are cut out of every text, with all that is in them
+        self.hidden = [False] * len(tag)
+        for k in range(1, len(tag)):
+            self.hidden[k] = self.hidden[self.parent[k]] or tag[k] in CUT_OUT and k in ended
+        self.texts = [x for x in self.texts if not self.hidden[x[0]]]
+
     def text(self, keep) -> str:
         """Text of the kept elements: blanks within a block to one space, blocks joined by one space."""
         parts: list[str] = []
@@ -141,7 +167,16 @@ class Page:
 
 
 def names_boilerplate(tag: str, words: tuple) -> bool:
-    return tag in NOT_MAIN or tag in RAW or any(w in NOT_MAIN for w in words)
+    return tag in NOT_MAIN or tag in RAW or tag in CUT_OUT or any(w in NOT_MAIN for w in words)
+
+
+def remaining(page: Page) -> list[bool]:
+    """All but links and what boilerplate words name."""
+    keep = [True] * len(page.tag)
+    for k in range(1, len(keep)):
+        bad = names_boilerplate(page.tag[k], page.words[k]) and page.tag[k] not in CUT_OUT and page.tag[k] not in MAIN
+        keep[k] = keep[page.parent[k]] and page.tag[k] != "a" and not bad
+    return keep
 
 
 FEATURES = 18
@@ -251,11 +286,9 @@ def structural_labels(page: Page, repeated: set[str]) -> list[int] | None:
     if not below[0]:
         return None
     top = 0
-    while True:  # down to the smallest element that holds nearly all running text
-        kids = [k for k in range(top + 1, n) if parent[k] == top and below[k] >= 0.8 * below[0]]
-        if not kids:
-            break
-        top = kids[0]
+    for k in range(1, n):  # down to the smallest element that holds nearly all running text
+        if parent[k] == top and below[k] >= 0.8 * below[0]:
+            top = k
     out = [0] * n
     for k in range(max(1, top), n):
         inside = k == top or out[parent[k]] == 1 or parent[k] == top
@@ -397,16 +430,18 @@ class Extractor:
             n = len(t)
             bare = all(x in INLINE for x in p.tag[1:])  # a page without blocks is plain text
             keep = [True] * n if bare else decode(p.parent, score[at : at + n].tolist(), np.expm1(t[:, 9]).tolist())
-            out.append(p.text(keep))
+            out.append(p.text(keep) or p.text(remaining(p)))
             at += n
         return out
 
 
 def fit(pages: DataFrame, sample: int = 300, most_bytes: int = 200_000, id_col: str = "page_id", html_col: str = "html") -> Extractor:
-    """Learn from at most `sample` pages of at most `most_bytes` characters: those with the smallest hash of their id."""
+    """Learn from at most `sample` pages of at most `most_bytes` characters: those with the smallest hash of their id.
+
+    Of repeated ids, twice as many pages at most, those with the smallest hash of their text."""
     rows = pages.where(F.col(html_col).isNotNull() & (F.length(html_col) <= most_bytes))
     ids = [r[0] for r in rows.select(F.col(id_col).alias("i")).orderBy(F.xxhash64("i"), "i").limit(sample).collect()]
-    chosen = rows.where(F.col(id_col).isin([i for i in ids if i is not None])).select(html_col).limit(2 * sample)
+    chosen = rows.where(F.col(id_col).isin([i for i in ids if i is not None])).select(F.col(html_col).alias("h")).orderBy(F.xxhash64("h"), "h").limit(2 * sample)
     return Extractor(sorted(r[0] for r in chosen.collect()))
 
 
