@@ -11,8 +11,9 @@
   repeat. By names, in pages with `article` or `main`: what lies in them is main text, less
   elements that NOT_MAIN words name. Where both exist, names decide and elements on which
   they disagree weigh less; other pages have the labels of structure alone. In half of the
-  copies tag and attribute words are masked, so that the trees also learn the structure. At
-  most `sample` pages are read for training.
+  copies tag and attribute words are masked, so that the trees also learn the structure; in a
+  third the parts beside main text are put inside it, so that they learn to cut. At most
+  `sample` pages are read for training.
 * Decoding: each element is outside, main, or cut out of main; only outside -> main -> cut is
   allowed from parent to child, so no choice contradicts that of an ancestor. The best
   labelling of a page is found by dynamic programming over the tree.
@@ -214,14 +215,16 @@ def features(page: Page, odds: dict[str, float], mask: bool = False) -> np.ndarr
         place[k] = seen.get((p, ""), 0)
         seen[(p, "")] = place[k] + 1
         alike[k] = seen[(p, tags[k])] = seen.get((p, tags[k]), 0) + 1
-    word = [0.0] * n
-    for k in range(n):
-        if not mask:
-            values = [odds.get("<" + tags[k], 0.0), *(odds.get(w, 0.0) for w in page.words[k])]
-            word[k] = min(values) if min(values) < -1 else sum(values)
-    low, high = word[:], word[:]
-    for k in range(1, n):
-        low[k], high[k] = min(word[k], low[parent[k]]), max(word[k], high[parent[k]])
+    word, low, high = [0.0] * n, [0.0] * n, [0.0] * n
+    for k in range(n if not mask else 0):
+        values = [odds.get(w, 0.0) for w in page.words[k]]
+        said = min(values) if values and min(values) < -1 else sum(values)
+        if tags[k] in NOT_MAIN or tags[k] in MAIN:
+            said += odds.get("<" + tags[k], 0.0)
+        word[k] = said
+        # what names say of the elements around, from the innermost `article` or `main` on
+        low[k] = 0.0 if tags[k] in MAIN else min(said, low[parent[k]] if k else 0.0)
+        high[k] = max(said, high[parent[k]] if k else 0.0)
     p = np.array(parent)
     p[0] = 0
     t, l_, b, d = np.array(total), np.array(links), np.array(below), np.array(page.depth, float)
@@ -256,6 +259,53 @@ def plain(text: str) -> str:
     return " ".join(text.split())
 
 
+def grafted(page: Page, labels: list[int]) -> tuple[Page, list[int]] | None:
+    """The page with its parts beside main text put inside it, among its children, and children put into those; None if it has none.
+
+    Training pages may show adverts, forms and comments outside of main text only, and without paragraphs; in others they
+    stand within, and read like main text."""
+    parent, n, y = list(page.parent), len(page.tag), list(labels)
+    main = next((k for k in range(1, n) if y[k] and not y[parent[k]] and page.tag[k] in MAIN), None)
+    inside = [False] * n
+    parts: list[int] = []
+    for k in range(1, n):
+        named = names_boilerplate(page.tag[k], page.words[k]) and page.tag[k] not in RAW and not y[k]
+        if named and not inside[parent[k]]:
+            parts.append(k)
+        inside[k] = inside[parent[k]] or named
+    if main is None or inside[main] or not parts:
+        return None
+    kids: list[list[int]] = [[] for _ in range(n)]
+    for k in range(1, n):
+        kids[parent[k]].append(k)
+    text = kids[main][:]
+    for i, h in enumerate(parts):
+        kids[parent[h]].remove(h)
+        kids[main].insert((i + 1) * len(kids[main]) // (len(parts) + 1), h)
+    for h, k in zip(parts, text[1::3]):  # read like main text, though they are none
+        kids[main].remove(k)
+        kids[h].append(k)
+    order, left = [], [0]
+    while left:
+        k = left.pop()
+        order.append(k)
+        left += reversed(kids[k])
+        for x in kids[k]:
+            parent[x] = k
+            if k in parts or inside[k]:
+                inside[x], y[x] = True, 0
+    new = {k: i for i, k in enumerate(order)}
+    out = Page("")
+    out.tag, out.words = [page.tag[k] for k in order], [page.words[k] for k in order]
+    out.parent = [-1 if k == 0 else new[parent[k]] for k in order]
+    out.depth = [0] * n
+    for k in range(1, n):
+        out.depth[k] = out.depth[out.parent[k]] + 1
+    out.hidden = [page.hidden[k] for k in order]
+    out.texts = sorted(((new[k], t, fresh) for k, t, fresh in page.texts), key=lambda x: x[0])
+    return out, [y[k] for k in order]
+
+
 def structural_labels(page: Page, repeated: set[str]) -> list[int] | None:
     """The same by structure alone: the subtree with the most running text, less links and repeated texts; None without any."""
     n, parent = len(page.tag), page.parent
@@ -400,10 +450,10 @@ class Extractor:
                     counts.setdefault(w, [0.5, 0.5])[y[k]] += 1
         self.odds = {w: max(-5.0, min(5.0, math.log(c[1] / c[0]))) for w, c in counts.items()}
         for w in NOT_MAIN:  # words that the sample doesn't show keep their meaning
-            self.odds.setdefault(w, -3.0)
-            self.odds.setdefault("<" + w, -3.0)
+            self.odds.setdefault(w, -5.0)
+            self.odds.setdefault("<" + w, -5.0)
         for w in MAIN:
-            self.odds.setdefault("<" + w, 3.0)
+            self.odds.setdefault("<" + w, 5.0)
         x, y, z = [], [], []
         for p, own, weight in zip(read, labels, weights, strict=True):
             if own:
@@ -411,6 +461,10 @@ class Extractor:
                     x.append(features(p, self.odds, mask))
                     y.append(own)
                     z.append(weight)
+                if more := grafted(p, own):
+                    x.append(features(more[0], self.odds))
+                    y.append(more[1])
+                    z.append([1.0] * len(more[1]))
         self.model = None
         if x:
             x, y, z = np.concatenate(x), np.concatenate(y).astype(float), np.concatenate(z)
