@@ -17,9 +17,16 @@ def index_words(text) -> Column:
     return F.filter(X.words(X.redact(X.nn(text))), lambda w: F.length(w) <= X.MAX_WORD)
 
 
+def searchable(messages: DataFrame) -> DataFrame:
+    """Messages of users and assistants that have a text, without the noise of users. Without a column `role` all are users'."""
+    role = F.col("role") if "role" in messages.columns else F.lit("user")
+    said = X.nn("text") != ""
+    return messages.where(role.isin("user", "assistant") & said & ~((role == "user") & X.is_noise(X.nn("text"))))
+
+
 def postings(messages: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, term, tf, len): one row per word of a message; the words are counted map-side."""
-    worded = messages.select(*keys, index_words("text").alias("w")).where(F.size("w") > 0)
+    """(keys, term, tf, len): one row per word of a searchable message; the words are counted map-side."""
+    worded = searchable(messages).select(*keys, index_words("text").alias("w")).where(F.size("w") > 0)
     return worded.select(*keys, F.size("w").alias("len"), F.explode("w").alias("term")).groupBy(*keys, "len", "term").agg(F.count("*").alias("tf"))
 
 
@@ -28,10 +35,11 @@ def corpus(posting: DataFrame, keys: list[str]) -> DataFrame:
     return posting.groupBy(*keys).agg(F.first("len").alias("len")).agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
 
 
-def bm25(posting: DataFrame, keys: list[str], query: list[str]) -> DataFrame:
+def bm25(posting: DataFrame, keys: list[str], query: list[str], stats: DataFrame | None = None) -> DataFrame:
     """(keys, score): documents in which every query word is part of some word.
 
-    A query word counts all words that contain it. Only matching postings are shuffled."""
+    A query word counts all words that contain it. Only matching postings are shuffled. stats: one row of n_docs and
+    avg_len, where postings are not those of the whole corpus."""
     words = sorted(set(query))
     if not words:
         return posting.select(*keys, F.lit(0.0).alias("score")).limit(0)
@@ -39,7 +47,7 @@ def bm25(posting: DataFrame, keys: list[str], query: list[str]) -> DataFrame:
     matched = posting.where(F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(F.col("term"), w)))
     per = matched.select(*keys, "len", "tf", F.explode(hit).alias("word")).groupBy(*keys, "len", "word").agg(F.sum("tf").alias("tf"))
     df = per.groupBy("word").agg(F.count("*").alias("df"))  # a row per query word
-    stats = corpus(posting, keys)
+    stats = corpus(posting, keys) if stats is None else stats
     idf = F.ln(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
     scored = per.join(F.broadcast(df), "word").crossJoin(F.broadcast(stats)).withColumn("part", part)
@@ -104,3 +112,9 @@ def field_bm25(docs: DataFrame, query: list[str]) -> DataFrame:
         every = every & has(w)
     found = F.filter(F.transform("secs", lambda s: F.struct((-F.size(F.filter(F.array(*map(F.lit, query)), lambda w: F.contains(s["text"], w)))).alias("f"), (-s["weight"]).alias("w"), s["id"].alias("id"))), lambda x: x["f"] < 0)
     return rows.crossJoin(F.broadcast(stats)).where(every).select("doc", F.round(score, 3).alias("score"), F.transform(F.slice(F.array_sort(found), 1, 3), lambda x: x["id"]).alias("sections"))
+
+
+def record_hits(scored: DataFrame, limit: int = SHOWN) -> DataFrame:
+    """The best records with `place`, highest score first, then by key; at most POOL, so that one task may number them."""
+    best = scored.orderBy(F.desc("score"), "doc").limit(min(POOL, max(1, limit)))
+    return best.withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), "doc")))

@@ -101,6 +101,18 @@ def unit_rollup(prompts: DataFrame, member: DataFrame) -> DataFrame:
     )
 
 
+def session_list(prompts: DataFrame, member: DataFrame) -> DataFrame:
+    """(unit, place, session_id, first_ts): the sessions of a unit by their first time, then by id; without a time last."""
+    first = prompts.groupBy("session_id").agg(F.min("ts").alias("first_ts"))
+    order = Window.partitionBy("unit").orderBy(F.asc_nulls_last("first_ts"), "session_id")
+    return member.join(first, "session_id").select("unit", F.row_number().over(order).alias("place"), "session_id", "first_ts")
+
+
+def activity_order(cells: DataFrame) -> DataFrame:
+    """The activity of a unit with `place`: by day, then by repo."""
+    return cells.withColumn("place", F.row_number().over(Window.partitionBy("unit").orderBy("day", "project")))
+
+
 def nearest_others(points: DataFrame, wide: int) -> DataFrame:
     """(unit, other, gap): for each of `points` (project, unit, us) up to six other units around it, the nearest ones.
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import files, ranges, search, segments, sessions, timeline
+from ..sources import stages, textindex
 from . import adapters as A
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -234,6 +235,17 @@ def j3_members(spark, sf):
     return _member(A.prompts(spark, sf))
 
 
+@query(f"WITH {_KEYED} SELECT unit, row_number() OVER (PARTITION BY unit ORDER BY first_ts, session_id)::INT AS place, session_id, {_TS.format('first_ts')} AS first_ts FROM mem JOIN pr USING (session_id)")
+def o10_session_lists(spark, sf):
+    p = A.prompts(spark, sf)
+    return sessions.session_list(p, _member(p)).withColumn("first_ts", _ts("first_ts"))
+
+
+@query(f"WITH {_KEYED} SELECT unit, row_number() OVER (PARTITION BY unit ORDER BY day, project)::INT AS place, strftime(day, '%Y-%m-%d') AS day, project, n FROM act")
+def o10_activity_order(spark, sf):
+    return sessions.activity_order(_activity(spark, sf)).withColumn("day", _day("day"))
+
+
 @query(f"""WITH {_KEYED}, own AS (SELECT session_id, unit FROM mem WHERE unit LIKE 'session:%'), pt AS (SELECT DISTINCT p.project, unit, epoch_us(ts) AS us FROM p JOIN own USING (session_id)),
  pairs AS (SELECT a.unit, b.unit AS other, min(abs(a.us - b.us)) AS gap FROM pt a JOIN pt b ON a.project = b.project AND a.unit <> b.unit AND abs(a.us - b.us) <= 7200000000 GROUP BY 1, 2)
  SELECT unit, other, gap / 1e6 AS gap_s, r::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY gap, other) AS r FROM pairs) WHERE r <= 2""")
@@ -363,6 +375,17 @@ def _postings(spark, sf):
     return search.postings(A.messages(spark, sf), _KEYS)
 
 
+#: All roles, and texts that are noise where the turn is a multiple of three.
+_SAID = """all_m AS (SELECT conv_id AS session_id, turn AS line_no, role, CASE WHEN turn % 9 = 3 THEN '[Request interrupted by user] ' || coalesce(text, '') WHEN turn % 9 = 6 THEN '<bash-input>' || coalesce(text, '') ELSE text END AS text FROM conversations)"""
+
+
+@query(f"""WITH {_SAID} SELECT session_id, line_no FROM all_m WHERE role IN ('user', 'assistant') AND coalesce(text, '') <> '' AND NOT (role = 'user' AND (starts_with(text, '[Request interrupted') OR starts_with(text, '<bash-')))""")
+def p9_searchable(spark, sf):
+    c = A.table(spark, sf, "conversations")
+    text = F.when(F.col("turn") % 9 == 3, F.concat(F.lit("[Request interrupted by user] "), X.nn("text"))).when(F.col("turn") % 9 == 6, F.concat(F.lit("<bash-input>"), X.nn("text"))).otherwise(F.col("text"))
+    return search.searchable(c.select(F.col("conv_id").alias("session_id"), F.col("turn").alias("line_no"), "role", text.alias("text"))).select("session_id", "line_no")
+
+
 @query(f"WITH {_POST} SELECT term, count(*) AS df, sum(tf)::BIGINT AS tf FROM post GROUP BY 1")
 def a11_vocabulary(spark, sf):
     return _postings(spark, sf).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
@@ -384,6 +407,38 @@ def a12_bm25(spark, sf):
     return search.bm25(_postings(spark, sf), _KEYS, ["the", "ing"]).withColumn("score", F.round("score", 6))
 
 
+def _manifest(m: DataFrame) -> DataFrame:
+    return m.groupBy("session_id").agg(F.sum(F.length("text")).alias("size"), F.lit(0).alias("mtime"))
+
+
+def _found(m: DataFrame, hits: DataFrame) -> DataFrame:
+    """Hits with the ids of the table."""
+    kinds = dict(m.dtypes)
+    return hits.select(*[F.col(c).cast(kinds[c]).alias(c) for c in _KEYS], F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {_POST}, {_bm25_sql(['ing', 'the'])} SELECT session_id, line_no, round(score, 6) AS score FROM sc")
+def s9_stored_search(spark, sf):
+    """The search of a12 over a stored index."""
+    m, at = A.messages(spark, sf), stages.folder(spark, "text-index")
+    textindex.create(m, _manifest(m), at)
+    return _found(m, textindex.bm25(spark, at, ["the", "ing"]))
+
+
+@query(f"WITH {_POST}, {_bm25_sql(['ing', 'the'])} SELECT session_id, line_no, round(score, 6) AS score FROM sc")
+def u6_index_upkeep(spark, sf):
+    """The same, after an index of an earlier state (sessions missing, shorter, other, gone since) was brought up to date and compacted."""
+    own = A.messages(spark, sf)
+    m, at, to = own.withColumn("session_id", F.col("session_id").cast("string")), stages.folder(spark, "text-index"), stages.folder(spark, "text-index")
+    kind = F.pmod(F.xxhash64("session_id"), F.lit(5))
+    gone = m.where(kind == 1).withColumn("session_id", F.concat("session_id", F.lit("-gone")))
+    was = m.where((kind != 2) & ~((kind == 3) & (F.col("line_no") > 2))).withColumn("text", F.when(kind == 4, F.concat("text", F.lit(" nothing the king"))).otherwise(F.col("text"))).unionByName(gone)
+    textindex.create(was, _manifest(was), at)
+    textindex.update(m, _manifest(m), at)
+    textindex.compact(spark, at, to)
+    return _found(own, textindex.bm25(spark, to, ["the", "ing"]))
+
+
 @query(f"WITH {_POST}, {_bm25_sql(['ing'])}, r AS (SELECT session_id, line_no, row_number() OVER (ORDER BY round(score, 9) DESC, session_id, line_no) AS rank FROM sc) SELECT session_id, line_no, rank::INT AS rank FROM r WHERE rank <= 100")
 def o3_top_hits(spark, sf):
     return _top(spark, sf)
@@ -421,6 +476,26 @@ def a13_field_bm25(spark, sf):
     return search.field_bm25(docs, ["src", "ment"]).select("doc", "score")
 
 
+_CUTS = (("objective", 3.0, 1, 300), ("decisions", 2.0, 301, 500), ("pending", 1.5, 801, 400), ("briefing", 0.5, 1201, 1_000_000_000))
+_SECTIONS = "struct_pack(" + "), struct_pack(".join(f"id := '{i}', weight := {w}, t := lower(strip_accents(substr(coalesce(text, ''), {a}, {n})))" for i, w, a, n in _CUTS) + ")"
+_TF = lambda i, w: f"(3 * ((length(head) - length(replace(head, '{w}', ''))) // {len(w)}) + list_sum(list_transform(secs, lambda s: s.weight * ((length(s.t) - length(replace(s.t, '{w}', ''))) // {len(w)}))))::DOUBLE AS t{i}"
+_HAS = lambda w: f"(contains(head, '{w}') OR len(list_filter(secs, lambda s: contains(s.t, '{w}'))) > 0)"
+
+
+@query(f"""WITH d AS (SELECT doc_id, lower(strip_accents(coalesce(source, ''))) AS head, [{_SECTIONS}] AS secs, greatest(1, length(coalesce(source, '')) + length(coalesce(text, ''))) AS len FROM documents),
+ s AS (SELECT count(*) AS n, avg(len) AS a, count(*) FILTER ({_HAS('src1')}) AS d0, count(*) FILTER ({_HAS('en')}) AS d1 FROM d),
+ t AS (SELECT *, {_TF(0, 'src1')}, {_TF(1, 'en')} FROM d, s WHERE {_HAS('src1')} AND {_HAS('en')}),
+ r AS (SELECT doc_id AS doc, round(ln(1 + (n - d0 + 0.5) / (d0 + 0.5)) * t0 * 2.2 / (t0 + 1.2 * (0.25 + 0.75 * len / a)) + ln(1 + (n - d1 + 0.5) / (d1 + 0.5)) * t1 * 2.2 / (t1 + 1.2 * (0.25 + 0.75 * len / a)), 3) AS score,
+   list_transform(list_sort(list_transform(list_filter(secs, lambda s: contains(s.t, 'src1') OR contains(s.t, 'en')), lambda s: struct_pack(f := -(contains(s.t, 'src1')::INT + contains(s.t, 'en')::INT), w := -s.weight, id := s.id)))[1:3], lambda s: s.id) AS ss FROM t)
+ SELECT doc, score, coalesce(ss[1], '') AS best, array_to_string(ss, ',') AS sections, row_number() OVER (ORDER BY score DESC, doc)::INT AS place FROM r QUALIFY place <= 100""")
+def a14_best_sections(spark, sf):
+    """Hits of written records in order, with the sections that hold most of the query words."""
+    parts = [F.struct(F.lit(i).alias("id"), F.lit(w).alias("weight"), F.substring(X.nn("text"), a, n).alias("text")) for i, w, a, n in _CUTS]
+    docs = A.table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), X.nn("source").alias("head"), F.array(*parts).alias("sections"))
+    hits = search.record_hits(search.field_bm25(docs, ["src1", "en"]), search.POOL)
+    return hits.select("doc", "score", F.coalesce(F.get("sections", F.lit(0)), F.lit("")).alias("best"), F.array_join("sections", ",").alias("sections"), "place")
+
+
 # -- topic boundaries
 
 
