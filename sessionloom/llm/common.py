@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 BLANKS = r"[\x20\x09-\x0D]+"
 
 _LOCAL: dict[str, str] = {}
+#: Folders of staged tables in each open `clearing`.
+_OPEN: list[list[str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -41,17 +44,34 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     Cuts the lineage: a lost executor costs the running stage, not the ones before.
     """
     spark, path = df.sparkSession, new_folder(df.sparkSession, name)
+    for made in _OPEN:
+        made.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def forget(df: DataFrame) -> None:
     """Delete the folder of a staged table that nothing reads any more."""
-    spark = df.sparkSession
-    hadoop = spark._jvm.org.apache.hadoop.fs
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = hadoop.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete(df.sparkSession, folder)
+
+
+@contextlib.contextmanager
+def clearing(spark: SparkSession):
+    """Delete at the end what was staged within; results that read it are to be written by then."""
+    made: list[str] = []
+    _OPEN.append(made)
+    try:
+        yield
+    finally:
+        _OPEN.remove(made)
+        for folder in made:
+            delete(spark, folder)
 
 
 def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:

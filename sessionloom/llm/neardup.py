@@ -22,7 +22,9 @@ Two texts are near duplicates if their sets of five-word shingles have a Jaccard
 
 The radius is the one place that is not exact: at a similarity of 0.8 a bit differs with
 probability 0.151 and a standard deviation of 5.7 of 256 bits, so that RADIUS leaves out one in
-100 000 of the pairs at the very threshold, and fewer of closer ones.
+100 000 of the pairs at the very threshold, and fewer of closer ones. Texts of a few shingles
+scatter more (five and four of them: 0.1875, 6.2 bits), so texts of fewer than TINY are compared with
+each other within TINY_RADIUS, seven standard deviations.
 
 Only ids, hashes and sketches are shuffled for all texts; whole texts only of checked pairs.
 
@@ -44,6 +46,7 @@ from .simhash import BLOCK, GROUP, PAIRS, SEED, sliced
 
 WORDS = 4
 RADIUS = 64
+TINY, TINY_RADIUS = 26, 92
 #: Rounds of comparison: how many texts stand for a component of a group, and how many partners each gives; None is all.
 ROUNDS = ((16, 2), (None, 8), (None, None))
 #: Share (1 / SAMPLE) of the texts that tell which shingles are common: those in one of COMMON_IN texts, at most MOST_COMMON.
@@ -155,6 +158,11 @@ def early(bits: int) -> int:
     return int(0.16 * bits + 6.3 * (0.134 * bits) ** 0.5)
 
 
+def early_tiny(bits: int) -> int:
+    """The same for texts of fewer than TINY shingles."""
+    return int(0.1875 * bits + 7 * (0.153 * bits) ** 0.5)
+
+
 def block_pairs(members: DataFrame, texts: DataFrame, similarity: float, nearest: int | None = None, block: int = BLOCK) -> DataFrame:
     """(ha, hb, s): pairs of different components within the radius, of the texts (s, h, c, core) that share s.
 
@@ -201,6 +209,12 @@ def block_pairs(members: DataFrame, texts: DataFrame, similarity: float, nearest
             fps = np.stack([x[w] for w in words], axis=1).view(np.uint64)
             row, lane = sliced([(fps[q], fps[c]) for q, c in groups], RADIUS, early)
             a, b = np.concatenate([q for q, _ in groups])[row], np.concatenate([c for _, c in groups])[lane]
+            tiny = x["n"] < TINY
+            few = [(q, c) for q, c in ((q[tiny[q]], c[tiny[c]]) for q, c in groups) if len(q) and len(c)]
+            if few:
+                row, lane = sliced([(fps[q], fps[c]) for q, c in few], TINY_RADIUS, early_tiny)
+                more = np.stack([np.concatenate([q for q, _ in few])[row], np.concatenate([c for _, c in few])[lane]])
+                a, b = np.unique(np.concatenate([np.stack([a, b]), more], axis=1), axis=1)
             n, core, p = np.stack([x["n"][a], x["n"][b]]), np.stack([x["core"][a], x["core"][b]]), np.stack([x["p"][a], x["p"][b]]).min(axis=0)
             ok = (x["c"][a] != x["c"][b]) & (n.min(axis=0) >= similarity * n.max(axis=0) - 1e-6)
             ok &= np.where(n[0] <= n[1], core[0], 1) & np.where(n[1] <= n[0], core[1], 1) > 0
@@ -315,7 +329,8 @@ def near_links(rows: DataFrame, texts: DataFrame, found: DataFrame, width: int,
     words = [f"f{k}" for k in range(WORDS)]
     met = best.join(texts.select("h", "n", *words), "h").join(texts.select(F.col("h").alias("lo"), F.col("n").alias("m"), *(F.col(w).alias("o" + w) for w in words)), "lo")
     far = sum((F.bit_count(F.col(w).bitwiseXOR(F.col("o" + w))) for w in words), F.lit(0))
-    near = (far <= RADIUS) & (F.least("n", "m") >= similarity * F.greatest("n", "m") - 1e-6)
+    radius = F.when(F.greatest("n", "m") < TINY, TINY_RADIUS).otherwise(RADIUS)
+    near = (far <= radius) & (F.least("n", "m") >= similarity * F.greatest("n", "m") - 1e-6)
     first = staged(met.where(near).select(F.col("lo").alias("ha"), F.col("h").alias("hb")), "candidates")
     links = alike(first, rows, texts, width, similarity)
 
@@ -328,6 +343,8 @@ def near_links(rows: DataFrame, texts: DataFrame, found: DataFrame, width: int,
         named = members.join(comps, members["h"] == comps["node"], "left").select("s", "h", "core", F.coalesce("component", "h").alias("c"))
         mixed = named.groupBy("s").agg(F.min("c").alias("a"), F.max("c").alias("b"), F.max("core").alias("core")).where("a <> b and core = 1").select("s")
         members = chosen = staged(named.join(mixed, "s", "left_semi"), "open-shingles")
+        if members.isEmpty():
+            break
         if few:
             ranked = Window.partitionBy("s", "c").orderBy(F.xxhash64("h"), "h")
             chosen = staged(members.withColumn("k", F.row_number().over(ranked)).where(F.col("k") <= few).drop("k"), "representatives")

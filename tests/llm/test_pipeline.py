@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import os
 
+import numpy as np
 import pytest
 from test_operators import brute_counts
 
 import corpus_pipeline
-from sessionloom.llm import bpe
+from sessionloom.llm import bpe, neardup
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
@@ -128,3 +129,32 @@ def test_stage_takes_any_table(spark, tmp_path, name, stage):
         if name == "suffix_dedup":
             assert len(found) == len(rows) and not texts[905] and sum(bool(r["text"]) for r in found if r["doc_id"] == 0) == 1
     assert stage(spark, given.limit(0), SF).count() == 0
+
+
+def test_tiny_texts_lose_no_link(spark):
+    """Pairs of nine and eight words (five and four shingles, four in common), which a sketch keeps apart worst."""
+    rng = np.random.default_rng(8)
+    far = []
+    for _ in range(10_000):
+        own = rng.integers(0, 1 << 63, 5, dtype=np.uint64)
+        a, b = neardup.sketch(own).view(np.uint64), neardup.sketch(own[:4]).view(np.uint64)
+        far.append(int(np.bitwise_count(a ^ b).sum()))
+    assert max(far) <= neardup.TINY_RADIUS and sum(f > neardup.RADIUS for f in far) > 0
+    words = [[f"w{rng.integers(0, 1 << 40)}" for _ in range(9)] for _ in range(1500)]
+    rows = [(2 * k, " ".join(w)) for k, w in enumerate(words)] + [(2 * k + 1, " ".join(w[:8])) for k, w in enumerate(words)]
+    kept = {r.doc_id for r in neardup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {2 * k for k in range(1500)}
+
+
+def test_the_pipeline_leaves_only_its_result(spark, tmp_path, monkeypatch):
+    import os
+
+    from sessionloom.llm import common
+
+    monkeypatch.setattr(common, "shared_folder", lambda spark: f"file://{tmp_path}/shared")
+    text = " ".join(f"word{i}" for i in range(60))
+    rows = [(k, f"{text} {k}", "en", "s", 400) for k in range(12)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    corpus_pipeline.run(spark, str(tmp_path)).collect()
+    left = os.listdir(f"{tmp_path}/shared")
+    assert len(left) == 1 and os.listdir(f"{tmp_path}/shared/{left[0]}") == ["4-packing"]
