@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionloom.llm import bpe, language, neardup, packing, quality, suffixes
-from sessionloom.llm.common import new_folder
+from sessionloom.llm.common import clearing, delete, new_folder
 
 #: A document whose best cosine is below this is no text of a known language. Texts of two words reach about 0.17.
 LEAST_SCORE = 0.1
@@ -77,7 +77,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = new_folder(spark, "corpus-pipeline")
+    before = None
     for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
-        docs = spark.read.parquet(f"{folder}/{k}-{name}")
+        out = f"{folder}/{k}-{name}"
+        with clearing(spark):
+            stage(spark, docs, sf_dir).write.parquet(out)
+        if before:
+            delete(spark, before)
+        docs, before = spark.read.parquet(out), out
     return docs
