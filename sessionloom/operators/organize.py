@@ -147,11 +147,20 @@ def upsert(old: DataFrame, new: DataFrame, analysed: DataFrame, revive: DataFram
     return stays.unionByName(fresh.select(stays.columns))
 
 
-def ordered(proposals: DataFrame) -> DataFrame:
+def _order() -> list:
     """Groups, splits, titles; within them by falling confidence."""
     kind = F.when(F.col("type") == "group", 0).when(F.col("type") == "split", 1).otherwise(2)
     sure = F.when(F.col("confidence") == "high", 0).when(F.col("confidence") == "medium", 1).otherwise(2)
-    return proposals.orderBy(kind, sure, "id")
+    return [kind, sure, F.col("id")]
+
+
+def ordered(proposals: DataFrame) -> DataFrame:
+    return proposals.orderBy(*_order())
+
+
+def placed(proposals: DataFrame, by: list[str]) -> DataFrame:
+    """With `place` in that order within `by`, such as a run."""
+    return proposals.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*_order())))
 
 
 def accept(proposals: DataFrame, batch: str, renamed: DataFrame, least: str = "low") -> DataFrame:

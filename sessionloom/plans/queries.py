@@ -744,7 +744,7 @@ def j17_capsule_files(spark, sf):
 
 
 def queries() -> dict[str, Query]:
-    from . import queries_records, queries_turns  # noqa: F401  they add their own
+    from . import queries_checks, queries_records, queries_turns  # noqa: F401  they add their own
 
     return dict(QUERIES)
 
