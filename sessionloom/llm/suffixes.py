@@ -16,7 +16,9 @@ sorted.
    of the prefix shared with the last winner: strings that differ there are decided without
    a look at their bytes, and equal lengths are compared from there on only. The merge
    yields the common prefix of all neighbours, hence the classes of equal suffixes to any
-   depth up to `least`.
+   depth up to `least`. The windows of an anchor with more than HOT distinct segments are dealt
+   further: those of STEP successive distances share `least` - STEP + 1 bytes, whose hash names
+   their bucket, so a frequent string with many surroundings fills no bucket.
 4. For each distance d from window start to anchor, windows are equal if the d bytes before
    the anchor and the `least` - d bytes from it are; of each class all but the earliest are
    marked.
@@ -46,6 +48,8 @@ from .common import parts_for, row_key, staged
 LEAST, GRAM = 100, 32
 #: Candidate suffixes of a bucket, and of a run before it is sent.
 BUCKET, RUN = 50_000, 100_000
+#: Distinct segments of an anchor from which on its windows are dealt by more bytes, and of how many distances at a time.
+HOT, STEP = 2_000, 8
 NULL_ID = -(1 << 63)
 
 _BASE = 0x9E3779B97F4A7C15
@@ -262,9 +266,23 @@ def merge(runs: list[bytes]):
             node //= 2
 
 
+def dealt(data: bytes, anchor: int, first: int, last: int, least: int, buckets: int) -> list[tuple[int, int, int]]:
+    """(bucket, first window, number of windows): the windows of a segment by the bytes that all of STEP distances share."""
+    import xxhash
+
+    out = []
+    for lo in range((anchor - last) // STEP * STEP, anchor - first + 1, STEP):
+        hi = lo + STEP - 1
+        far, near = max(lo, anchor - last), min(hi, anchor - first)
+        key = xxhash.xxh64_intdigest(data[anchor - lo : max(anchor - lo, anchor + least - hi)], lo)
+        out.append((key % buckets, anchor - near, near - far + 1))
+    return out
+
+
 def suffix_runs(docs: DataFrame, cands: DataFrame, buckets: int, least: int, gram: int) -> DataFrame:
     """(bucket, run binary columns): front-coded suffixes and reversed lead texts of the candidates, with their places."""
-    per_doc = cands.groupBy("id", "dup").agg(F.collect_list("spot").alias("spots"))
+    spot = F.col("spot") * 2 + F.col("hot").cast("long")
+    per_doc = cands.groupBy("id", "dup").agg(F.collect_list(spot).alias("spots"))
     held = docs.join(per_doc, (F.col("_key") == F.col("id")) & (F.col("_dup") == F.col("dup"))).select("_key", "_dup", "_text", "spots")
     span = least - gram
 
@@ -289,10 +307,11 @@ def suffix_runs(docs: DataFrame, cands: DataFrame, buckets: int, least: int, gra
             for who, dup, text, spots in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
                 data = text.encode("utf-8", "replace")
                 g, _, first, last, anchor = segments(data, least, gram)
-                spots = np.sort(np.array(spots, np.int64)) // 512
-                for k in np.searchsorted(first, spots).tolist():
-                    a, f = int(anchor[k]), int(first[k])
-                    rows.append((int(g[k] % np.uint64(buckets)), data[a : a + least], data[max(0, a - span) : a][::-1], who, dup, a, f, int(last[k]) - f + 1))
+                spots = np.sort(np.array(spots, np.int64))
+                for k, hot in zip(np.searchsorted(first, spots // 1024).tolist(), (spots & 1).tolist(), strict=True):
+                    a, f, l_ = int(anchor[k]), int(first[k]), int(last[k])
+                    parts = dealt(data, a, f, l_, least, buckets) if hot else [(int(g[k] % np.uint64(buckets)), f, l_ - f + 1)]
+                    rows += [(bucket, data[a : a + least], data[max(0, a - span) : a][::-1], who, dup, a, begin, n) for bucket, begin, n in parts]
                 if len(rows) >= RUN:
                     yield runs(rows)
                     rows = []
@@ -356,18 +375,18 @@ def marked_runs(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFr
     found = anchors(docs.select("_key", "_dup", "_text"), least, gram)
     from pyspark.sql import Window
 
-    dealt = found.repartition("g")
+    by_anchor = found.repartition("g")
     same = Window.partitionBy("g", "c").orderBy("copy", "id", "dup", "spot")
     anchor = Window.partitionBy("g")
-    ranked = dealt.withColumn("n", F.row_number().over(same))
+    ranked = by_anchor.withColumn("n", F.row_number().over(same))
     ranked = ranked.withColumn("firsts", F.count(F.when((F.col("n") == 1) & ~F.col("copy"), True)).over(anchor))
     # equal segments: all but the first repeat; distinct segments around one anchor: compared by bytes
     copy = F.col("copy") | (F.col("n") > 1)
-    shared_anchor = staged(ranked.where(copy | (F.col("firsts") > 1)).select("g", "id", "dup", "spot", copy.alias("copy")), "shared-anchors")
+    shared_anchor = staged(ranked.where(copy | (F.col("firsts") > 1)).select("g", "id", "dup", "spot", copy.alias("copy"), (F.col("firsts") > HOT).alias("hot")), "shared-anchors")
     start = F.floor(F.col("spot") / 512).cast("long")
     whole = shared_anchor.where("copy").select("id", "dup", start.alias("lo"), (start + F.pmod("spot", F.lit(512)) + least).alias("hi"))
     cands = shared_anchor.where(~F.col("copy"))
-    buckets = parts_for(cands.count(), BUCKET, 1)
+    buckets = parts_for(cands.count() + cands.where("hot").count() * (-(-(least - gram + 1) // STEP)), BUCKET, 1)
     runs = suffix_runs(docs, cands, buckets, least, gram)
 
     def resolve(group: pa.Table) -> pa.Table:

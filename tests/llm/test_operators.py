@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sessionloom.llm import bpe, html, language, neardup, neighbours, packing, quality, simhash, suffixes, tokenfile, warc
 from sessionloom.llm.components import components
@@ -304,6 +305,37 @@ def test_suffixes(spark, corpus, least, gram):
     assert suffixes.remove_repeats(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize(("least", "gram"), [(100, 32), (25, 7)])
+def test_suffixes_of_hot_anchors(spark, corpus, monkeypatch, least, gram):
+    monkeypatch.setattr(suffixes, "HOT", 0)
+    monkeypatch.setattr(suffixes, "BUCKET", 50)
+    test_suffixes(spark, corpus, least, gram)
+
+
+def test_a_string_with_many_surroundings_fills_no_bucket(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    noise = lambda n: bytes(rng.integers(97, 123, n, dtype=np.uint8)).decode()
+    seed = noise(400_000)
+    g, _, _, _, anchor = suffixes.segments(seed.encode(), 100, 32)
+    common = seed[int(anchor[g.argmin()]) :][:32]  # the anchor of nearly all windows that hold it
+    passage = noise(40) + common + noise(60)
+    rows = [(k, noise(100) + (passage if k % 500 == 0 else common) + noise(100)) for k in range(6000)]
+    seen = []
+    whole = suffixes.suffix_runs
+
+    def watched(*args):
+        seen.append(whole(*args))
+        return seen[-1]
+
+    monkeypatch.setattr(suffixes, "suffix_runs", watched)
+    monkeypatch.setattr(suffixes, "BUCKET", 1000)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.remove_repeats(docs(spark, rows)).collect()}
+    assert got == {k: v[0] for k, v in brute_repeats(rows, 100).items()}
+    assert sum(x[1] for x in got.values()) >= 11 * 132
+    held = seen[0].groupBy("bucket").agg(F.sum(F.octet_length("rows") / 40).alias("n")).agg(F.max("n"), F.sum("n")).first()
+    assert held[1] >= 6000 and held[0] <= 3000
+
+
 def test_suffix_cut_keeps_columns(spark):
     passage = " ".join(f"pas{k}" for k in range(40))
     df = docs(spark, [(1, "alpha " + passage), (2, passage + " omega"), (3, None)])
