@@ -35,6 +35,12 @@ def corpus(posting: DataFrame, keys: list[str]) -> DataFrame:
     return posting.groupBy(*keys).agg(F.first("len").alias("len")).agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
 
 
+def statistics(messages: DataFrame) -> DataFrame:
+    """The same one row, from the messages themselves: no posting is made for it."""
+    sizes = searchable(messages).select(F.size(index_words("text")).alias("len")).where("len > 0")
+    return sizes.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
+
+
 def bm25(posting: DataFrame, keys: list[str], query: list[str], stats: DataFrame | None = None) -> DataFrame:
     """(keys, score): documents in which every query word is part of some word.
 

@@ -393,7 +393,7 @@ def a11_vocabulary(spark, sf):
 
 @query(f"WITH {_POST} SELECT n AS n_docs, a AS avg_len FROM st")
 def a29_index_statistics(spark, sf):
-    return search.corpus(_postings(spark, sf), _KEYS)
+    return search.statistics(A.messages(spark, sf))
 
 
 def _bm25_sql(words: list[str]) -> str:
@@ -404,7 +404,8 @@ def _bm25_sql(words: list[str]) -> str:
 
 @query(f"WITH {_POST}, {_bm25_sql(['ing', 'the'])} SELECT session_id, line_no, round(score, 6) AS score FROM sc")
 def a12_bm25(spark, sf):
-    return search.bm25(_postings(spark, sf), _KEYS, ["the", "ing"]).withColumn("score", F.round("score", 6))
+    m = A.messages(spark, sf)
+    return search.bm25(search.postings(m, _KEYS), _KEYS, ["the", "ing"], search.statistics(m)).withColumn("score", F.round("score", 6))
 
 
 def _manifest(m: DataFrame) -> DataFrame:
@@ -447,7 +448,8 @@ def o3_top_hits(spark, sf):
 def _top(spark, sf):
     from pyspark.sql import Window
 
-    scored = search.bm25(_postings(spark, sf), _KEYS, ["ing"]).withColumn("s", F.round("score", 9))
+    m = A.messages(spark, sf)
+    scored = search.bm25(search.postings(m, _KEYS), _KEYS, ["ing"], search.statistics(m)).withColumn("s", F.round("score", 9))
     best = search.ranked(scored, [F.desc("s"), "session_id", "line_no"], search.POOL)  # a report of at most 100 hits
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("s"), "session_id", "line_no"))).select("session_id", "line_no", "rank")
 
