@@ -1,7 +1,8 @@
 """WARC archives with revisit resolution.
 
 1. `write_raw`: each task writes the pages that it reads as response records, one gzip member
-   per record, and returns their headers (page, digest, size, file, offset).
+   per record, and returns their headers (page, digest, size, file, offset). The block of a record
+   is an HTTP message whose body is the payload.
 2. `resolve`: headers are shuffled by payload digest. Of records with equal payloads of at
    least `least_bytes` bytes the one with the largest page id is the response; the others are
    joined to it as revisits. Payloads are not shuffled.
@@ -41,11 +42,29 @@ def record_id(page_id, digest: str, path: str, offset: int) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}|{digest}|{path.rpartition("/")[2]}|{offset}')}>"
 
 
-def record(fields: list[tuple[str, str]], payload: bytes, level: int) -> bytes:
+def record(fields: list[tuple[str, str]], block: bytes, level: int) -> bytes:
     """One WARC/1.1 record as a gzip member."""
-    head = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields) + f"Content-Length: {len(payload)}\r\n\r\n"
+    head = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields) + f"Content-Length: {len(block)}\r\n\r\n"
     z = zlib.compressobj(level, zlib.DEFLATED, 31)
-    return z.compress(head.encode()) + z.compress(payload) + z.compress(b"\r\n\r\n") + z.flush()
+    return z.compress(head.encode()) + z.compress(block) + z.compress(b"\r\n\r\n") + z.flush()
+
+
+#: Content-Type of records whose block is an HTTP message.
+MESSAGE = ("Content-Type", "application/http;msgtype=response")
+
+
+def http_head(size: int) -> bytes:
+    """Head of the HTTP message that holds a page of `size` bytes."""
+    return b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % size
+
+
+def payload_of(block: bytes) -> bytes:
+    """What an HTTP message holds behind its head."""
+    return block.partition(b"\r\n\r\n")[2]
+
+
+def stated(digest: str) -> tuple[str, str]:
+    return "WARC-Payload-Digest", "sha1:" + base64.b32encode(bytes.fromhex(digest)).decode()
 
 
 def one_line(text: str | None) -> str:
@@ -97,7 +116,8 @@ def write_raw(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: s
             for page, url, html in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
                 payload = (html or "").encode("utf-8", "replace")
                 digest = hashlib.sha1(payload).hexdigest()
-                data = record([("WARC-Type", "response"), ("WARC-Target-URI", one_line(url)), ("WARC-Date", DATE), ("WARC-Payload-Digest", f"sha1:{digest}")], payload, 1)
+                fields = [("WARC-Type", "response"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"), ("WARC-Date", DATE), ("WARC-Target-URI", one_line(url)), stated(digest), MESSAGE]
+                data = record(fields, http_head(len(payload)) + payload, 1)
                 path, at = archive.add(data)
                 rows.append((page, url, digest, len(payload), path, at, len(data)))
                 if archive.full():
@@ -130,23 +150,23 @@ def write_deduplicated(resolved: DataFrame, folder: str, tasks: int) -> DataFram
         archive, opened, source = Archive(folder), "", None
         for b in batches:
             for r in b.to_pylist():
-                digest = "sha1:" + base64.b32encode(bytes.fromhex(r["digest"])).decode()
-                fields = [("WARC-Record-ID", record_id(r["page_id"], r["digest"], r["path"], r["at"])), ("WARC-Date", DATE), ("WARC-Target-URI", one_line(r["url"])), ("WARC-Payload-Digest", digest), ("X-Page-Id", "" if r["page_id"] is None else str(r["page_id"]))]
+                page = "" if r["page_id"] is None else str(r["page_id"])
+                fields = [("WARC-Record-ID", record_id(r["page_id"], r["digest"], r["path"], r["at"])), ("WARC-Date", DATE), ("WARC-Target-URI", one_line(r["url"])), stated(r["digest"]), MESSAGE, ("X-Page-Id", page)]
                 if r["revisit"]:
                     fields = [("WARC-Type", "revisit"), *fields, ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(r["o_page"], r["digest"], r["o_path"], r["o_at"])), ("WARC-Refers-To-Target-URI", one_line(r["o_url"])), ("WARC-Refers-To-Date", DATE)]
                     fields += [("X-Refers-To-Page-Id", "" if r["o_page"] is None else str(r["o_page"])), ("X-Payload-Length", str(r["payload_bytes"]))]
-                    payload = b""
+                    block = http_head(r["payload_bytes"])
                 else:
                     if opened != r["path"]:
                         fs, path = open_fs(r["path"])
                         opened, source = r["path"], fs.open_input_file(path)
                     source.seek(r["at"])
                     whole = zlib.decompress(source.read(r["size"]), 31)
-                    payload = whole[whole.index(b"\r\n\r\n") + 4 : -4]
-                    if hashlib.sha1(payload).hexdigest() != r["digest"]:
+                    block = whole[whole.index(b"\r\n\r\n") + 4 : -4]
+                    if hashlib.sha1(payload_of(block)).hexdigest() != r["digest"]:
                         raise ValueError(f"the record at {r['at']} of {r['path']} is damaged")
-                    fields = [("WARC-Type", "response"), *fields, ("Content-Type", "text/html; charset=utf-8")]
-                archive.add(record(fields, payload, 3))
+                    fields = [("WARC-Type", "response"), *fields]
+                archive.add(record(fields, block, 3))
                 if archive.full():
                     archive.close()
                     yield _batch([(archive.uri, archive.records)], made)
@@ -158,7 +178,7 @@ def write_deduplicated(resolved: DataFrame, folder: str, tasks: int) -> DataFram
 
 
 def records(uri: str) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(header fields, payload) of each record of an archive, one at a time."""
+    """(header fields, block) of each record of an archive, one at a time."""
     import gzip
 
     fs, path = open_fs(uri)
@@ -171,10 +191,10 @@ def records(uri: str) -> Iterator[tuple[dict[str, str], bytes]]:
                 k, _, v = line.decode().partition(": ")
                 fields[k] = v
             n = int(fields["Content-Length"])
-            payload = f.read(n)
-            if len(payload) != n or f.read(4) != b"\r\n\r\n":
+            block = f.read(n)
+            if len(block) != n or f.read(4) != b"\r\n\r\n":
                 raise ValueError(f"{uri}: a record is cut short")
-            yield fields, payload
+            yield fields, block
 
 
 READ = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
@@ -188,10 +208,10 @@ def read(manifest: DataFrame) -> DataFrame:
         for b in batches:
             for uri in b.column("path").to_pylist():
                 rows = []
-                for f, payload in records(uri):
-                    stated = base64.b32decode(f["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
-                    kind = f["WARC-Type"]
-                    size, digest = (len(payload), hashlib.sha1(payload).hexdigest()) if kind == "response" else (int(f["X-Payload-Length"]), stated)
+                for f, block in records(uri):
+                    kind, payload = f["WARC-Type"], payload_of(block)
+                    said = int(f.get("X-Payload-Length", 0)), base64.b32decode(f["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
+                    size, digest = (len(payload), hashlib.sha1(payload).hexdigest()) if kind == "response" else said
                     rows.append((number(f["X-Page-Id"]), f["WARC-Target-URI"], size, digest, kind, number(f.get("X-Refers-To-Page-Id"))))
                     if len(rows) >= 20_000:
                         yield _batch(rows, READ)

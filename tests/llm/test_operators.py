@@ -151,6 +151,61 @@ def test_warc_round_trip(spark):
     assert warc.archive(pages.limit(0)).count() == 0
 
 
+def other_reader(data: bytes) -> list[tuple[dict, bytes]]:
+    """Records of an archive, member by member, with the header parser of mail."""
+    import email
+    import zlib as z
+
+    out = []
+    while data:
+        one = z.decompressobj(31)
+        whole = one.decompress(data) + one.flush()
+        data = one.unused_data
+        version, _, rest = whole.partition(b"\r\n")
+        head, _, body = rest.partition(b"\r\n\r\n")
+        assert version == b"WARC/1.1"
+        fields = dict(email.message_from_bytes(head + b"\r\n\r\n").items())
+        assert body[int(fields["Content-Length"]) :] == b"\r\n\r\n"
+        out.append((fields, body[:-4]))
+    return out
+
+
+def test_archives_are_valid_for_another_reader(spark, tmp_path, monkeypatch):
+    import base64
+    import email
+    import glob
+
+    monkeypatch.setattr(warc, "new_folder", lambda spark, name: f"file://{tmp_path}/{name}")
+    huge = "<p>" + "long page \r\n\r\n" * 400_000
+    rows = [(k, f"http://x/{k}", t, "d", "p", 3, "o") for k, t in enumerate(["<p>é" + "y" * 1500] * 3 + ["short", None, huge, huge])]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, digest string, path string, at int, original string").repartition(2)
+    got = {r.page_id: r for r in warc.archive(pages).collect()}
+    assert {k: r.refers_to for k, r in got.items() if r.record_type == "revisit"} == {0: 2, 1: 2, 5: 6}
+    for kind, most in (("raw", len(rows)), ("archive", len(rows))):
+        read = [r for f in glob.glob(f"{tmp_path}/warc/{kind}/*.warc.gz") for r in other_reader(open(f, "rb").read())]
+        assert len(read) == most and len({f["WARC-Record-ID"] for f, _ in read}) == most
+        ids = {f["WARC-Record-ID"]: f for f, _ in read}
+        for f, block in read:
+            assert {"WARC-Type", "WARC-Date", "WARC-Target-URI", "Content-Type"} <= set(f) and f["Content-Type"] == "application/http;msgtype=response"
+            status, _, rest = block.partition(b"\r\n")
+            head, _, body = rest.partition(b"\r\n\r\n")
+            assert status == b"HTTP/1.1 200 OK"
+            size = int(email.message_from_bytes(head)["Content-Length"])
+            if f["WARC-Type"] == "response":
+                assert size == len(body) and base64.b32encode(hashlib.sha1(body).digest()).decode() == f["WARC-Payload-Digest"].removeprefix("sha1:")
+                assert rows[int(f["WARC-Target-URI"].rpartition("/")[2])][2] in (body.decode(), None)
+            else:
+                first = ids[f["WARC-Refers-To"]]
+                assert body == b"" and first["WARC-Type"] == "response" and first["WARC-Payload-Digest"] == f["WARC-Payload-Digest"] and first["WARC-Target-URI"] == f["WARC-Refers-To-Target-URI"]
+
+
+def test_neighbours_and_pages_with_clashing_columns(spark):
+    rows = [(k, [float(k), 1.0], k, "s", 0.5, 9) for k in range(30)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, id int, qb string, score double, rank int")
+    got = neighbours.nearest(df, df.where("vec_id % 20 = 0"), k=2).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id) for r in got) == [(0, 1, 1), (0, 2, 2), (20, 1, 29), (20, 2, 28)]
+
+
 # -- 4 quality
 
 
