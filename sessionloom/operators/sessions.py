@@ -66,12 +66,11 @@ def summaries(records: DataFrame) -> DataFrame:
     )
 
 
-def days(prompts: DataFrame, tz: str = "UTC") -> DataFrame:
-    """(session_id, key, day, n): prompts per day; key is null for all prompts, else those that cite it."""
-    dated = prompts.withColumn("day", X.local_day("ts", tz)).where("day is not null")
-    total = dated.groupBy("session_id", "day").agg(F.count("*").alias("n")).select("session_id", F.lit(None).cast("string").alias("key"), "day", "n")
-    cited = dated.select("session_id", "day", F.explode(F.array_distinct("all_keys")).alias("key")).groupBy("session_id", "key", "day").agg(F.count("*").alias("n"))
-    return total.unionByName(cited.select("session_id", "key", "day", "n"))
+def days(prompts: DataFrame, tz: str = "UTC", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(session_id, key, day, n): prompts per day; key is null for all prompts, else those that cite it. `keep`: columns of the session."""
+    every = F.array(F.lit(None).cast("string"))
+    dated = prompts.select("session_id", *keep, X.local_day("ts", tz).alias("day"), F.explode(F.concat(every, F.array_distinct("all_keys"))).alias("key")).where("day is not null")
+    return dated.groupBy("session_id", "key", "day").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in keep])
 
 
 def members(keys: DataFrame, mentions: DataFrame) -> DataFrame:
@@ -84,10 +83,9 @@ def members(keys: DataFrame, mentions: DataFrame) -> DataFrame:
 
 def activity(prompts: DataFrame, member: DataFrame, tz: str = "UTC") -> DataFrame:
     """(unit, day, project, n): a main session counts with all its prompts, another with those that cite the unit."""
-    per_day = days(prompts, tz).join(prompts.groupBy("session_id").agg(F.first("project").alias("project")), "session_id")
-    main = member.where("mode = 'main'").join(per_day.where("key is null"), "session_id")
-    cited = member.where("mode = 'mention'").join(per_day.where("key is not null"), "session_id").where(F.col("key") == F.col("unit"))
-    cells = main.select("unit", "day", "project", "n").unionByName(cited.select("unit", "day", "project", "n"))
+    per_day = days(prompts, tz, ("project",)).withColumnsRenamed({"session_id": "_session", "key": "_key"})
+    counted = F.when(F.col("mode") == "mention", F.col("unit"))
+    cells = member.join(per_day, (F.col("session_id") == F.col("_session")) & counted.eqNullSafe(F.col("_key")))
     return cells.groupBy("unit", "day", "project").agg(F.sum("n").alias("n"))
 
 
@@ -168,9 +166,8 @@ def short_ids(sessions: DataFrame) -> DataFrame:
 def staleness(prompts: DataFrame, member: DataFrame, capsules: DataFrame) -> DataFrame:
     """Messages of a unit after its record was written: (unit, new_messages, new_sessions). Noise doesn't count;
     sessions that only cite the unit count with the citing prompts. capsules: unit, since."""
-    real = prompts.where(~F.col("noise"))
-    main = member.where("mode = 'main'").join(real, "session_id").select("unit", "session_id", "ts")
-    cited = member.where("mode = 'mention'").join(real, "session_id").where(F.array_contains("keys", F.col("unit"))).select("unit", "session_id", "ts")
-    rows = main.unionByName(cited).join(capsules, "unit")
+    real = prompts.where(~F.col("noise")).select("session_id", "ts", "keys")
+    counted = (F.col("mode") != "mention") | F.array_contains("keys", F.col("unit"))
+    rows = member.join(real, "session_id").where(counted).select("unit", "session_id", "ts").join(capsules, "unit")
     per = rows.groupBy("unit", "session_id").agg(F.count_if(F.col("ts") > F.col("since")).alias("new"), F.count("*").alias("total"))
     return per.groupBy("unit").agg(F.sum("new").alias("new_messages"), F.count_if((F.col("new") == F.col("total")) & (F.col("new") > 0)).alias("new_sessions"))

@@ -271,7 +271,7 @@ _FRESH = """rows AS (SELECT unit, session_id, ts FROM mem JOIN p USING (session_
 
 @query(f"WITH {_KEYED}, {_FRESH} SELECT unit, sum(new)::BIGINT AS new_messages, count(*) FILTER (new = total AND new > 0) AS new_sessions FROM per GROUP BY 1")
 def j13_staleness(spark, sf):
-    p = A.prompts(spark, sf)
+    p = stages.written(A.prompts(spark, sf), "prompts")
     m = _member(p)
     return sessions.staleness(p, m, _capsules(p, m))
 

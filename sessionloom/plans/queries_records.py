@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import corrections, evidence, files, messages, organize, ranges, segments, sessions
+from ..sources import stages
 from ..streaming import jobs
 from . import adapters as A
 from .queries import RE_ASSIGN, RE_SECRET, _boundaries, _capsules, _COMMITS, _day, _FRESH, _KEYED, _LINKS, _member, _MERGED, _ranges, _TAKEN, _TOK, _ts, query
@@ -175,7 +176,7 @@ def f24_embedded_json(spark, sf):
 
 @query(f"WITH {_KEYED}, {_FRESH}, u AS (SELECT unit, sum(new) > 0 AS stale FROM per GROUP BY 1) SELECT unit, {_HAS} AS has_capsule, {_HAS} AND stale AS outdated FROM u")
 def j16_units_with_records(spark, sf):
-    p = A.prompts(spark, sf)
+    p = stages.written(A.prompts(spark, sf), "prompts")
     m = _member(p)
     stale = sessions.staleness(p, m, _capsules(p, m))
     written = m.select("unit").distinct().where(_has()).withColumn("capsule", F.lit(True))
@@ -185,7 +186,7 @@ def j16_units_with_records(spark, sf):
 
 @query(f"WITH {_KEYED}, {_FRESH} SELECT unit, session_id, new, total FROM per")
 def a20_session_staleness(spark, sf):
-    p = A.prompts(spark, sf)
+    p = stages.written(A.prompts(spark, sf), "prompts")
     m = _member(p)
     caps = _capsules(p, m)
     real = p.where(~F.col("noise"))
