@@ -142,7 +142,7 @@ def folded_in_order(log):
             groups.pop(unit, None), labels.pop(unit, None), hidden.discard(unit)
             moves = {s: m for s, m in moves.items() if m[0] != unit}
         elif kind == "move":
-            moves[o["session"]] = (o["to"], o["seq"])
+            moves[o["session"]] = (o["to"], moves.get(o["session"], (None, o["seq"]))[1])  # a map keeps the place of a key
         elif kind == "hide":
             hidden.discard(unit or o["session"]) if o["hidden"] is False else hidden.add(unit or o["session"])
     out = [("label", u, t, 0, None) for u, t in labels.items() if t] + [("hidden", u, None, 0, False) for u in hidden]
