@@ -26,3 +26,11 @@ def test_equal_ranges_of_one_session_are_one_island(spark, tmp_path):
     assert len(own) == len({r.split("|")[1] for r in own}) == 100000
     q = Q.queries()["f25_clamp_ranges"](spark, str(tmp_path))
     assert rows([tuple(r) for r in q.collect()], q.columns) == own
+
+
+def test_an_id_that_two_sessions_share_does_not_collide_with_itself(spark, tmp_path):
+    # the first nine digits of u61316-w4 and u62718-w1 are equal
+    own = found(tmp_path, "w14_short_ids", "select unnest([0, 1, 2]) as event_id, unnest([61316, 62718, 5]) as user_id, unnest([28, 7, 0]) as day, 'view' as event_type, 2 as k")
+    assert [r for r in own if "30e94f507" in r] == ["30e94f507|30e94f50"]
+    q = Q.queries()["w14_short_ids"](spark, str(tmp_path))
+    assert rows([tuple(r) for r in q.collect()], q.columns) == own
