@@ -86,7 +86,8 @@ def moves_in_order(moves: DataFrame, splits: DataFrame) -> DataFrame:
 
     A session that is moved again keeps its place. Splitting a unit forgets the moves into it, and with them their places."""
     both = moves.select("workspace", "to", "seq", "id", "session").unionByName(splits.select("workspace", F.col("unit").alias("to"), "seq", "id", F.lit(None).cast("string").alias("session")))
-    later = Window.partitionBy("workspace", "to").orderBy("seq", "id").rowsBetween(1, Window.unboundedFollowing)
+    # read backwards: a frame that grows is added to, one that shrinks is summed up anew for every row
+    later = Window.partitionBy("workspace", "to").orderBy(F.desc("seq"), F.desc("id")).rowsBetween(Window.unboundedPreceding, -1)
     ended = both.withColumn("split", F.min(F.when(F.col("session").isNull(), F.col("seq"))).over(later)).where("session IS NOT NULL")
     own = Window.partitionBy("workspace", "session").orderBy("seq", "id")
     after = F.lead("seq").over(own)

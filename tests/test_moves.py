@@ -73,3 +73,11 @@ def test_long_chains_equal_a_walk_through_the_log(spark):
     ops = [op(k, "split", unit=r.choice(targets)) if k % 17 == 0 else op(k, "move", session=r.choice(names), to=r.choice(targets)) for k in range(150)]
     chain = [op(200 + i, "move", session=f"s{i}", to=f"session:s{i - 1}") for i in range(1, 12)]  # each depends on the one before
     assert applied(spark, member, ops + chain) == walk(member, ops + chain)
+
+
+def test_no_frame_of_the_fold_shrinks(spark):
+    # Spark sums a frame up to the end anew for every row, which is quadratic in the moves to one unit
+    state = state_of(spark, [op(1, "move", session="a", to="x"), op(2, "split", unit="x"), op(3, "move", session="a", to="x")])
+    plan = state._jdf.queryExecution().executedPlan().toString().lower()
+    assert "unboundedfollowing" not in plan.replace("unboundedpreceding$(), unboundedfollowing", "whole")
+    assert [(r.subject, r.target, r.ord) for r in state.where("kind = 'move'").collect()] == [("a", "x", 3)]
