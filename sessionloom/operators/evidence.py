@@ -91,9 +91,10 @@ def drift(basis: DataFrame, now: DataFrame, fresh: DataFrame) -> DataFrame:
     cols = ["unit", "session_id", "start", "end"]
     sides = basis.select(*cols).withColumn("side", F.lit(1)).unionByName(now.select(*cols).withColumn("side", F.lit(2)))
     both = sides.groupBy(*cols).agg(F.max(F.when(F.col("side") == 1, True)).alias("was"), F.max(F.when(F.col("side") == 2, True)).alias("now"))
-    held = both.join(basis.select("unit").distinct(), "unit", "left_semi").join(fresh.select("unit", "session_id").distinct().withColumn("fresh", F.lit(True)), ["unit", "session_id"], "left")
+    held = both.join(fresh.select("unit", "session_id").distinct().withColumn("fresh", F.lit(True)), ["unit", "session_id"], "left")
     added = F.count_if(F.col("was").isNull() & F.col("fresh").isNull())
-    return held.groupBy("unit").agg(added.alias("added"), F.count_if(F.col("now").isNull()).alias("removed")).withColumn("changed", F.col("added") + F.col("removed") > 0)
+    units = held.groupBy("unit").agg(added.alias("added"), F.count_if(F.col("now").isNull()).alias("removed"), F.max("was").alias("_was")).where("unit IS NOT NULL AND _was")
+    return units.drop("_was").withColumn("changed", F.col("added") + F.col("removed") > 0)
 
 
 def reusable(basis: DataFrame, units: DataFrame, most: int = 5) -> DataFrame:

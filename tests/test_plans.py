@@ -18,3 +18,7 @@ def plan(spark, name):
 
 def test_cosines_deal_the_prompts_once(spark):
     assert plan(spark, "a30_cosine").count("Exchange ") == 1
+
+
+def test_drift_reads_members_that_were_found_once(spark):
+    assert "events.parquet" not in plan(spark, "j14_drift")
