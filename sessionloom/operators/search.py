@@ -26,8 +26,10 @@ def searchable(messages: DataFrame) -> DataFrame:
 
 def postings(messages: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, term, tf, len): one row per word of a searchable message; the words are counted map-side."""
-    worded = searchable(messages).select(*keys, index_words("text").alias("w")).where(F.size("w") > 0)
-    return worded.select(*keys, F.size("w").alias("len"), F.explode("w").alias("term")).groupBy(*keys, "len", "term").agg(F.count("*").alias("tf"))
+    worded = searchable(messages).select(*keys, index_words("text").alias("w"))
+    # outer: Spark filters what an inner one explodes, which would find the words of every message twice
+    rows = worded.select(*keys, F.size("w").alias("len"), F.explode_outer("w").alias("term")).where("term IS NOT NULL")
+    return rows.groupBy(*keys, "len", "term").agg(F.count("*").alias("tf"))
 
 
 def corpus(posting: DataFrame, keys: list[str]) -> DataFrame:
@@ -37,8 +39,9 @@ def corpus(posting: DataFrame, keys: list[str]) -> DataFrame:
 
 def statistics(messages: DataFrame) -> DataFrame:
     """The same one row, from the messages themselves: no posting is made for it."""
-    sizes = searchable(messages).select(F.size(index_words("text")).alias("len")).where("len > 0")
-    return sizes.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
+    sizes = searchable(messages).select(F.size(index_words("text")).alias("len"))
+    worded = F.when(F.col("len") > 0, F.col("len"))  # no filter: the words would be found twice
+    return sizes.agg(F.count(worded).alias("n_docs"), F.avg(worded).alias("avg_len"))
 
 
 def bm25(posting: DataFrame, keys: list[str], query: list[str], stats: DataFrame | None = None) -> DataFrame:
@@ -52,7 +55,7 @@ def bm25(posting: DataFrame, keys: list[str], query: list[str], stats: DataFrame
     hit = F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(F.col("term"), w))
     matched = posting.where(F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(F.col("term"), w)))
     per = matched.select(*keys, "len", "tf", F.explode(hit).alias("word")).groupBy(*keys, "len", "word").agg(F.sum("tf").alias("tf"))
-    df = per.groupBy("word").agg(F.count("*").alias("df"))  # a row per query word
+    df = per.groupBy("word").agg(F.count("tf").alias("df"))  # a row per query word; with `tf`, so that both uses of `per` are one exchange
     stats = corpus(posting, keys) if stats is None else stats
     idf = F.ln(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import search
+from .stages import written
 
 #: Buckets of terms and of parts.
 BUCKETS, PARTS = 64, 64
@@ -43,7 +44,8 @@ def _write(messages: DataFrame, manifest: DataFrame, folder: str, gen: int) -> N
     """manifest: session_id, size, mtime, deleted; messages: those of its sessions that are there."""
     spark = messages.sparkSession
     typed = messages.withColumns({"session_id": F.col("session_id").cast("string"), "line_no": F.col("line_no").cast("long")})
-    own = typed.join(manifest.where("NOT deleted").select("session_id"), "session_id", "left_semi")
+    # texts are shuffled by session, so that their words, which are more, are counted without a shuffle
+    own = typed.join(manifest.where("NOT deleted").select("session_id").hint("shuffle_hash"), "session_id", "left_semi")
     at = f"{folder}/postings/gen={gen}"
     rows = search.postings(own, KEYS).withColumn("bucket", _bucket(F.col("term"), BUCKETS))
     rows.repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(at)
@@ -70,7 +72,7 @@ def _read(spark: SparkSession, folder: str, kind: str) -> DataFrame:
 
 def create(messages: DataFrame, manifest: DataFrame, folder: str) -> None:
     """The first generation. manifest: session_id, size, mtime of all sessions; messages: session_id, line_no, role, text."""
-    _write(messages, _typed(manifest), folder, 0)
+    _write(messages, written(_typed(manifest), "manifest"), folder, 0)
 
 
 def _typed(manifest: DataFrame, deleted: Column | None = None) -> DataFrame:
@@ -87,13 +89,13 @@ def manifest(spark: SparkSession, folder: str) -> DataFrame:
 def update(messages: DataFrame, now: DataFrame, folder: str) -> int:
     """Write what has changed since as one more generation; returns its number. now: the manifest of all sessions there are.
 
-    Only the messages of new and changed sessions are indexed. Without a change nothing is written."""
+    Only the messages of new and changed sessions are indexed. Without a change no generation is written."""
     spark = messages.sparkSession
     known = manifest(spark, folder)
     last = known.agg(F.max("gen")).first()[0] or 0
     was = known.where("NOT deleted").select("session_id", F.struct("size", "mtime").alias("_was"))
     both = _typed(now).withColumn("_now", F.struct("size", "mtime")).join(was, "session_id", "full")
-    changed = both.where(~F.col("_now").eqNullSafe(F.col("_was"))).withColumn("deleted", F.col("_now").isNull()).drop("_now", "_was")
+    changed = written(both.where(~F.col("_now").eqNullSafe(F.col("_was"))).withColumn("deleted", F.col("_now").isNull()).drop("_now", "_was"), "changed")
     if changed.isEmpty():
         return last
     _write(messages, changed, folder, last + 1)

@@ -82,3 +82,19 @@ def test_a_search_reads_only_the_buckets_of_its_terms(spark, tmp_path):
     grams = textindex.terms_with(spark, at, "word7")._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"PartitionFilters: \[[^]]*part", grams)
     assert sorted(r.term for r in textindex.terms_with(spark, at, "word7").collect()) == ["word7", *[f"word7{i}" for i in range(10)]]
+
+
+def test_words_are_found_once(spark):
+    # a filter on the words, also one that Spark adds, stands below the join and finds them a second time
+    now, kept = state(spark, FIRST | {"e": ["...", "one"]})
+    post = search.postings(now.join(kept, "session_id", "left_semi"), textindex.KEYS)
+    for df in (post, search.statistics(now)):
+        assert df._jdf.queryExecution().executedPlan().toString().count(r"[\p{L}\p{N}]+") == 1
+    assert {(r.term, r.tf, r.len) for r in post.where("session_id = 'e'").collect()} == {("one", 1, 1)}
+    assert search.statistics(now).first() == search.corpus(post, textindex.KEYS).first()
+
+
+def test_matches_are_found_once(spark):
+    hits = search.bm25(search.postings(state(spark, FIRST)[0], textindex.KEYS), textindex.KEYS, ["alp", "ha"])
+    hits.collect()
+    assert "ReusedExchange" in hits._jdf.queryExecution().executedPlan().toString()
