@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..sources.stages import written
 
 MAX_LABEL, MAX_PARTS = 120, 40
+TYPES = ("rename", "merge", "split", "move", "cut", "hide")
 
 OPS = """workspace string, seq long, id string, batch string, ts string, type string, unit string, session string, `to` string,
          label string, hidden boolean, members array<string>, parts array<struct<start:int,end:int,label:string>>, source string, undone boolean"""
@@ -41,10 +42,13 @@ def fold(ops: DataFrame) -> DataFrame:
     """State of each workspace as rows: label, merge member, move, cut part, hidden unit, hidden session.
 
     `ord` puts rows in order: the members of a group, the parts of a cut, the moves (`moves_in_order`).
-    Operations that were undone, or lack an id or a subject, count for nothing; an empty log has no rows."""
+    Operations that were undone, or lack an id or a subject, count for nothing; an empty log has no rows.
+    The log is read once, when this is called, and written by type."""
     live = ops.where(~F.coalesce("undone", F.lit(False)) & _text("id"))
     live = live.withColumn("label", F.substring(_stripped(F.coalesce("label", F.lit(""))), 1, MAX_LABEL)).withColumn("ai", F.coalesce(F.col("source") == "ai", F.lit(False)))
-    of = lambda kind: live.where(F.col("type") == kind)
+    own = live.where(F.col("type").isin(*TYPES)).select("workspace", "seq", "id", "type", "unit", "session", "to", "label", "hidden", "members", "parts", "ai")
+    log = written(own, "corrections-log", by="type")  # read some ten times, a type or two each
+    of = lambda kind: log.where(F.col("type") == kind)
     null = lambda t: F.lit(None).cast(t)
     at = F.struct("seq", "id")
 
@@ -116,7 +120,7 @@ def validate(ops: DataFrame, units: DataFrame) -> DataFrame:
         .when((F.col("type") == "merge") & (F.coalesce("groups", F.lit(0)) > 1), "two groups")
         .when((F.col("type") == "split") & (F.col("_s") != "user"), "only groups can be split")
         .when(F.length("label") > MAX_LABEL, "label too long")
-        .when(~F.col("type").isin("rename", "merge", "split", "move", "cut", "hide"), "unknown operation")
+        .when(~F.col("type").isin(*TYPES), "unknown operation")
     )
     return rows.select("id", reason.isNull().alias("ok"), reason.alias("reason"))
 

@@ -81,3 +81,11 @@ def test_no_frame_of_the_fold_shrinks(spark):
     plan = state._jdf.queryExecution().executedPlan().toString().lower()
     assert "unboundedfollowing" not in plan.replace("unboundedpreceding$(), unboundedfollowing", "whole")
     assert [(r.subject, r.target, r.ord) for r in state.where("kind = 'move'").collect()] == [("a", "x", 3)]
+
+
+def test_the_fold_reads_its_log_once(spark):
+    ops = [op(1, "rename", unit="x", label="new"), op(2, "hide", unit="x"), op(3, "odd", unit="x"), op(4, None, unit="x"), op(5, "move", session="a", to="x")]
+    state = state_of(spark, ops)
+    assert "ExistingRDD" not in state._jdf.queryExecution().executedPlan().toString()
+    assert {(r.kind, r.subject, r.target) for r in state.collect()} == {("label", "x", "new"), ("hidden_unit", "x", None), ("move", "a", "x")}
+    assert state_of(spark, ops[2:4]).isEmpty()
